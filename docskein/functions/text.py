@@ -14,6 +14,15 @@ from docskein.functions.fixed import STOP_WORDS
 TOKEN = r"[a-z0-9][\p{L}\p{N}_.\-]*"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    Catalyst merges a projection into the next one when a column is used once, even when that use sits inside a lambda
+    that runs per element; binding the value as a lambda variable keeps it to one evaluation per row.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def basename(path: Column) -> Column:
     """Last part of a path with ``/`` or ``\\`` separators."""
     return F.element_at(F.split(F.translate(path, "\\", "/"), "/"), -1)

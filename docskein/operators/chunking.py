@@ -99,10 +99,11 @@ def _paths(heads: Column, title: Column) -> Column:
     return F.aggregate(heads, start, step, lambda acc: acc["paths"])
 
 
-def _cut(lines: Column, starts: Column) -> Column:
-    """Bodies between consecutive start positions: lines after start j up to the next start."""
+def _cut(lines: Column, starts: Column, skip: int) -> Column:
+    """Bodies ``lines[start + skip : next start]`` for each start position."""
     return let(starts, lambda at: F.transform(at, lambda s, j: F.slice(
-        lines, s + 2, F.greatest(F.coalesce(F.get(at, j + 1), F.size(lines)) - s - 1, F.lit(0)))))
+        lines, s + skip + 1,
+        F.greatest(F.coalesce(F.get(at, j + 1), F.size(lines)) - s - skip, F.lit(0)))))
 
 
 def _titled(bodies: Column, heads: Column, title: Column, first_title: Column, first_path: Column) -> Column:
@@ -125,7 +126,7 @@ def sections(docs: DataFrame, heading: str = fixed.HEADING_UNIVERSAL) -> DataFra
             F.array().cast("array<int>")),
             lambda i: (F.length(F.get(ls, i)) < 120) & F.get(ls, i).rlike(heading))
         return let(at, lambda a: _titled(
-            F.transform(_cut(ls, F.concat(F.array(F.lit(-1)), a)), lambda b: F.array_join(b, "\n")),
+            F.transform(_cut(ls, F.concat(F.array(F.lit(-1)), a), 1), lambda b: F.array_join(b, "\n")),
             F.transform(a, lambda i: F.get(ls, i)), title, title, F.array(title)))
 
     return docs.withColumn("sections", let(lines, cut))
@@ -208,7 +209,7 @@ def chunk_runbook(docs: DataFrame) -> DataFrame:
                                              & (F.size(F.filter(fs, lambda f: f <= i)) % 2 == 0)))
         # the header line stays in its chunk, so a body starts at its header
         return let(at, lambda a: _titled(
-            F.transform(_cut(ls, F.transform(F.concat(F.array(F.lit(0)), a), lambda i: i - 1)),
+            F.transform(_cut(ls, F.concat(F.array(F.lit(0)), a), 0),
                         lambda b: strip(F.array_join(b, "\n"))),
             F.transform(a, lambda i: strip(F.get(ls, i))), title, intro, F.array(title, intro)))
 

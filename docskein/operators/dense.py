@@ -120,21 +120,22 @@ def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
             .agg(F.round(F.avg(F.coalesce("_hit", F.lit(0))), 6).alias("recall")))
 
 
-def internal_pass(queries: DataFrame, corpus: DataFrame, exclude_self: bool = False) -> DataFrame:
-    """Internal documents only: top 15 with cosine ≥ .70."""
+def internal_pass(queries: DataFrame, corpus: DataFrame, exclude_self: bool = False,
+                  min_cosine: float = fixed.INTERNAL_MIN_COSINE) -> DataFrame:
+    """Internal documents only: top 15 with cosine of at least ``min_cosine``."""
     inside = corpus.filter(F.col("doc_origin") == "INTERNAL")
     return dense_topk(queries, inside, fixed.INTERNAL_TOP_K, exclude_self).filter(
-        F.col("cosine") >= fixed.INTERNAL_MIN_COSINE)
+        F.col("cosine") >= min_cosine)
 
 
 def dual_pass(queries: DataFrame, corpus: DataFrame, k: int = 20, force_external: bool = False,
-              exclude_self: bool = False) -> DataFrame:
+              exclude_self: bool = False, min_cosine: float = fixed.INTERNAL_MIN_COSINE) -> DataFrame:
     """Internal pass first; only questions with fewer than three good internal hits search the whole corpus.
 
     Returns (query_id, chunk_id, cosine, source) before de-duplication.
     """
     # small: at most 15 rows per question, read by the count, the gate and the result
-    internal = materialise(internal_pass(queries, corpus, exclude_self))
+    internal = materialise(internal_pass(queries, corpus, exclude_self, min_cosine))
     enough = internal.groupBy("query_id").agg(F.count("*").alias("n")).filter(
         F.col("n") >= fixed.INTERNAL_MIN_RESULTS)
     rest = queries if force_external else queries.join(enough, "query_id", "left_anti")

@@ -35,11 +35,11 @@ def _fold(pieces: Column) -> Column:
     return F.aggregate(pieces, _identity().cast(_WALK), lambda acc, p: _compose(acc, p["walk"]).cast(_WALK))
 
 
-def chunk_boosts(feedback: DataFrame, grain: str = "hour") -> DataFrame:
-    """Boost and event count per cited chunk. Neutral ratings do not move the walk and are left out.
+def chunk_walks(feedback: DataFrame, grain: str = "hour") -> DataFrame:
+    """(chunk_id, feedback_count, walk): all events of a chunk composed to one clamped step.
 
-    Events are folded per (chunk, ``grain`` of time) first, so even a chunk cited by a third of all feedback is
-    spread over as many groups as there are grains.
+    Neutral ratings do not move the walk and are left out. Events are folded per (chunk, ``grain`` of time) first, so
+    even a chunk cited by a third of all feedback is spread over as many groups as there are grains.
     """
     keyed = feedback.filter(F.col("rating") != 0).select(
         F.posexplode("cited_chunk_ids").alias("pos", "chunk_id"), "created_at", "feedback_id",
@@ -52,12 +52,21 @@ def chunk_boosts(feedback: DataFrame, grain: str = "hour") -> DataFrame:
         _fold(F.array_sort(F.collect_list(F.struct("created_at", "feedback_id", "pos", step.alias("walk")))))
         .alias("walk"),
     )
-    whole = parts.groupBy("chunk_id").agg(
+    return parts.groupBy("chunk_id").agg(
         F.sum("n").alias("feedback_count"),
         _fold(F.array_sort(F.collect_list(F.struct("slice", "walk")))).alias("walk"),
     )
-    boost = F.greatest(F.col("walk.lo"), F.least(F.col("walk.hi"), F.col("walk.shift")))
-    return whole.select("chunk_id", F.round(boost, 6).alias("boost_score"), "feedback_count")
+
+
+def apply_walk(start: Column, walk: Column) -> Column:
+    """Where the walk leads from ``start``."""
+    return F.round(F.greatest(walk["lo"], F.least(walk["hi"], start + walk["shift"])), 6)
+
+
+def chunk_boosts(feedback: DataFrame, grain: str = "hour") -> DataFrame:
+    """Boost and event count per cited chunk."""
+    return chunk_walks(feedback, grain).select(
+        "chunk_id", apply_walk(F.lit(0.0), F.col("walk")).alias("boost_score"), "feedback_count")
 
 
 def active_boosts(boosts: DataFrame, floor: float = 0.001) -> DataFrame:

@@ -32,19 +32,19 @@ def duck_tokens(x: str) -> str:
 
 
 def bm25_ctes(corpus: str = "chunks", key: str = "chunk_id", text: str = "content", queries: str = "queries",
-              qtext: str = "text") -> str:
-    return f"""b_tok AS (SELECT {key} AS chunk_id, {duck_tokens(text)} AS t FROM {corpus}),
-b_len AS (SELECT chunk_id, len(t) AS dl FROM b_tok), b_corpus AS (SELECT count(*) AS n, avg(dl) AS mean FROM b_len),
-b_post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM b_tok) GROUP BY ALL),
-b_df AS (SELECT term, count(*) AS df FROM b_post GROUP BY term),
-b_raw AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM b_df, b_corpus),
-b_idf AS (SELECT term, df, CASE WHEN idf < 0 THEN 0.25::DOUBLE * (SELECT avg(idf) FROM b_raw) ELSE idf END AS idf FROM b_raw),
-b_q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({duck_tokens(qtext)}) AS term FROM {queries}) GROUP BY ALL),
-b_nq AS (SELECT query_id, count(*) AS n_terms FROM b_q GROUP BY query_id),
-b_sum AS (SELECT q.query_id, p.chunk_id, round(sum(q.qtf * i.idf * p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.dl / c.mean))), 6) AS score,
- count(*) AS hit FROM b_q q JOIN b_post p ON p.term = q.term JOIN b_idf i ON i.term = q.term JOIN b_len l ON l.chunk_id = p.chunk_id
- CROSS JOIN b_corpus c GROUP BY ALL),
-b_score AS (SELECT s.query_id, s.chunk_id, s.score, round(s.hit::DOUBLE / n.n_terms, 6) AS overlap FROM b_sum s JOIN b_nq n USING (query_id) WHERE s.score > 0)"""
+              qtext: str = "text", p: str = "b") -> str:
+    return f"""{p}_tok AS (SELECT {key} AS chunk_id, {duck_tokens(text)} AS t FROM {corpus}),
+{p}_len AS (SELECT chunk_id, len(t) AS dl FROM {p}_tok), {p}_corpus AS (SELECT count(*) AS n, avg(dl) AS mean FROM {p}_len),
+{p}_post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM {p}_tok) GROUP BY ALL),
+{p}_df AS (SELECT term, count(*) AS df FROM {p}_post GROUP BY term),
+{p}_raw AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM {p}_df, {p}_corpus),
+{p}_idf AS (SELECT term, df, CASE WHEN idf < 0 THEN 0.25::DOUBLE * (SELECT avg(idf) FROM {p}_raw) ELSE idf END AS idf FROM {p}_raw),
+{p}_q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({duck_tokens(qtext)}) AS term FROM {queries}) GROUP BY ALL),
+{p}_nq AS (SELECT query_id, count(*) AS n_terms FROM {p}_q GROUP BY query_id),
+{p}_sum AS (SELECT q.query_id, p.chunk_id, round(sum(q.qtf * i.idf * p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.dl / c.mean))), 6) AS score,
+ count(*) AS hit FROM {p}_q q JOIN {p}_post p ON p.term = q.term JOIN {p}_idf i ON i.term = q.term JOIN {p}_len l ON l.chunk_id = p.chunk_id
+ CROSS JOIN {p}_corpus c GROUP BY ALL),
+{p}_score AS (SELECT s.query_id, s.chunk_id, s.score, round(s.hit::DOUBLE / n.n_terms, 6) AS overlap FROM {p}_sum s JOIN {p}_nq n USING (query_id) WHERE s.score > 0)"""
 
 
 def duck_tier(col: str, table, default: float) -> str:

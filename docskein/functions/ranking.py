@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def round6(x: Column) -> Column:
+    """Six decimals by scaling, inside generated code; for the many rows that are scored before ranking."""
+    return F.floor(x * 1e6 + 0.5) / F.lit(1e6)
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | Column, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per key. A literal ``k`` lets Spark keep k rows per task and key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

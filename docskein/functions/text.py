@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docskein.functions.fixed import STOP_WORDS
 
@@ -65,7 +66,7 @@ def keyword_hits(lowered: Column, keywords: list[str]) -> Column:
     return hits
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC; Spark has no built-in for it."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))

@@ -10,11 +10,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docskein.session import spread, stored
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
+# tables whose rows carry long texts or vectors, where per-row work dominates
+TEXT_TABLES = ("documents", "embeddings", "conversations")
+
 AS_OF_LOG = "2024-01-31 00:00:00"
 AS_OF_DOCS = "2025-12-31 00:00:00"
 
@@ -218,10 +223,18 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._stored: dict[str, DataFrame] = {}
+
+    def stored(self, name: str) -> DataFrame:
+        """A view as a written table, for plans that read it several times (as a real chunk table would be)."""
+        if name not in self._stored:
+            self._stored[name] = stored(getattr(self, name), name)
+        return self._stored[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(table) if name in TEXT_TABLES else table
         if name in VIEWS:
             ctes = needed_views([name])
             used = [b for b in BASE_TABLES if any(re.search(rf"\b{b}\b", view_sql(v, "spark")) for v in ctes)]

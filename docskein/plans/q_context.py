@@ -94,14 +94,14 @@ WITH RECURSIVE {_ANSWER}, g AS (SELECT query_id, count(*) AS n, max(used) AS use
 SELECT q.query_id, q.text AS question, coalesce(g.n, 0)::INT AS n_chunks, coalesce(g.used, 0)::INT AS used_tokens, coalesce(g.txt, '') AS context_text
 FROM queries q LEFT JOIN g USING (query_id)""", "chunk_meta queries")
 def _(t):
-    return rt.answer_contexts(t.chunk_meta, t.queries, AS_OF_DOCS).drop("citations")
+    return rt.answer_contexts(t.stored("chunk_meta"), t.stored("queries"), AS_OF_DOCS).drop("citations")
 
 
 @query("citations", f"""
 WITH RECURSIVE {_ANSWER} SELECT query_id, no::INT AS source_no, chunk_id, source_file AS source, round(final_score, 4) AS score FROM blocks""",
        "chunk_meta queries")
 def _(t):
-    a = rt.answer_contexts(t.chunk_meta, t.queries, AS_OF_DOCS)
+    a = rt.answer_contexts(t.stored("chunk_meta"), t.stored("queries"), AS_OF_DOCS)
     return a.select("query_id", F.posexplode("citations").alias("i", "c")).select(
         "query_id", (F.col("i") + 1).alias("source_no"), "c.chunk_id", "c.source", "c.score")
 
@@ -127,13 +127,13 @@ cas AS (SELECT query_id, level, chunks, confidence, confidence < 0.35 AS low_con
 
 
 def _cascade_inputs(t):
-    return t.queries.withColumns({"repo_hint": F.col("scope_repository"), "dept_hint": F.col("scope_department")})
+    return t.stored("queries").withColumns({"repo_hint": F.col("scope_repository"), "dept_hint": F.col("scope_department")})
 
 
 def _cascade(t):
     q = _cascade_inputs(t)
-    results = rt.level_results(lexical.index_chunks(t.chunks), q, t.chunk_meta)
-    return results, rt.pick_level(q, results, chunk_counts(t.chunks))
+    results = rt.level_results(lexical.index_chunks(t.stored("chunk_meta")), q, t.stored("chunk_meta"))
+    return results, rt.pick_level(q, results, chunk_counts(t.stored("chunk_meta")))
 
 
 @query("cascade", f"""
@@ -163,7 +163,7 @@ def _(t):
     _, kept = _cascade(t)
     # the retry drops every scope and widens both the list and the final k
     weak = _cascade_inputs(t).join(kept.filter("low_confidence").select("query_id"), "query_id", "left_semi")
-    again = rt.level_results(lexical.index_chunks(t.chunks), weak, t.chunk_meta, list_size=40, k=25).filter("level = 4")
+    again = rt.level_results(lexical.index_chunks(t.stored("chunk_meta")), weak, t.stored("chunk_meta"), list_size=40, k=25).filter("level = 4")
     stats = again.groupBy("query_id").agg(F.count("*").alias("chunks"), F.max("final_score").alias("confidence"))
     return rt.low_confidence_retry(kept, stats)
 

@@ -9,7 +9,7 @@ from docskein.functions.text import TOKEN, tokens
 from docskein.operators import dense, lexical, scoring
 from docskein.operators import feedback as fb
 from docskein.operators import understand as u
-from docskein.operators.filters import in_scope, scope_kind, visible_to
+from docskein.operators.filters import in_scope, scope_kind
 from docskein.plans.fixtures import AS_OF_DOCS
 from docskein.plans.q_metrics import BOOSTS_CTE
 from docskein.plans.q_understand import UNDERSTAND
@@ -184,13 +184,13 @@ s AS (SELECT s.query_id, s.chunk_id, s.score FROM b_score s JOIN chunk_meta m ON
 SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s QUALIFY rank <= 20""",
        "chunk_meta queries")
 def _(t):
-    attrs = t.chunk_meta.select("chunk_id", "doc_id", "repository", "department", "access_roles")
-    q = t.queries
+    attrs = t.stored("chunk_meta").select("chunk_id", "doc_id", "repository", "department", "access_roles")
+    q = t.stored("queries")
     qa = q.select("query_id", "user_roles", "scope_doc_ids", "scope_repository", "scope_department").withColumn(
         "kind", scope_kind(F.col("scope_doc_ids"), F.col("scope_repository"), F.col("scope_department")))
-    keep = visible_to(F.col("access_roles"), F.col("user_roles")) & in_scope(
-        F.col("kind"), F.col("scope_doc_ids"), F.col("scope_repository"), F.col("scope_department"))
-    return lexical.bm25_search(lexical.index_chunks(t.chunks), q, 20, "text", keep, attrs, qa).drop("overlap")
+    keep = in_scope(F.col("kind"), F.col("scope_doc_ids"), F.col("scope_repository"), F.col("scope_department"))
+    return lexical.bm25_search(lexical.index_chunks(t.stored("chunk_meta")), q, 20, "text", keep, attrs, qa,
+                               by_role=True).drop("overlap")
 
 
 # ------------------------------------------------------------------ scores
@@ -236,10 +236,10 @@ SELECT query_id, chunk_id, round(least(0.30::DOUBLE, CASE WHEN list_contains(dep
  + CASE WHEN len(list_filter(ids, lambda x: contains(c, lower(x)) OR contains(f, lower(x)))) > 0 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END), 6) AS entity_boost FROM j""",
        "chunk_meta queries")
 def _(t):
-    hits = lexical.bm25_search(lexical.index_chunks(t.chunks), t.queries, 20).select("query_id", "chunk_id")
-    q = u.understand(t.queries).select("query_id", "departments", "repositories", "ticket_ids", "repository_weight",
+    hits = lexical.bm25_search(lexical.index_chunks(t.stored("chunk_meta")), t.stored("queries"), 20).select("query_id", "chunk_id")
+    q = u.understand(t.stored("queries")).select("query_id", "departments", "repositories", "ticket_ids", "repository_weight",
                                        "department_weight")
-    m = t.chunk_meta.select("chunk_id", "department", "repository", "content", "source_file")
+    m = t.stored("chunk_meta").select("chunk_id", "department", "repository", "content", "source_file")
     j = hits.join(m, "chunk_id").join(q, "query_id")
     return j.select("query_id", "chunk_id", scoring.entity_boost(
         F.col("department"), F.col("repository"), F.col("content"), F.col("source_file")).alias("entity_boost"))

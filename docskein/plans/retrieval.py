@@ -9,7 +9,7 @@ from docskein.functions import fixed
 from docskein.functions.ranking import top_k
 from docskein.functions.text import word_count
 from docskein.operators import context, lexical, scoring
-from docskein.operators.filters import visible_to
+from docskein.session import stored
 
 LEVELS = {1: "DOCUMENT", 2: "REPOSITORY", 3: "DEPARTMENT", 4: "GLOBAL"}
 
@@ -19,22 +19,27 @@ def _levels() -> Column:
     doc = F.when(F.array_contains("scope_doc_ids", F.col("doc_id")), 1)
     repo = F.when(F.col("repository") == F.col("repo_hint"), 2)
     dept = F.when(F.col("department") == F.col("dept_hint"), 3)
-    return F.array_compact(F.array(doc, repo, dept, F.lit(4)))
+    return F.array(doc, repo, dept, F.lit(4))
 
 
 def level_results(index: lexical.TermIndex, queries: DataFrame, chunks: DataFrame, list_size: int = 20,
                   k: int = 8) -> DataFrame:
     """Final chunks per (question, level). All levels share one pass over the postings: a pair is scored once and then
     competes in each level whose scope it meets."""
-    attrs = chunks.select("chunk_id", "doc_id", "repository", "department", "priority_tier")
-    scope = queries.select("query_id", "scope_doc_ids", "repo_hint", "dept_hint")
-    pairs = lexical.bm25_scores(index, queries).join(attrs, "chunk_id").join(scope, "query_id").select(
-        "query_id", "chunk_id", "score", "overlap", "priority_tier", F.explode(_levels()).alias("level"))
-    short = top_k(pairs, ["query_id", "level"], [F.desc("score"), F.asc("chunk_id")], list_size)
+    attrs = stored(chunks.select("chunk_id", "doc_id", "repository", "department", "priority_tier"), "chunk-attributes")
+    scope = stored(queries.select("query_id", "scope_doc_ids", "repo_hint", "dept_hint"), "scopes")
+
+    def pairs_of(ix: lexical.TermIndex) -> DataFrame:
+        pairs = lexical.bm25_scores(ix, queries).join(attrs, "chunk_id").join(scope, "query_id")
+        return pairs.select("query_id", "chunk_id", "score", "overlap", "priority_tier",
+                            F.explode(_levels()).alias("level")).filter(F.col("level").isNotNull())
+
+    short = lexical.bounded_top_k(pairs_of, index, ["query_id", "level"], list_size)
     scored = scoring.add_final_score(short.withColumn(
         "rerank_score", scoring.logistic(scoring.overlap_raw(F.col("overlap")))))
     kept = scored.filter(F.col("final_score") >= fixed.FINAL_THRESHOLD)
-    return top_k(kept, ["query_id", "level"], [F.desc("final_score"), F.asc("chunk_id")], k, "final_rank")
+    # at most k rows per question and level, read by every later step of the cascade
+    return stored(top_k(kept, ["query_id", "level"], [F.desc("final_score"), F.asc("chunk_id")], k, "final_rank"), "levels")
 
 
 def pick_level(queries: DataFrame, results: DataFrame, doc_sizes: DataFrame) -> DataFrame:
@@ -93,10 +98,12 @@ def ticket_fallback(final: DataFrame, thin: DataFrame, tickets: DataFrame, k: in
 def answer_contexts(chunks: DataFrame, queries: DataFrame, as_of: str, list_size: int = 20) -> DataFrame:
     """Question → packed context over a chunk table: BM25 list, fusion, re-rank, adjustments, packing, citations."""
     index = lexical.index_chunks(chunks)
-    roles = visible_to(F.col("access_roles"), F.col("user_roles")) if "user_roles" in queries.columns else None
+    roles = "user_roles" in queries.columns
     ranked = lexical.bm25_search(
-        index, queries, list_size, keep=roles, chunk_attrs=chunks.select("chunk_id", "access_roles"),
-        query_attrs=queries.select("query_id", "user_roles") if roles is not None else None)
+        index, queries, list_size, by_role=roles,
+        chunk_attrs=chunks.select("chunk_id", "access_roles") if roles else None,
+        query_attrs=queries.select("query_id", "user_roles") if roles else None)
+    ranked = stored(ranked, "ranked")  # list_size rows per question, read by fusion and scoring
     fused = scoring.rrf_fuse([("bm25", ranked)], chunks)
     meta = chunks.select("chunk_id", "source_file", "priority_tier", "ingested_at", word_count(F.col("content")).alias("token_count"))
     cands = (fused.join(ranked.select("query_id", "chunk_id", "overlap"), ["query_id", "chunk_id"])

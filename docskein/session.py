@@ -25,6 +25,15 @@ def build_session(app: str = "docskein", cpus: str | int = "*") -> SparkSession:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than there are cores, before heavy per-row work.
+
+    A corpus in many files already has enough partitions and is left as it is, so nothing large is ever moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 4 * cores else df
+
+
 def _checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the session names; make one only for local runs that name none."""
     sc = spark.sparkContext
@@ -45,6 +54,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    For tables read several times by column, and for small ones whose size should steer join planning.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into reliable storage, for results that several later steps read."""
     _checkpoint_dir(df.sparkSession)

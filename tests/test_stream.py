@@ -21,8 +21,7 @@ def feed(spark, df, cuts, order):
         if hi is not None:
             part = part.filter(F.col(order) <= hi)
         part.coalesce(1).write.mode("append").parquet(path)
-    stamp = 1_700_000_000
-    return path, stamp
+    return path
 
 
 def play(spark, stream, mode, table, handler):
@@ -33,7 +32,7 @@ def play(spark, stream, mode, table, handler):
 def test_boosts_over_many_batches(spark, tables):
     log = tables.feedback
     cuts = [r[0] for r in log.selectExpr("explode(percentile(feedback_id, array(0.25, 0.5, 0.75))) c").collect()]
-    path, _ = feed(spark, log, cuts, "feedback_id")
+    path = feed(spark, log, cuts, "feedback_id")
     table = st.KeyedTable(spark, scratch_path(spark, "t"), ["chunk_id"])
     got = play(spark, st.read_files(spark, path, log.schema, per_trigger=1), "append", table, st.boost_batches(table))
     assert len(os.listdir(table.path.replace("file:", ""))) >= 4
@@ -51,7 +50,7 @@ def test_replayed_batch_counts_once(spark, tables):
 
 def test_gap_counts_over_many_batches(spark, tables):
     log = tables.query_log
-    path, _ = feed(spark, log, [200, 600], "id")
+    path = feed(spark, log, [200, 600], "id")
     table = st.KeyedTable(spark, scratch_path(spark, "t"), ["query_hash"])
     got = play(spark, st.gap_counts(st.read_files(spark, path, log.schema, per_trigger=1)), "update", table, table.write_batch)
     want = {r["query_hash"]: r["frequency"] for r in m.gap_rollup(m.gap_detect(log)).collect()}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docskein.plans.fixtures import Tables, oracle
+from docskein.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +20,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] | str = ()):
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: (ship(spark), fn(Tables(spark, sf_dir)))[1]
         if sql is not None:
             ORACLES[name] = oracle(names, sql)
         return fn

@@ -1,22 +1,29 @@
-"""Session settings and lineage cutting."""
+"""Session settings, the archive for workers, and lineage cutting."""
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "docskein", cpus: str | int = "*") -> SparkSession:
     """Local session for tests and the bench; on a cluster use the submitted session instead."""
+    shared = os.environ.get("DOCSKEIN_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="docskein-shared-")
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8" if cpus == "*" else str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "4m")
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", f"file://{shared}")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -25,27 +32,41 @@ def build_session(app: str = "docskein", cpus: str | int = "*") -> SparkSession:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer partitions than there are cores, before heavy per-row work.
-
-    A corpus in many files already has enough partitions and is left as it is, so nothing large is ever moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 4 * cores else df
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, so that it need not be installed on them."""
+    sc = spark.sparkContext
+    if getattr(sc, "_docskein_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(top)))
+    # Spark's own file server hands it out, so a folder of the driver is enough
+    path = os.path.join(tempfile.mkdtemp(prefix="docskein-archive-"), "docskein.zip")
+    with open(path, "wb") as f:
+        f.write(content.getvalue())
+    sc.addPyFile(path)
+    sc._docskein_shipped = True
 
 
 def _checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; make one only for local runs that name none."""
+    """Use the shared folder that the session names in ``spark.checkpoint.dir``.
+
+    A local master that names none shares the driver's disk anyway and gets a folder there; a cluster must name one.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="docskein-ckpt-"))
-    else:
+    if not named and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        named = tempfile.mkdtemp(prefix="docskein-shared-")
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    sc.setCheckpointDir(named)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docskein.llm import simhash
+import public_tokenizers
+
+from docskein.llm import bpe, simhash
 from docskein.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +40,10 @@ def op1_simhash(t: Inputs) -> DataFrame:
     """Fingerprint and component of every document; no SQL twin, for DuckDB has no XXH64."""
     return simhash.near_duplicates(t.documents).select(
         "doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_token_counts(t: Inputs) -> DataFrame:
+    """Tokens of every document under the word-end vocabulary."""
+    found = bpe.token_counts(t.documents, public_tokenizers.path("word_bpe_49k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 2048)

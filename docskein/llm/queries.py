@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docskein.llm import bpe, simhash
+from docskein.llm import bpe, mixing, simhash
 from docskein.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,36 @@ def op6_token_counts(t: Inputs) -> DataFrame:
     """Tokens of every document under the word-end vocabulary."""
     found = bpe.token_counts(t.documents, public_tokenizers.path("word_bpe_49k.json"))
     return found.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+MIX_WEIGHTS, MIX_SHARE, MIX_MOST = [3, 1, 2], 1.5, 2.0
+
+
+@query
+def op5_mix_sources(t: Inputs) -> DataFrame:
+    """Words taken of every document when sources weigh 3, 1, 2, … and share 150 % of all words."""
+    return mixing.mixed(t.documents, MIX_WEIGHTS, MIX_SHARE, MIX_MOST).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op5_mix_sources"] = r"""
+WITH m AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>!]', '', 'g'))::BIGINT AS symbols FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM m GROUP BY source),
+p AS (SELECT *, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1 AS place FROM s),
+w AS (SELECT *, [3.0, 1.0, 2.0][(place % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS room FROM p),
+f AS (SELECT *, coalesce(sum(room) OVER before, 0) AS full_before, coalesce(sum(weight) OVER before, 0) AS weight_before,
+  sum(source_size) OVER () * 1.5::DOUBLE AS budget, sum(weight) OVER () AS weight_all FROM w
+  WINDOW before AS (ORDER BY room / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (budget - full_before) / (weight_all - weight_before) AS level FROM f),
+z AS (SELECT arg_min(level, row(room / weight, place)) AS settled FROM l WHERE level * weight <= room),
+g AS (SELECT source, source_size, coalesce(least(room, settled * weight), room) AS target FROM l, z),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM g),
+r AS (SELECT *, round(target - epochs * source_size)::BIGINT AS rest FROM e),
+k AS (SELECT m.doc_id, m.size, r.source, r.source_size, r.target, r.epochs, r.rest,
+  -ln((('0x' || substr(md5(coalesce(m.doc_id::VARCHAR, '') || '/mix'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+  / (1.0::DOUBLE / (1.0::DOUBLE + 4.0::DOUBLE * m.symbols / greatest(m.size, 1))) AS key
+  FROM m JOIN r ON m.source IS NOT DISTINCT FROM r.source),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM k)
+SELECT doc_id, size, source_size, target,
+ (epochs * size + CASE WHEN before < rest THEN least(size, rest - before) ELSE 0 END)::BIGINT AS taken FROM c"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docskein.llm import bpe, mixing, simhash
+from docskein.llm import bpe, mixing, quality, simhash
 from docskein.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ k AS (SELECT m.doc_id, m.size, r.source, r.source_size, r.target, r.epochs, r.re
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM k)
 SELECT doc_id, size, source_size, target,
  (epochs * size + CASE WHEN before < rest THEN least(size, rest - before) ELSE 0 END)::BIGINT AS taken FROM c"""
+
+
+@query
+def op9_quality_rules(t: Inputs) -> DataFrame:
+    """Base measures and verdict of every document; the model learns from ``labels``."""
+    return quality.assess(t.documents, quality.fit(t.documents, t.labels))

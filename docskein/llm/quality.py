@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> dict | N
         m = train(pdf["text"].to_numpy()[order].tolist(), good[order], prior)
         return pd.DataFrame({"weights": [m["weights"].tobytes()], "slope": [m["slope"]], "shift": [m["shift"]]})
 
-    found = sample.groupBy(F.lit(1)).applyInPandas(run, "weights binary, slope double, shift double").collect()
+    found = sample.groupBy().applyInPandas(run, "weights binary, slope double, shift double").collect()
     if not found or found[0]["weights"] is None:
         return None
     weights = np.frombuffer(bytes(found[0]["weights"]), dtype=np.float32).reshape(len(FAMILIES), -1)

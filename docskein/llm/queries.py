@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docskein.llm import bpe, mixing, quality, simhash
+from docskein.llm import bpe, mixing, packing, quality, simhash
 from docskein.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ SELECT doc_id, size, source_size, target,
 def op9_quality_rules(t: Inputs) -> DataFrame:
     """Base measures and verdict of every document; the model learns from ``labels``."""
     return quality.assess(t.documents, quality.fit(t.documents, t.labels))
+
+
+@query
+def op3_pack_sequences(t: Inputs) -> DataFrame:
+    """Place of every piece of every document in sequences of 1024 tokens."""
+    return packing.packed_documents(t.documents, public_tokenizers.path("byte_bpe_50k.json"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docskein.llm import bpe, mixing, packing, quality, simhash
+from docskein.llm import bpe, mixer, mixing, packing, quality, simhash
 from docskein.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def op9_quality_rules(t: Inputs) -> DataFrame:
 def op3_pack_sequences(t: Inputs) -> DataFrame:
     """Place of every piece of every document in sequences of 1024 tokens."""
     return packing.packed_documents(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op10_context_mixing(t: Inputs) -> DataFrame:
+    """Unigram base score and context-mixing score of every document."""
+    return mixer.score(t.documents, mixer.fit(t.documents))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docskein.llm import bpe, mixer, mixing, packing, quality, simhash
+from docskein.llm import bpe, chunks, mixer, mixing, packing, quality, simhash
 from docskein.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op3_pack_sequences(t: Inputs) -> DataFrame:
 def op10_context_mixing(t: Inputs) -> DataFrame:
     """Unigram base score and context-mixing score of every document."""
     return mixer.score(t.documents, mixer.fit(t.documents))
+
+
+@query
+def op8_substring_dedup(t: Inputs) -> DataFrame:
+    """Later occurrences of repeated passages, one row each, with the document that has them first."""
+    return chunks.repeated_runs(t.documents)

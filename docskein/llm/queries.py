@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docskein.llm import bpe, chunks, mixer, mixing, packing, quality, simhash
+from docskein.llm import bpe, chunks, mixer, mixing, packing, quality, setjoin, simhash
 from docskein.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,9 @@ def op10_context_mixing(t: Inputs) -> DataFrame:
 def op8_substring_dedup(t: Inputs) -> DataFrame:
     """Later occurrences of repeated passages, one row each, with the document that has them first."""
     return chunks.repeated_runs(t.documents)
+
+
+@query
+def op7_line_dedup(t: Inputs) -> DataFrame:
+    """Lines of every document that match an earlier line, and the documents of those."""
+    return setjoin.line_report(t.documents)

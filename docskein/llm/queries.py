@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docskein.llm import bpe, chunks, mixer, mixing, packing, quality, setjoin, simhash
+from docskein.llm import bpe, chunks, mixer, mixing, packing, quality, setjoin, simhash, sites
 from docskein.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,9 @@ def op8_substring_dedup(t: Inputs) -> DataFrame:
 def op7_line_dedup(t: Inputs) -> DataFrame:
     """Lines of every document that match an earlier line, and the documents of those."""
     return setjoin.line_report(t.documents)
+
+
+@query
+def op4_site_quality(t: Inputs) -> DataFrame:
+    """Probability of good quality of every document; its source is the host and its language the path below it."""
+    return sites.posteriors(t.documents, t.labels, F.col("source"), F.col("lang"))

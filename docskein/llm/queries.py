@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from docskein.llm import bpe, chunks, mixer, mixing, packing, quality, setjoin, simhash, sites
+from docskein.llm import bpe, chunks, mixer, mixing, packing, quality, setjoin, simhash, sites, voronoi
 from docskein.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,18 @@ def op7_line_dedup(t: Inputs) -> DataFrame:
 def op4_site_quality(t: Inputs) -> DataFrame:
     """Probability of good quality of every document; its source is the host and its language the path below it."""
     return sites.posteriors(t.documents, t.labels, F.col("source"), F.col("lang"))
+
+
+@query
+def op2_voronoi_topk(t: Inputs) -> DataFrame:
+    """Ten highest integer products of every hundredth vector with all others."""
+    return voronoi.top_k(t.embeddings.filter(F.col("vec_id") % 100 == 0), t.embeddings)
+
+
+ORACLES["op2_voronoi_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""

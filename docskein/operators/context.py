@@ -5,7 +5,7 @@ A question's candidates are at most the re-rank pool, so they fit one array and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docskein.functions import fixed
@@ -16,15 +16,16 @@ ITEM = ("struct<pos:int,chunk_id:bigint,doc_key:string,token_count:int,priority_
         "stale:boolean>")
 
 
-def gather(candidates: DataFrame, stale: Column | None = None, pool: int = 60) -> DataFrame:
-    """One row per question with its candidates in final order (at most ``pool``) as ``items``."""
-    ranked = top_k(candidates, ["query_id"], [F.desc("final_score"), F.asc("chunk_id")], pool, "pos")
+def gather(final: DataFrame, stale: Column | None = None) -> DataFrame:
+    """One row per question with its final list in order as ``items``; the caller's selection bounds the list."""
+    ranked = final.withColumn("pos", F.row_number().over(
+        Window.partitionBy("query_id").orderBy(F.desc("final_score"), F.asc("chunk_id"))))
     item = F.struct(
         F.col("pos").cast("int").alias("pos"), F.col("chunk_id").cast("bigint").alias("chunk_id"),
         F.col("doc_key").cast("string").alias("doc_key"), F.col("token_count").cast("int").alias("token_count"),
         F.col("priority_tier").cast("int").alias("priority_tier"), F.col("final_score").alias("final_score"),
         (F.lit(False) if stale is None else stale).alias("stale"))
-    extra = [F.first("intent").alias("intent")] if "intent" in candidates.columns else []
+    extra = [F.first("intent").alias("intent")] if "intent" in final.columns else []
     return ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).cast(f"array<{ITEM}>").alias("items"), *extra)
 
 
@@ -118,14 +119,14 @@ def is_stale(age: Column) -> Column:
     return age > fixed.STALE_DAYS
 
 
-def prompts(contexts: DataFrame, history: DataFrame, turns: int = 4) -> DataFrame:
-    """Prompt per session: its last turns (300 characters each), the context and the question.
+def prompts(contexts: DataFrame, history: DataFrame, turns: int = 4, max_chars: int | None = None) -> DataFrame:
+    """Prompt per session: its last turns (whole, or ``max_chars`` characters of each), the context and the question.
 
     ``history(session_id, turn, role, content)``; ``contexts(session_id, context_text, question)``.
     """
     last = top_k(history, ["session_id"], [F.desc("turn")], turns, "back")
     who = F.when(F.col("role") == "user", "User").otherwise("Assistant")
-    line = F.concat(who, F.lit(": "), F.substring("content", 1, 300))
+    line = F.concat(who, F.lit(": "), F.col("content") if max_chars is None else F.substring("content", 1, max_chars))
     told = last.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("h"))
     head = F.concat(F.array_join(F.transform("h", lambda x: x["line"]), "\n"), F.lit("\n\n"))
     return contexts.join(told, "session_id", "left").select("session_id", F.concat(
@@ -140,38 +141,47 @@ def fallback_summary(text: Column, max_words: int) -> Column:
         F.array_join(F.slice(w, 1, 2 * max_words), " "), F.when(F.size(w) > 2 * max_words, "...").otherwise("")))
 
 
-def doc_chunks(requested: DataFrame, chunks: DataFrame, limit: int = 500) -> DataFrame:
-    """Chunks of requested (doc_id, source_file): by id, or by file name when the id has none; document order."""
+def doc_chunks(requested: DataFrame, chunks: DataFrame, limit: int | None = None) -> DataFrame:
+    """Chunks of requested (doc_id, source_file): by id, or by file name when the id has none; document
+    order, all of them or the first ``limit``."""
     by_id = requested.select("doc_id").join(chunks, "doc_id")
     missing = requested.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti")
     by_file = (missing.select(F.col("doc_id").alias("_want"), basename(F.col("source_file")).alias("source_file"))
                .join(chunks.drop("doc_id"), "source_file").withColumnRenamed("_want", "doc_id"))
     both = by_id.unionByName(by_file.select(*by_id.columns))
-    return top_k(both, ["doc_id"], [F.asc_nulls_last("chunk_index"), F.asc("chunk_id")], limit, "position")
+    order = [F.asc_nulls_last("chunk_index"), F.asc("chunk_id")]
+    if limit is None:
+        return both.withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+    return top_k(both, ["doc_id"], order, limit, "position")
 
 
-def doc_outline(chunks: DataFrame, max_chars: int = 3000) -> DataFrame:
-    """Outline per document: "- title: summary" lines in order, cut to ``max_chars`` as the shortcut defines it.
+def doc_outline(chunks: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Outline per document: "- title: summary" lines in order, whole or cut to ``max_chars``.
 
     Lines are at most as many as the document has chunks, so the group is bounded by one document.
     """
     label = F.coalesce("section_title", F.concat(F.lit("Section "), F.col("chunk_index").cast("string")))
     summary = F.trim(F.coalesce("chunk_summary", F.lit("")))
     line = F.concat(F.lit("- "), label, F.when(summary != "", F.concat(F.lit(": "), summary)).otherwise(""))
+    text = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
     return chunks.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("chunk_index", line.alias("line")))).alias("l")).select(
-        "doc_id", F.substring(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), 1, max_chars).alias("outline"))
+        "doc_id", (text if max_chars is None else F.substring(text, 1, max_chars)).alias("outline"))
 
 
 def even_sample(chunks: DataFrame, n: int = 8) -> DataFrame:
     """At most ``n`` evenly spaced chunks per document: positions floor(i · len / n).
 
-    ``chunk_index`` already numbers a document's chunks, so lengths come from a count and no document is sorted.
+    Positions are counted, since ``chunk_index`` has gaps where a page was empty. Only ids and positions are shuffled;
+    the few sampled chunks meet their rows again by id.
     """
-    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("_len"))
+    ids = chunks.select("doc_id", "chunk_index", "chunk_id")
+    own = Window.partitionBy("doc_id")
+    placed = ids.withColumns({"_at": F.row_number().over(own.orderBy("chunk_index", "chunk_id")).cast("bigint") - 1,
+                              "_len": F.count("*").over(own)})
     take = F.least(F.col("_len"), F.lit(n))
     at = F.transform(F.sequence(F.lit(0).cast("bigint"), take - 1), lambda i: F.floor(i * (F.col("_len") / take)))
-    return chunks.join(sizes, "doc_id").filter(F.array_contains(at, F.col("chunk_index"))).drop("_len")
+    return chunks.join(placed.filter(F.array_contains(at, F.col("_at"))).select("chunk_id"), "chunk_id", "left_semi")
 
 
 def scope_escape(results: DataFrame) -> DataFrame:

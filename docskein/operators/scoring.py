@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docskein.functions import fixed
@@ -51,9 +51,11 @@ def logistic(raw: Column) -> Column:
     return F.round(1.0 / (1.0 + F.exp(-raw)), 6)
 
 
-def overlap_raw(overlap: Column) -> Column:
-    """Offline stand-in for a pair model: affine in the share of query terms the chunk holds."""
-    return overlap * 8.0 - 4.0
+def pair_raw(pairs: DataFrame) -> Column:
+    """Offline stand-in for a pair model, graded from -3 to 3: the lexical score against the question's best one, damped
+    where the chunk holds less than a quarter of the question's terms. ``pairs(query_id, score, overlap)``."""
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    return F.col("score") / best * F.least(F.lit(1.0), F.col("overlap") * 4.0) * 6.0 - 3.0
 
 
 def score_pairs(pairs: DataFrame, model: Callable[[pd.DataFrame], pd.Series], query: str = "query_text",

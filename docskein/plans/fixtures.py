@@ -44,25 +44,38 @@ SELECT c_custkey AS user_id, lower(replace(c_name,'#','.')) || '@example.com' AS
   ELSE ARR['Employee','it_admin']ARR END AS access_roles
 FROM customer"""
 
-# one ticket per order; its words come from the first user and assistant turn of a conversation
+# one ticket per order; all user turns of a conversation and its answers are dealt over the orders that fall to it
 _TICKETS = """
-SELECT 'TCK' || lpad(CAST(o.o_orderkey AS STRING),6,'0') AS ticket_id, split_part(c.ask,'.',1) AS subject,
- c.ask AS description,
+SELECT 'TCK' || lpad(CAST(o.o_orderkey AS STRING),6,'0') AS ticket_id, split_part(o.ask,'.',1) AS subject,
+ o.ask AS description,
  CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Critical' WHEN '2-HIGH' THEN 'High' WHEN '3-MEDIUM' THEN 'Medium'
   WHEN '5-LOW' THEN 'Low' END AS priority,
  CASE o.o_custkey % 9 WHEN 0 THEN 'Network' WHEN 1 THEN 'Hardware' WHEN 2 THEN 'Software' WHEN 3 THEN 'Access'
   WHEN 4 THEN 'Email' WHEN 5 THEN 'Security' WHEN 6 THEN 'HR' WHEN 7 THEN 'Finance' ELSE 'Payroll' END AS category,
  CASE o.o_orderstatus WHEN 'F' THEN 'Done' WHEN 'O' THEN 'NEW' ELSE '' END AS status_raw,
  CASE o.o_orderstatus WHEN 'F' THEN 'resolved' ELSE 'open' END AS status,
- CASE WHEN o.o_orderstatus = 'F' AND o.o_orderkey % 3 <> 0 THEN c.reply END AS resolution,
+ CASE WHEN o.o_orderstatus = 'F' AND o.o_orderkey % 3 <> 0 THEN o.reply END AS resolution,
  o.o_custkey AS requester_id, CAST(o.o_orderdate AS TIMESTAMP) AS created_at,
  CASE WHEN o.o_orderstatus = 'F'
   THEN CAST(o.o_orderdate AS TIMESTAMP) + INTERVAL '1' DAY * CAST(o.o_orderkey % 30 AS INT) END AS resolved_at
-FROM (SELECT *, o_orderkey % (SELECT count(DISTINCT conv_id) FROM conversations) AS conv_key FROM orders) o
-JOIN (SELECT conv_id, {min_by}(CASE WHEN role = 'user' THEN text END, CASE WHEN role = 'user' THEN turn END) AS ask,
-  {min_by}(CASE WHEN role = 'assistant' THEN text END, CASE WHEN role = 'assistant' THEN turn END) AS reply
-  FROM conversations GROUP BY conv_id) c ON c.conv_id = o.conv_key
-WHERE c.ask IS NOT NULL"""
+FROM (SELECT o.*, coalesce({get_ask}, {get_reply}, '') AS ask, {get_reply} AS reply
+ FROM (SELECT *, o_orderkey % (SELECT count(DISTINCT conv_id) FROM conversations) AS conv_key,
+   CAST(floor(o_orderkey / (SELECT count(DISTINCT conv_id) FROM conversations)) AS BIGINT) AS lap FROM orders) o
+ LEFT JOIN (SELECT conv_id, {asks} AS asks, {replies} AS replies FROM conversations GROUP BY conv_id) c ON c.conv_id = o.conv_key) o"""
+
+# lists of the texts of one role in order, and the element that a lap takes of them
+_TICKETS_SPARK = {
+    "asks": "transform(array_sort(collect_list(CASE WHEN role = 'user' THEN struct(turn, text) END)), x -> x.text)",
+    "replies": "transform(array_sort(collect_list(CASE WHEN role = 'assistant' THEN struct(turn, text) END)), x -> x.text)",
+    "get_ask": "get(asks, CAST(lap % greatest(size(asks), 1) AS INT))",
+    "get_reply": "get(replies, CAST(lap % greatest(size(replies), 1) AS INT))",
+}
+_TICKETS_DUCK = {
+    "asks": "list(text ORDER BY turn) FILTER (WHERE role = 'user')",
+    "replies": "list(text ORDER BY turn) FILTER (WHERE role = 'assistant')",
+    "get_ask": "asks[lap % greatest(len(asks), 1) + 1]",
+    "get_reply": "replies[lap % greatest(len(replies), 1) + 1]",
+}
 
 _QUERY_LOG = """
 SELECT event_id AS id, ts, user_id, user_id * 100 + event_id % 7 AS session_id,
@@ -158,7 +171,7 @@ FROM chunks c JOIN docs d ON d.doc_id = c.doc_id"""
 VIEWS: dict[str, tuple[tuple[str, ...], str | tuple[str, str]]] = {
     "docs": ((), _DOCS),
     "users": ((), _USERS),
-    "tickets": ((), (_TICKETS.replace("{min_by}", "min_by"), _TICKETS.replace("{min_by}", "arg_min"))),
+    "tickets": ((), (_TICKETS.format(**_TICKETS_SPARK), _TICKETS.format(**_TICKETS_DUCK))),
     "query_log": ((), _QUERY_LOG),
     "feedback": ((), _FEEDBACK),
     "queries": ((), _QUERIES),
@@ -221,6 +234,7 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._stored: dict[str, DataFrame] = {}
+        self.indexes: dict[str, object] = {}
 
     def stored(self, name: str) -> DataFrame:
         """A view as a written table, for plans that read it several times (as a real chunk table would be)."""

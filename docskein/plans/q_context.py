@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from docskein.operators import context as cx
 from docskein.operators import lexical, scoring
-from docskein.operators.catalog import chunk_counts
 from docskein.plans import retrieval as rt
 from docskein.plans.fixtures import AS_OF_DOCS
 from docskein.plans.q_ingest import WORDS
@@ -15,11 +14,15 @@ from docskein.functions import fixed
 from docskein.plans.registry import query
 
 
+# logistic of the graded pair score over the rows of a question
+PAIR = SIGMOID.format(x="(score / max(score) OVER (PARTITION BY query_id) * least(1.0::DOUBLE, overlap * 4.0::DOUBLE) * 6.0::DOUBLE - 3.0::DOUBLE)")
+
+
 def pack_ctes(source: str, doc_key: str, stale: str = "false") -> str:
     """Greedy packing and the tier-1 guarantee as a recursive walk over ``source`` (query_id, chunk_id, token_count,
     priority_tier, final_score, intent)."""
     return f"""ordered AS (SELECT query_id, chunk_id, {doc_key} AS dk, token_count::BIGINT AS tc, priority_tier AS tier, final_score, intent, {stale} AS stale,
- row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS pos FROM {source} QUALIFY pos <= 60),
+ row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS pos FROM {source} ),
 walk AS (SELECT query_id, 0::BIGINT AS pos, 0::BIGINT AS used, []::BIGINT[] AS picked, []::VARCHAR[] AS docs,
   CASE WHEN min(intent) = 'SUMMARIZE' THEN 8192 ELSE 4096 END AS budget, CASE WHEN min(intent) = 'SUMMARIZE' THEN 16 ELSE 8 END AS slots
   FROM ordered GROUP BY query_id
@@ -44,11 +47,11 @@ packed AS (SELECT f.query_id, f.no, o.chunk_id, u.used, o.stale, o.final_score F
  JOIN used u ON u.query_id = f.query_id)"""
 
 
-_PACK = pack_ctes("fin", "doc_id", f"{AGE} > 180")
+_PACK = pack_ctes("top", "doc_id", f"{AGE} > 180")
 
 
 def _gathered(t):
-    s = scored(t).withColumn("doc_key", F.col("doc_id"))
+    s = scoring.select_final(scored(t)).withColumn("doc_key", F.col("doc_id"))
     return cx.gather(s, cx.is_stale(scoring.age_days(F.col("ingested_at"), AS_OF_DOCS)))
 
 
@@ -71,7 +74,7 @@ def _(t):
 
 
 @query("context_pack_simple", f"""
-WITH RECURSIVE {SCORED_CTES}, plain AS (SELECT * REPLACE ('SEARCH' AS intent) FROM fin), {pack_ctes('plain', 'doc_id')}
+WITH RECURSIVE {SCORED_CTES}, plain AS (SELECT * REPLACE ('SEARCH' AS intent) FROM top), {pack_ctes('plain', 'doc_id')}
 SELECT query_id, no::INT AS source_no, chunk_id FROM c2""", "vectors feedback")
 def _(t):
     return cx.picked_rows(cx.pack_simple(_gathered(t))).select("query_id", "source_no", "chunk_id")
@@ -82,7 +85,7 @@ vis AS (SELECT s.*, m.priority_tier, m.source_file, m.ingested_at, m.content, co
  JOIN queries q USING (query_id) WHERE m.access_roles IS NULL OR list_has_any(m.access_roles, q.user_roles)),
 r AS (SELECT * FROM vis QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 20),
 f AS (SELECT *, 'SEARCH' AS intent, len({WORDS.format(x='content')}) AS token_count,
- round({SIGMOID.format(x='(overlap * 8.0::DOUBLE - 4.0::DOUBLE)')} + {duck_tier('priority_tier', fixed.TIER_ADDITIVE, 0.0)} + {FRESH}, 6) AS final_score FROM r),
+ round({PAIR} + {duck_tier('priority_tier', fixed.TIER_ADDITIVE, 0.0)} + {FRESH}, 6) AS final_score FROM r),
 fin AS (SELECT * FROM f WHERE final_score >= 0.38 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) <= 8),
 {pack_ctes('fin', 'source_file', f'{AGE} > 180')},
 blocks AS (SELECT p.query_id, p.no, p.used, p.chunk_id, p.final_score, m.source_file, '[Source ' || p.no || '] ' || m.source_file || ' | General | p.0 | ' || m.repo
@@ -92,14 +95,14 @@ blocks AS (SELECT p.query_id, p.no, p.used, p.chunk_id, p.final_score, m.source_
 @query("answer_contexts", f"""
 WITH RECURSIVE {_ANSWER}, g AS (SELECT query_id, count(*) AS n, max(used) AS used, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY no) AS txt FROM blocks GROUP BY query_id)
 SELECT q.query_id, q.text AS question, coalesce(g.n, 0)::INT AS n_chunks, coalesce(g.used, 0)::INT AS used_tokens, coalesce(g.txt, '') AS context_text
-FROM queries q LEFT JOIN g USING (query_id)""", "chunk_meta queries")
+FROM queries q LEFT JOIN g USING (query_id)""", "docs chunk_meta queries")
 def _(t):
     return rt.answer_contexts(t.stored("chunk_meta"), t.stored("queries"), AS_OF_DOCS).drop("citations")
 
 
 @query("citations", f"""
 WITH RECURSIVE {_ANSWER} SELECT query_id, no::INT AS source_no, chunk_id, source_file AS source, round(final_score, 4) AS score FROM blocks""",
-       "chunk_meta queries")
+       "docs chunk_meta queries")
 def _(t):
     a = rt.answer_contexts(t.stored("chunk_meta"), t.stored("queries"), AS_OF_DOCS)
     return a.select("query_id", F.posexplode("citations").alias("i", "c")).select(
@@ -109,16 +112,17 @@ def _(t):
 # ------------------------------------------------------------------ cascade
 _CASCADE = f"""{bm25_ctes()},
 pr AS (SELECT s.query_id, s.chunk_id, s.score, s.overlap, m.doc_id, m.repository, m.department, m.priority_tier, q.scope_doc_ids, q.scope_repository, q.scope_department
- FROM b_score s JOIN chunk_meta m ON m.chunk_id = s.chunk_id JOIN queries q ON q.query_id = s.query_id),
+ FROM b_score s JOIN chunk_meta m ON m.chunk_id = s.chunk_id JOIN queries q ON q.query_id = s.query_id WHERE (m.access_roles IS NULL OR list_has_any(m.access_roles, q.user_roles))),
 lv AS (SELECT *, 1 AS level FROM pr WHERE list_contains(scope_doc_ids, doc_id) UNION ALL SELECT *, 2 FROM pr WHERE repository = scope_repository
  UNION ALL SELECT *, 3 FROM pr WHERE department = scope_department UNION ALL SELECT *, 4 FROM pr),
 sh AS (SELECT * FROM lv QUALIFY row_number() OVER (PARTITION BY query_id, level ORDER BY score DESC, chunk_id) <= 20),
-fs AS (SELECT *, round({SIGMOID.format(x='(overlap * 8.0::DOUBLE - 4.0::DOUBLE)')} + {duck_tier('priority_tier', fixed.TIER_ADDITIVE, 0.0)}, 6) AS final_score FROM sh),
+fs AS (SELECT *, round({PAIR} + {duck_tier('priority_tier', fixed.TIER_ADDITIVE, 0.0)}, 6) AS final_score FROM sh),
 rs AS (SELECT * FROM fs WHERE final_score >= 0.38 QUALIFY row_number() OVER (PARTITION BY query_id, level ORDER BY final_score DESC, chunk_id) <= 8),
 st AS (SELECT query_id, level, count(*) AS chunks, max(final_score) AS confidence FROM rs GROUP BY ALL),
 ds AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id),
-fb AS (SELECT q.query_id, 0 AS level, sum(least(ds.n, 8) + 1)::BIGINT AS chunks, 0.95::DOUBLE AS confidence
- FROM (SELECT query_id, unnest(scope_doc_ids) AS doc_id FROM queries) q JOIN ds USING (doc_id)
+scoped AS (SELECT q.query_id, q.doc_id, ds.n FROM (SELECT query_id, user_roles, unnest(scope_doc_ids) AS doc_id FROM queries) q JOIN ds USING (doc_id)
+ JOIN docs m USING (doc_id) WHERE (m.access_roles IS NULL OR list_has_any(m.access_roles, q.user_roles))),
+fb AS (SELECT q.query_id, 0 AS level, sum(least(q.n, 8) + 1)::BIGINT AS chunks, 0.95::DOUBLE AS confidence FROM scoped q
  WHERE q.query_id NOT IN (SELECT query_id FROM st WHERE level = 1) GROUP BY q.query_id),
 fl AS (SELECT query_id, 4 AS level, 0 AS chunks, 0.0::DOUBLE AS confidence FROM queries WHERE query_id NOT IN (SELECT query_id FROM st WHERE level = 4)),
 al AS (SELECT * FROM st UNION ALL SELECT * FROM fb UNION ALL SELECT * FROM fl),
@@ -130,22 +134,33 @@ def _cascade_inputs(t):
     return t.stored("queries").withColumns({"repo_hint": F.col("scope_repository"), "dept_hint": F.col("scope_department")})
 
 
+def _index(t):
+    """The stored term index of the chunks, built once per query."""
+    if "chunks" not in t.indexes:
+        t.indexes["chunks"] = lexical.index_chunks(t.stored("chunk_meta"))
+    return t.indexes["chunks"]
+
+
+def _scoped(t):
+    return rt.scoped_documents(t.stored("queries"), t.stored("chunk_meta"))
+
+
 def _cascade(t):
     q = _cascade_inputs(t)
-    results = rt.level_results(lexical.index_chunks(t.stored("chunk_meta")), q, t.stored("chunk_meta"))
-    return results, rt.pick_level(q, results, chunk_counts(t.stored("chunk_meta")))
+    results = rt.level_results(_index(t), q, t.stored("chunk_meta"))
+    return results, rt.pick_level(q, results, _scoped(t))
 
 
 @query("cascade", f"""
 WITH {_CASCADE} SELECT query_id, level, CASE level WHEN 0 THEN 'DOCUMENT_FALLBACK' WHEN 1 THEN 'DOCUMENT' WHEN 2 THEN 'REPOSITORY' WHEN 3 THEN 'DEPARTMENT' ELSE 'GLOBAL' END AS label,
- chunks, confidence, low_confidence FROM cas""", "chunk_meta queries")
+ chunks, confidence, low_confidence FROM cas""", "docs chunk_meta queries")
 def _(t):
     return _cascade(t)[1]
 
 
 @query("scope_escape", f"""
 WITH {_CASCADE} SELECT c.query_id, c.level, q.scope_doc_ids IS NOT NULL AND c.level <> 1 AS scope_escaped FROM cas c JOIN queries q USING (query_id)""",
-       "chunk_meta queries")
+       "docs chunk_meta queries")
 def _(t):
     picked = _cascade(t)[1].join(t.queries.select("query_id", "scope_doc_ids"), "query_id")
     return cx.scope_escape(picked).select("query_id", "level", "scope_escaped")
@@ -153,17 +168,17 @@ def _(t):
 
 @query("low_conf_retry", f"""
 WITH {_CASCADE}, s25 AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 40),
-f25 AS (SELECT *, round({SIGMOID.format(x='(overlap * 8.0::DOUBLE - 4.0::DOUBLE)')} + {duck_tier('priority_tier', fixed.TIER_ADDITIVE, 0.0)}, 6) AS final_score FROM s25),
+f25 AS (SELECT *, round({PAIR} + {duck_tier('priority_tier', fixed.TIER_ADDITIVE, 0.0)}, 6) AS final_score FROM s25),
 k25 AS (SELECT * FROM f25 WHERE final_score >= 0.38 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) <= 25),
 g AS (SELECT query_id, count(*) AS n, max(final_score) AS c FROM k25 GROUP BY query_id),
 j AS (SELECT a.*, g.n, g.c, a.low_confidence AND coalesce(g.n, 0) >= a.chunks AS retried FROM cas a LEFT JOIN g USING (query_id))
 SELECT query_id, CASE WHEN retried THEN coalesce(n, 0) ELSE chunks END AS chunks, CASE WHEN retried THEN coalesce(c, 0.0::DOUBLE) ELSE confidence END AS confidence, retried FROM j""",
-       "chunk_meta queries")
+       "docs chunk_meta queries")
 def _(t):
     _, kept = _cascade(t)
     # the retry drops every scope and widens both the list and the final k
     weak = _cascade_inputs(t).join(kept.filter("low_confidence").select("query_id"), "query_id", "left_semi")
-    again = rt.level_results(lexical.index_chunks(t.stored("chunk_meta")), weak, t.stored("chunk_meta"), list_size=40, k=25).filter("level = 4")
+    again = rt.level_results(_index(t), weak, t.stored("chunk_meta"), list_size=40, k=25).filter("level = 4")
     stats = again.groupBy("query_id").agg(F.count("*").alias("chunks"), F.max("final_score").alias("confidence"))
     return rt.low_confidence_retry(kept, stats)
 
@@ -179,7 +194,7 @@ def _(t):
     # every third document was stored under an id the catalogue does not know
     stored = t.chunk_meta.select(F.when(F.col("doc_id") % 3 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("doc_id"),
                                  "chunk_id", "chunk_index", "source_file")
-    return cx.doc_chunks(t.docs.select("doc_id", "source_file"), stored).select("doc_id", "chunk_id", "position")
+    return cx.doc_chunks(t.docs.select("doc_id", "source_file"), stored, 500).select("doc_id", "chunk_id", "position")
 
 
 @query("doc_outline", """
@@ -191,7 +206,7 @@ def _(t):
     c = t.chunks.select("doc_id", "chunk_index",
                         F.when(i % 2 == 0, F.concat(F.lit("Part "), i.cast("string"))).alias("section_title"),
                         F.when(i % 3 == 0, F.concat(F.lit("about "), F.col("chunk_id").cast("string"))).alias("chunk_summary"))
-    return cx.doc_outline(c)
+    return cx.doc_outline(c, 3000)
 
 
 @query("even_sample", """
@@ -214,7 +229,7 @@ def _(t):
     m = t.messages
     asked = m.filter(F.col("role") == "user").groupBy("session_id").agg(F.max_by("content", "turn").alias("question"))
     ctx = asked.withColumn("context_text", F.concat(F.lit("context of "), F.col("session_id").cast("string")))
-    return cx.prompts(ctx, m.select("session_id", "turn", "role", "content"))
+    return cx.prompts(ctx, m.select("session_id", "turn", "role", "content"), max_chars=300)
 
 
 @query("fallback_summary", f"""

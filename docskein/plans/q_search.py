@@ -44,7 +44,8 @@ def bm25_ctes(corpus: str = "chunks", key: str = "chunk_id", text: str = "conten
 {p}_sum AS (SELECT q.query_id, p.chunk_id, round(sum(q.qtf * i.idf * p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.dl / c.mean))), 6) AS score,
  count(*) AS hit FROM {p}_q q JOIN {p}_post p ON p.term = q.term JOIN {p}_idf i ON i.term = q.term JOIN {p}_len l ON l.chunk_id = p.chunk_id
  CROSS JOIN {p}_corpus c GROUP BY ALL),
-{p}_score AS (SELECT s.query_id, s.chunk_id, s.score, round(s.hit::DOUBLE / n.n_terms, 6) AS overlap FROM {p}_sum s JOIN {p}_nq n USING (query_id) WHERE s.score > 0)"""
+{p}_any AS (SELECT s.query_id, s.chunk_id, s.score, s.hit = n.n_terms AS full_hit, round(s.hit::DOUBLE / n.n_terms, 6) AS overlap FROM {p}_sum s JOIN {p}_nq n USING (query_id)),
+{p}_score AS (SELECT query_id, chunk_id, score, overlap FROM {p}_any WHERE score > 0)"""
 
 
 def duck_tier(col: str, table, default: float) -> str:
@@ -227,7 +228,8 @@ def _(t):
 
 
 @query("entity_boost", f"""
-WITH {bm25_ctes()}, {UNDERSTAND}, top AS (SELECT query_id, chunk_id FROM b_score QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 20),
+WITH {bm25_ctes()}, {UNDERSTAND}, top AS (SELECT s.query_id, s.chunk_id FROM b_score s JOIN chunk_meta m USING (chunk_id) JOIN queries q USING (query_id)
+ WHERE m.access_roles IS NULL OR list_has_any(m.access_roles, q.user_roles) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 20),
 j AS (SELECT t.query_id, t.chunk_id, m.department, m.repository, lower(m.content) AS c, lower(m.source_file) AS f, u.repositories, u.departments,
  CASE WHEN u.intent = 'TICKET_LOOKUP' THEN regexp_extract_all(u.safe, '{fixed.TICKET_ID}', 1) ELSE [] END AS ids
  FROM top t JOIN chunk_meta m ON m.chunk_id = t.chunk_id JOIN u7 u ON u.query_id = t.query_id)
@@ -236,7 +238,9 @@ SELECT query_id, chunk_id, round(least(0.30::DOUBLE, CASE WHEN list_contains(dep
  + CASE WHEN len(list_filter(ids, lambda x: contains(c, lower(x)) OR contains(f, lower(x)))) > 0 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END), 6) AS entity_boost FROM j""",
        "chunk_meta queries")
 def _(t):
-    hits = lexical.bm25_search(lexical.index_chunks(t.stored("chunk_meta")), t.stored("queries"), 20).select("query_id", "chunk_id")
+    chunks, asked = t.stored("chunk_meta"), t.stored("queries")
+    hits = lexical.bm25_search(lexical.index_chunks(chunks), asked, 20, chunk_attrs=chunks.select("chunk_id", "access_roles"),
+                               query_attrs=asked.select("query_id", "user_roles"), by_role=True).select("query_id", "chunk_id")
     q = u.understand(t.stored("queries")).select("query_id", "departments", "repositories", "ticket_ids", "repository_weight",
                                        "department_weight")
     m = t.stored("chunk_meta").select("chunk_id", "department", "repository", "content", "source_file")

@@ -8,7 +8,7 @@ from docskein.functions import fixed
 from docskein.operators import tickets as tk
 from docskein.operators import understand as u
 from docskein.plans import retrieval as rt
-from docskein.plans.q_context import _CASCADE, _cascade
+from docskein.plans.q_context import _CASCADE, _cascade, _scoped
 from docskein.plans.q_search import bm25_ctes
 from docskein.plans.q_understand import TICKET_FILTERS
 from docskein.plans.registry import query, stamp
@@ -16,8 +16,8 @@ from docskein.plans.registry import query, stamp
 _TS = "yyyy-MM-dd HH:mm:ss"
 _ALL = "concat_ws(' ', subject, description, resolution)"
 
-# questions whose words come from the first sentence of a user turn, so that whole-term matches exist
-_TQ = """tq AS (SELECT conv_id * 1000 + turn AS query_id, split_part(text, '.', 1) AS text,
+# every user turn as a question, whole
+_TQ = """tq AS (SELECT conv_id * 1000 + turn AS query_id, text,
  CASE WHEN turn % 4 = 0 THEN 'open' END AS status, CASE WHEN conv_id % 3 = 1 THEN 'High' END AS priority,
  CAST(NULL AS VARCHAR) AS category, CASE WHEN conv_id % 5 = 0 THEN ['TCK' || lpad(CAST(conv_id + 1 AS VARCHAR), 6, '0')] ELSE [] END AS ticket_ids
  FROM conversations WHERE role = 'user')"""
@@ -27,7 +27,7 @@ def _ticket_queries(t):
     conv = t.conversations.filter(F.col("role") == "user")
     tid = F.concat(F.lit("TCK"), F.lpad((F.col("conv_id") + 1).cast("string"), 6, "0"))
     return conv.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.split_part("text", F.lit("."), F.lit(1)).alias("text"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text",
         F.when(F.col("turn") % 4 == 0, "open").alias("status"), F.when(F.col("conv_id") % 3 == 1, "High").alias("priority"),
         F.lit(None).cast("string").alias("category"),
         F.when(F.col("conv_id") % 5 == 0, F.array(tid)).otherwise(F.array().cast("array<string>")).alias("ticket_ids"))
@@ -51,7 +51,7 @@ def _(t):
     return t.tickets.select("ticket_id", F.date_format(parsed, _TS).alias("created_at"))
 
 
-_FTS = f"{bm25_ctes('tickets', 'ticket_id', _ALL, 'tq')}, m AS (SELECT * FROM b_score WHERE overlap = 1)"
+_FTS = f"{bm25_ctes('tickets', 'ticket_id', _ALL, 'tq')}, m AS (SELECT * FROM b_any WHERE full_hit)"
 
 
 @query("ticket_fts", f"""
@@ -74,7 +74,7 @@ tx AS (SELECT m.query_id, m.chunk_id AS ticket_id, row_number() OVER (PARTITION
  AND m.query_id NOT IN (SELECT query_id FROM ex) QUALIFY r <= 5),
 thin AS (SELECT query_id FROM tq WHERE query_id NOT IN (SELECT query_id FROM ex)
  AND query_id NOT IN (SELECT query_id FROM tx GROUP BY query_id HAVING count(*) >= 2)),
-sm AS (SELECT query_id, chunk_id AS ticket_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM b_score QUALIFY r <= 5),
+sm AS (SELECT query_id, chunk_id AS ticket_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM b_any QUALIFY r <= 5),
 al AS (SELECT query_id, ticket_id, 'exact' AS path, 0 AS p, 0 AS r FROM ex UNION ALL SELECT query_id, ticket_id, 'sql', 1, r FROM tx
  UNION ALL SELECT query_id, ticket_id, 'vector', 2, r FROM sm WHERE query_id IN (SELECT query_id FROM thin)),
 on1 AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY query_id, ticket_id ORDER BY p, r) = 1)"""
@@ -90,26 +90,32 @@ def _(t):
 
 
 @query("ticket_fallback", f"""
-WITH {_CASCADE}, {bm25_ctes('tickets', 'ticket_id', _ALL, 'queries', p='z')}, thin AS (SELECT query_id FROM cas WHERE chunks < 8),
-fin AS (SELECT r.query_id, CAST(chunk_id AS VARCHAR) AS chunk_key, final_score FROM rs r JOIN cas c ON c.query_id = r.query_id AND c.level = r.level),
-tb AS (SELECT query_id, chunk_id AS ticket_id FROM z_score QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 3),
+WITH {_CASCADE}, {bm25_ctes('tickets', 'ticket_id', _ALL, 'queries', p='z')}, thin AS (SELECT query_id FROM cas WHERE chunks < 3),
+zero AS (SELECT s.query_id, s.doc_id FROM scoped s JOIN cas c USING (query_id) WHERE c.level = 0),
+nth AS (SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, chunk_id) - 1 AS pos, count(*) OVER (PARTITION BY doc_id) AS len FROM chunks),
+smp AS (SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM nth
+ WHERE list_contains(list_transform(range(0, least(len, 8)), lambda i: floor(i * (len::DOUBLE / least(len, 8)))::BIGINT), pos)),
+fin AS (SELECT r.query_id, CAST(chunk_id AS VARCHAR) AS chunk_key, final_score FROM rs r JOIN cas c ON c.query_id = r.query_id AND c.level = r.level
+ UNION ALL SELECT query_id, 'outline-' || doc_id, 0.99::DOUBLE FROM zero
+ UNION ALL SELECT z.query_id, CAST(s.chunk_id AS VARCHAR), round(0.95::DOUBLE - s.i * 0.001::DOUBLE, 6) FROM zero z JOIN smp s USING (doc_id)),
+tb AS (SELECT query_id, chunk_id AS ticket_id FROM z_any QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 3),
 tal AS (SELECT * FROM fin UNION ALL SELECT query_id, 'ticket-' || ticket_id, 0.55::DOUBLE FROM tb WHERE query_id IN (SELECT query_id FROM thin))
 SELECT query_id, chunk_key, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_key)::INT AS rank FROM tal QUALIFY rank <= 8""",
-       "chunk_meta queries tickets")
+       "docs chunk_meta queries tickets")
 def _(t):
     results, kept = _cascade(t)
     final = results.join(kept.select("query_id", "level"), ["query_id", "level"]).select(
-        "query_id", F.col("chunk_id").cast("string").alias("chunk_key"), "final_score")
+        "query_id", F.col("chunk_id").cast("string").alias("chunk_key"), "final_score").unionByName(
+        rt.document_fallback(kept, _scoped(t), t.stored("chunk_meta")))
     found = tk.search(t.tickets, t.queries.select("query_id", "text"), 5, all_terms=False)
-    # fewer than a full answer counts as thin here, since the generated questions rarely fall below three chunks
-    return rt.ticket_fallback(final, kept.filter(F.col("chunks") < 8), found)
+    return rt.ticket_fallback(final, kept.filter(F.col("chunks") < 3), found)
 
 
 _SYM = f"""sq AS (SELECT query_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'),
  lambda w: regexp_matches(w, '^[a-z]{{3,}}$') AND NOT list_contains([{', '.join("'" + w + "'" for w in fixed.SYMPTOM_STOP_WORDS)}], w))[1:8], ' ') AS text FROM tq),
 kq AS (SELECT * FROM sq WHERE text <> '')"""
 _HITS = f"""{_TQ}, {_SYM}, {bm25_ctes('tickets', 'ticket_id', _ALL, 'kq')},
-hit AS (SELECT s.query_id, s.chunk_id AS ticket_id, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.chunk_id) AS rank FROM b_score s WHERE overlap = 1 QUALIFY rank <= 20),
+hit AS (SELECT s.query_id, s.chunk_id AS ticket_id, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.chunk_id) AS rank FROM b_any s WHERE full_hit QUALIFY rank <= 20),
 h AS (SELECT hit.*, t.resolution, t.category FROM hit JOIN tickets t USING (ticket_id))"""
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docskein.functions import fixed
 from docskein.functions.ranking import top_k
 from docskein.functions.text import word_count
 from docskein.operators import context, lexical, scoring
+from docskein.operators.filters import visible_to
 from docskein.session import stored
 
 LEVELS = {1: "DOCUMENT", 2: "REPOSITORY", 3: "DEPARTMENT", 4: "GLOBAL"}
@@ -25,33 +26,57 @@ def _levels() -> Column:
 def level_results(index: lexical.TermIndex, queries: DataFrame, chunks: DataFrame, list_size: int = 20,
                   k: int = 8) -> DataFrame:
     """Final chunks per (question, level). All levels share one pass over the postings: a pair is scored once and then
-    competes in each level whose scope it meets."""
-    attrs = stored(chunks.select("chunk_id", "doc_id", "repository", "department", "priority_tier"), "chunk-attributes")
-    scope = stored(queries.select("query_id", "scope_doc_ids", "repo_hint", "dept_hint"), "scopes")
+    competes in each level whose scope it meets. Chunks that the asker may not see (``access_roles`` against
+    ``user_roles``) compete at no level."""
+    rows, asked, grants = lexical.role_parts(
+        chunks.select("chunk_id", "doc_id", "repository", "department", "priority_tier", "access_roles"),
+        queries.select("query_id", "scope_doc_ids", "repo_hint", "dept_hint", "user_roles"))
+    attrs, scope = stored(rows, "chunk-attributes"), stored(asked, "scopes")
 
     def pairs_of(ix: lexical.TermIndex) -> DataFrame:
         pairs = lexical.bm25_scores(ix, queries).join(attrs, "chunk_id").join(scope, "query_id")
-        return pairs.select("query_id", "chunk_id", "score", "overlap", "priority_tier",
+        return pairs.join(grants, ["signature", "profile"], "left_semi").select("query_id", "chunk_id", "score", "overlap", "priority_tier",
                             F.explode(_levels()).alias("level")).filter(F.col("level").isNotNull())
 
     short = lexical.bounded_top_k(pairs_of, index, ["query_id", "level"], list_size)
     scored = scoring.add_final_score(short.withColumn(
-        "rerank_score", scoring.logistic(scoring.overlap_raw(F.col("overlap")))))
+        "rerank_score", scoring.logistic(scoring.pair_raw(short))))
     kept = scored.filter(F.col("final_score") >= fixed.FINAL_THRESHOLD)
     # at most k rows per question and level, read by every later step of the cascade
     return stored(top_k(kept, ["query_id", "level"], [F.desc("final_score"), F.asc("chunk_id")], k, "final_rank"), "levels")
 
 
-def pick_level(queries: DataFrame, results: DataFrame, doc_sizes: DataFrame) -> DataFrame:
+def scoped_documents(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, doc_id, chunk_count) of the documents a question is scoped to and its asker may see."""
+    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"), F.first("access_roles").alias("access_roles"))
+    asked = queries.select("query_id", "user_roles", F.explode(F.array_distinct("scope_doc_ids")).alias("doc_id"))
+    return asked.join(sizes, "doc_id").filter(visible_to(F.col("access_roles"), F.col("user_roles"))).select(
+        "query_id", "doc_id", "chunk_count")
+
+
+def document_fallback(picked: DataFrame, scoped: DataFrame, chunks: DataFrame, n: int = 8) -> DataFrame:
+    """(query_id, chunk_key, final_score) for questions answered from their documents themselves (level 0): an outline of
+    each document at .99 and up to ``n`` evenly spaced chunks at .95, falling by .001."""
+    wanted = scoped.join(picked.filter(F.col("level") == 0).select("query_id"), "query_id", "left_semi")
+    outline = wanted.select("query_id", F.concat(F.lit("outline-"), F.col("doc_id").cast("string")).alias("chunk_key"),
+                            F.lit(0.99).alias("final_score"))
+    some = chunks.select("doc_id", "chunk_index", "chunk_id").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sample = context.even_sample(some, n).withColumn("_i", F.row_number().over(
+        Window.partitionBy("doc_id").orderBy("chunk_index", "chunk_id")) - 1)
+    rows = wanted.join(sample, "doc_id").select("query_id", F.col("chunk_id").cast("string").alias("chunk_key"), F.round(
+        F.lit(0.95) - F.col("_i") * F.lit(0.001), 6).alias("final_score"))
+    return outline.unionByName(rows)
+
+
+def pick_level(queries: DataFrame, results: DataFrame, scoped: DataFrame) -> DataFrame:
     """Level each question is answered from: (query_id, level, label, chunks, confidence, low_confidence).
 
-    The narrowest confident level wins. A document scope without any good chunk falls back to the document itself.
+    ``scoped`` lists the documents that a question may fall back to. The narrowest confident level wins. A document scope without any good chunk falls back to the document itself.
     Without a confident level the one with most chunks wins, the narrower on a tie, except that global wins ties.
     """
     stats = results.groupBy("query_id", "level").agg(F.count("*").alias("chunks"), F.max("final_score").alias("confidence"))
     # the global level is always tried; a scoped document with chunks offers its outline when level 1 found nothing
-    scoped = (queries.select("query_id", F.explode(F.array_distinct("scope_doc_ids")).alias("doc_id"))
-              .join(doc_sizes, "doc_id").groupBy("query_id").agg(F.sum(F.least("chunk_count", F.lit(8)) + 1).alias("chunks")))
+    scoped = scoped.groupBy("query_id").agg(F.sum(F.least("chunk_count", F.lit(8)) + 1).alias("chunks"))
     found1 = stats.filter(F.col("level") == 1).select("query_id")
     fallback = scoped.join(found1, "query_id", "left_anti").select(
         "query_id", F.lit(0).alias("level"), "chunks", F.lit(0.95).alias("confidence"))
@@ -87,7 +112,7 @@ def low_confidence_retry(kept: DataFrame, retried: DataFrame) -> DataFrame:
 def ticket_fallback(final: DataFrame, thin: DataFrame, tickets: DataFrame, k: int = 8, most: int = 3) -> DataFrame:
     """Add up to three ticket chunks at .55 to questions in ``thin`` and re-rank: (query_id, chunk_key, final_score, rank).
 
-    ``final(query_id, chunk_key, final_score)``; ``tickets(query_id, ticket_id, rank)`` in search order.
+    ``final(query_id, chunk_key, final_score)`` holds the chosen level's rows, those of level 0 included; ``tickets(query_id, ticket_id, rank)`` in search order.
     """
     extra = tickets.join(thin.select("query_id"), "query_id", "left_semi").filter(F.col("rank") <= most).select(
         "query_id", F.concat(F.lit("ticket-"), "ticket_id").alias("chunk_key"), F.lit(0.55).alias("final_score"))
@@ -106,11 +131,11 @@ def answer_contexts(chunks: DataFrame, queries: DataFrame, as_of: str, list_size
     ranked = stored(ranked, "ranked")  # list_size rows per question, read by fusion and scoring
     fused = scoring.rrf_fuse([("bm25", ranked)], chunks)
     meta = chunks.select("chunk_id", "source_file", "priority_tier", "ingested_at", word_count(F.col("content")).alias("token_count"))
-    cands = (fused.join(ranked.select("query_id", "chunk_id", "overlap"), ["query_id", "chunk_id"])
+    cands = (fused.join(ranked.select("query_id", "chunk_id", "score", "overlap"), ["query_id", "chunk_id"])
              .join(meta, "chunk_id"))
     age = scoring.age_days(F.col("ingested_at"), as_of)
     scored = scoring.add_final_score(cands.withColumns({
-        "rerank_score": scoring.logistic(scoring.overlap_raw(F.col("overlap"))),
+        "rerank_score": scoring.logistic(scoring.pair_raw(cands)),
         "freshness": scoring.freshness_decay(age), "age": age, "doc_key": F.col("source_file")}))
     final = scoring.select_final(scored)
     packed = context.pack(context.gather(final, context.is_stale(F.col("age"))))

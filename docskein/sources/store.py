@@ -24,17 +24,19 @@ def insert_ignore(current: DataFrame, new: DataFrame, key: list[str], order: lis
     return current.unionByName(first.join(current.select(*key), key, "left_anti"))
 
 
-def update_doc_attributes(chunks: DataFrame, changes: DataFrame) -> DataFrame:
+def update_doc_attributes(chunks: DataFrame, changes: DataFrame, version: list[str] | None = None) -> DataFrame:
     """Apply document changes (repository, doc_origin, access_roles) to all chunks.
 
-    A change matches by ``doc_id``; one whose ``doc_id`` has no chunk matches by file name. The repository also
-    replaces the department, as both label the chunk.
+    A change matches by ``doc_id``; one whose ``doc_id`` has no chunk matches by file name. Of several changes of one
+    document, or of one file, the highest ``version`` wins (without it, the highest values), so no chunk is ever
+    multiplied. The repository also replaces the department, as both label the chunk.
     """
     present = chunks.select("doc_id").distinct()
     fields = ["repository", "doc_origin", "access_roles"]
-    by_id = changes.join(present, "doc_id", "left_semi").select(
+    order = [F.desc(v) for v in version or ["doc_id", *fields]]
+    by_id = latest(changes.join(present, "doc_id", "left_semi"), ["doc_id"], order).select(
         "doc_id", *[F.col(f).alias(f"_i_{f}") for f in fields])
-    by_file = changes.join(present, "doc_id", "left_anti").select(
+    by_file = latest(changes.join(present, "doc_id", "left_anti"), ["source_file"], order).select(
         "source_file", *[F.col(f).alias(f"_f_{f}") for f in fields])
     out = chunks.join(by_id, "doc_id", "left").join(by_file, "source_file", "left")
     pick = lambda f, old: F.coalesce(f"_i_{f}", f"_f_{f}", old)
@@ -46,22 +48,22 @@ def update_doc_attributes(chunks: DataFrame, changes: DataFrame) -> DataFrame:
     }).drop(*[f"_{p}_{f}" for p in "if" for f in fields])
 
 
-def clip(text: Column, limit: int = 500) -> Column:
-    """Logged text is stored up to ``limit`` characters."""
-    return F.substring(text, 1, limit)
+def clip(text: Column, limit: int | None = None) -> Column:
+    """Logged text, whole unless the log has a ``limit`` of characters."""
+    return text if limit is None else F.substring(text, 1, limit)
 
 
-def log_rows(queries: DataFrame) -> DataFrame:
+def log_rows(queries: DataFrame, limit: int | None = None) -> DataFrame:
     """Query-log rows in the log schema with their date partition."""
     return queries.select(
-        "id", "ts", "user_id", "session_id", clip(F.col("query_text")).alias("query_text"), "intent",
+        "id", "ts", "user_id", "session_id", clip(F.col("query_text"), limit).alias("query_text"), "intent",
         "repositories_searched", "chunks_retrieved", "confidence", "reranker_top_score", "latency_ms", "low_confidence",
         F.to_date("ts").alias("log_date"))
 
 
-def append_log(queries: DataFrame, path: str) -> None:
+def append_log(queries: DataFrame, path: str, limit: int | None = None) -> None:
     """Append log rows to date-partitioned Parquet."""
-    log_rows(queries).write.mode("append").partitionBy("log_date").parquet(path)
+    log_rows(queries, limit).write.mode("append").partitionBy("log_date").parquet(path)
 
 
 def chunk_rows(chunks: DataFrame) -> DataFrame:

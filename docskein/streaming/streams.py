@@ -33,7 +33,10 @@ class KeyedTable:
         """Latest row per key, optionally only from batches older than ``before``."""
         try:
             rows = self.spark.read.parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as e:
+            # nothing written yet; any other fault must not restart the state
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
         if before is not None:
             rows = rows.filter(F.col("batch") < before)

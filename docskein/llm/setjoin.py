@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docskein.llm.base import batch
-from docskein.llm.words import Words, lines_in, mix, slices, text_bytes, words_in
+from docskein.llm.words import Words, lines_in, mix, per_doc, slices, text_bytes, words_in
 from docskein.session import stored
 
 THRESHOLD = 0.8
@@ -40,7 +40,8 @@ BYTES_PER_PART = 24 << 20  # text whose prefix words one partition holds
 KEPT = 3  # earliest candidates of a line that are verified first
 CLASSES = ((160, 2), (640, 8), (1 << 40, 64))  # largest size, 64-bit words of sketch
 SLICE = 8 << 20
-BLOOM = 1 << 20
+BLOOM = 1 << 20  # bits that stand for open lines
+WORD_BLOOM = 1 << 22  # bits that stand for words
 _U = np.uint64
 ROW = np.dtype([("token", "<u4"), ("size", "<u4"), ("position", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("digest", "<u8")])
 
@@ -154,13 +155,21 @@ def _targets(token: np.ndarray, piece: np.ndarray, parts: int, heavy: np.ndarray
     return np.concatenate(target), np.concatenate(source)
 
 
-def _emit(counters_sent, parts: int):
-    """Packed prefix rows by partition and class; lines that repeat a line of their own slice pass as they are."""
+def _emit(counters_sent, parts: int, only_sent=None):
+    """Packed prefix rows by partition and class; lines that repeat a line of their own slice pass as they are.
+
+    ``only_sent`` restricts rows to words of a bit set, and the work to documents that hold one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = counters_sent.value
         heavy = np.sort(np.argsort(-counters, kind="stable")[:HEAVY])
+        only = None if only_sent is None else only_sent.value
         for rows in slices(batches, limit=SLICE):
+            if only is not None:
+                w = words_in(*text_bytes(rows.column(1)))
+                hit = per_doc(only[(w.hashes() % _U(WORD_BLOOM)).astype(np.int64)], w.first) > 0
+                rows = rows.filter(pa.array(hit))
             sets = LineSets(rows.column(1), counters)
             ids = rows.column(0).to_numpy()
             lines = np.flatnonzero(sets.size > 0)
@@ -194,6 +203,10 @@ def _emit(counters_sent, parts: int):
                 sketch = sketches(sets.token[mine], place[owner[mine]], len(member), width)
                 position = mine - sets.first[lines][owner[mine]]
                 keep = position < prefix(size[owner[mine]])
+                if only is not None:
+                    keep &= only[(sets.token[mine] % _U(WORD_BLOOM)).astype(np.int64)]
+                if not keep.any():
+                    continue
                 mine, position = mine[keep], position[keep]
                 line, token = owner[mine], sets.token[mine]
                 packed = np.empty(len(mine), dtype=ROW)
@@ -340,8 +353,27 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(sets.token[at].view(np.int64)))], schema=schema)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` with ``similar``: whether the Jaccard similarity of the two word sets reaches the threshold."""
+def _prefix_words(counters_sent):
+    """Bits of the prefix words of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters, seen = counters_sent.value, np.zeros(WORD_BLOOM, dtype=bool)
+        for rows in batches:
+            first = rows.column(0).offsets.to_numpy()
+            first = first - first[0]
+            token = rows.column(0).flatten().to_numpy().view(np.uint64)
+            size = np.diff(first)
+            owner = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((token, counters[(token >> _U(64 - COUNTERS)).astype(np.int64)], owner))
+            keep = np.arange(len(token)) - first[owner] < prefix(size)[owner]
+            seen[(token[order][keep] % _U(WORD_BLOOM)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], names=["slot"])
+
+    return run
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``pairs`` with ``similar``: whether the Jaccard similarity of the two word sets reaches the threshold, sets)."""
     ends = pairs.select("doc_id", "line").unionByName(pairs.select(F.col("first_doc").alias("doc_id"), F.col("first_line").alias("line")))
     lines = ends.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))  # a document's own lines
     once = texts.join(lines.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "lines")
@@ -350,7 +382,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     right = sets.select(F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"), F.col("words").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     return pairs.join(left, ["doc_id", "line"]).join(right, ["first_doc", "first_line"]).withColumn(
-        "similar", both >= F.ceil(F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.size("a") + F.size("b")) - 1e-9)).drop("a", "b")
+        "similar", both >= F.ceil(F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.size("a") + F.size("b")) - 1e-9)).drop("a", "b"), sets
 
 
 def repeated_lines(docs: DataFrame, kept: int = KEPT) -> DataFrame:
@@ -368,7 +400,8 @@ def repeated_lines(docs: DataFrame, kept: int = KEPT) -> DataFrame:
         *key, F.slice("p", 1, kept).alias("p"), (F.size("p") > kept).alias("more"))
     near = near.join(found.filter("sure").select(*key), key, "left_anti")
     pairs = near.select(*key, "more", F.explode("p").alias("x")).select(*key, "more", "x.first_doc", "x.first_line")
-    first = stored(verified(stored(pairs, "pairs"), texts).groupBy(*key, "more").agg(
+    checked, sets = verified(stored(pairs, "pairs"), texts)
+    first = stored(checked.groupBy(*key, "more").agg(
         F.min(F.when(F.col("similar"), F.struct("first_doc", "first_line"))).alias("m")), "verified")
     result = first.filter("m IS NOT NULL").select(*key, "m.first_doc", "m.first_line").unionByName(
         found.filter("sure").select(*key, "first_doc", "first_line"))
@@ -378,9 +411,14 @@ def repeated_lines(docs: DataFrame, kept: int = KEPT) -> DataFrame:
         slot = open_.mapInArrow(_slots, "slot long").distinct().collect()
         wanted = np.zeros(BLOOM, dtype=bool)
         wanted[[r["slot"] for r in slot]] = True
-        rest = sent.groupBy("part").applyInArrow(_search(None, spark.sparkContext.broadcast(wanted)), FOUND).select(
+        # the second pass reads all texts again, but works only on documents with a prefix word of an open line
+        of_words = sets.join(open_, key, "left_semi").select("words").mapInArrow(_prefix_words(counters), "slot long").distinct().collect()
+        some = np.zeros(WORD_BLOOM, dtype=bool)
+        some[[r["slot"] for r in of_words]] = True
+        again = texts.mapInArrow(_emit(counters, parts, spark.sparkContext.broadcast(some)), SENT)
+        rest = again.groupBy("part").applyInArrow(_search(None, spark.sparkContext.broadcast(wanted)), FOUND).select(
             *key, "first_doc", "first_line").distinct().join(open_, key, "left_semi")
-        more = verified(stored(rest, "rest"), texts).filter("similar").groupBy(*key).agg(
+        more = verified(stored(rest, "rest"), texts)[0].filter("similar").groupBy(*key).agg(
             F.min(F.struct("first_doc", "first_line")).alias("m"))
         result = result.unionByName(more.select(*key, "m.first_doc", "m.first_line"))
     return result.groupBy(*key).agg(F.min(F.struct("first_doc", "first_line")).alias("m")).select(*key, "m.first_doc", "m.first_line")

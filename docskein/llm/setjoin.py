@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docskein.llm.base import batch
-from docskein.llm.words import Words, lines_in, mix, per_doc, slices, text_bytes, words_in
+from docskein.llm.words import Words, distinct, lines_in, mix, per_doc, slices, text_bytes, words_in
 from docskein.session import stored
 
 THRESHOLD = 0.8
@@ -69,7 +69,7 @@ class LineSets:
         self.start, self.end, self.doc = lines_in(self.buf, self.offsets)
         self.number = np.arange(len(self.doc)) - np.searchsorted(self.doc, self.doc)
         w: Words = words_in(self.buf, self.offsets)
-        uniq, where = np.unique(w.hashes(), return_inverse=True)
+        uniq, _, where = distinct(w.hashes())
         if counters is None:
             order = np.arange(len(uniq))
         else:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docskein.functions import fixed
+from docskein.session import stored
 from docskein.functions.ranking import latest
 
 
@@ -51,10 +52,11 @@ def checksum(text: Column) -> Column:
 def exact_dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(surviving document per checksum, report of copies with their survivor).
 
-    Only (checksum, doc_id) is shuffled, pre-aggregated per task. Survivors are the corpus without the reported copies,
-    so when the report is small it is broadcast and no text moves.
+    Texts are read and hashed once, into a stored (doc_id, checksum) table. Only that is shuffled, pre-aggregated per
+    task. Survivors are the corpus without the reported copies, so when the report is small it is broadcast and no text
+    moves.
     """
-    sums = docs.select("doc_id", checksum(F.col("text")).alias("checksum"))
+    sums = stored(docs.select("doc_id", checksum(F.col("text")).alias("checksum")), "checksums")
     keep = sums.groupBy("checksum").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("copies"))
     report = sums.join(keep.filter("copies > 1"), "checksum").filter(F.col("doc_id") != F.col("keeper")).select(
         "doc_id", "keeper", "checksum")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docskein.functions import fixed
 from docskein.functions.ranking import top_k
-from docskein.session import materialise
+from docskein.session import materialise, scratch_path
 
 BLOCK_BYTES = 32 * 1024 * 1024  # upper bound of one shipped block of question vectors
 
@@ -70,17 +70,17 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool
     Filters that hold for all questions belong on ``corpus`` before the call. Scores are rounded before ranking, so
     ties resolve by chunk id on every engine.
     """
-    keyed = queries.select("query_id", "embedding")
+    keyed = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
     shape = keyed.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
     if not shape["n"]:
         return corpus.select(F.col("chunk_id").alias("query_id"), "chunk_id", F.lit(0.0).alias("cosine"),
                              F.lit(0).alias("rank")).limit(0)
     blocks = -(-shape["n"] * shape["d"] * 8 // BLOCK_BYTES)
     schema = "query_id bigint, chunk_id bigint, cosine double"
-    source = corpus.select("chunk_id", "embedding")
-    found = None
+    source = corpus.select("chunk_id", "embedding").filter("embedding IS NOT NULL")
+    path = scratch_path(keyed.sparkSession, "dense")
     for b in range(blocks):
-        part = keyed if blocks == 1 else keyed.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        part = keyed.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         block = part.toArrow()
         ids = block.column("query_id").combine_chunks().to_numpy(zero_copy_only=False)
         if len(ids) == 0:
@@ -88,8 +88,9 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool
         mat = block.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(
             np.float64).reshape(len(ids), -1)
         order = np.argsort(ids, kind="stable")
-        hits = source.mapInArrow(_block_search(ids[order], mat[order], k, exclude_self, digits), schema)
-        found = hits if found is None else found.unionByName(hits)
+        # written at once, so the driver holds one block and not the question table
+        source.mapInArrow(_block_search(ids[order], mat[order], k, exclude_self, digits), schema).write.mode("append").parquet(path)
+    found = keyed.sparkSession.read.schema(schema).parquet(path)
     return top_k(found, ["query_id"], [F.desc("cosine"), F.asc("chunk_id")], k)
 
 

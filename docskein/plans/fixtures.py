@@ -118,6 +118,14 @@ SELECT vec_id AS chunk_id, embedding, CASE WHEN label % 2 = 0 THEN 'INTERNAL' EL
  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' DAY * CAST(vec_id % 720 AS INT) AS ingested_at
 FROM embeddings"""
 
+# four chunks near each stored vector: it with one of its first components set to 0
+_NEAR = tuple(f"""
+SELECT vec_id * 4 + i AS chunk_id, {vector} AS embedding,
+ CASE WHEN (label + i) % 3 < 2 THEN 'INTERNAL' ELSE 'EXTERNAL' END AS doc_origin
+FROM (SELECT vec_id, label, embedding, {each} AS i FROM embeddings)""" for vector, each in (
+    ("transform(embedding, (x, j) -> CASE WHEN j = i THEN CAST(0 AS FLOAT) ELSE x END)", "explode(array(0, 1, 2, 3))"),
+    ("list_transform(embedding, lambda x, j: CASE WHEN j - 1 = i THEN 0::FLOAT ELSE x END)", "unnest([0, 1, 2, 3])")))
+
 _MESSAGES = """
 SELECT conv_id AS session_id, conv_id % 150 AS user_id, turn, role, text AS content,
  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * CAST(conv_id * 60 + turn AS INT) AS created_at
@@ -176,6 +184,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str | tuple[str, str]]] = {
     "feedback": ((), _FEEDBACK),
     "queries": ((), _QUERIES),
     "vectors": ((), _VECTORS),
+    "near": ((), _NEAR),
     "messages": ((), _MESSAGES),
     "repositories": ((), (f"SELECT * FROM {_REPOS} AS t(repository_id,name)",
                           f"SELECT * FROM ({_REPOS}) AS t(repository_id,name)")),

@@ -9,6 +9,7 @@ from docskein.functions.text import doc_title, word_count
 from docskein.operators import chunking as ch
 from docskein.operators import classify as cl
 from docskein.operators import enrich as en
+from docskein.plans.q_search import duck_tokens
 from docskein.plans.registry import query, stamp
 from docskein.session import scratch_path
 from docskein.sources import files, store
@@ -444,12 +445,26 @@ def _(t):
         F.col("hypothetical_questions")[0].alias("question"), F.array_join("keywords", ",").alias("keywords"))
 
 
-@query("embed_once", "SELECT md5(content) AS text_key, count(*) AS uses FROM chunks GROUP BY 1", "chunks")
+def _length_and_sum(texts):
+    """A deterministic batch model that SQL can repeat: number of bytes and of words."""
+    return texts.map(lambda x: [float(len(x.encode())), float(len(x.split(" ")))])
+
+
+@query("embed_once", """
+SELECT chunk_id, md5(content) AS text_key, strlen(content)::DOUBLE AS first, len(string_split(content, ' '))::DOUBLE AS second FROM chunks""", "chunks")
+def _(t):
+    e = en.embed_once(t.chunks.select("chunk_id", "content"), _length_and_sum, "content")
+    return e.select("chunk_id", "text_key", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[1].cast("double").alias("second"))
+
+
+@query("distinct_texts", "SELECT md5(content) AS text_key, count(*) AS uses FROM chunks GROUP BY 1", "chunks")
 def _(t):
     return en.distinct_texts(t.chunks, "content")
 
 
-@query("hash_embed")
+# every text with a term has a vector of length 1, and equal texts have equal vectors
+@query("hash_embed", f"""
+SELECT chunk_id, 256 AS dims, CASE WHEN len({duck_tokens('content')}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS squared_norm FROM chunks""", "chunks")
 def _(t):
     e = en.hash_embed(t.chunks)
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))

@@ -58,8 +58,7 @@ FRESH = f"greatest(-0.08::DOUBLE, -0.01::DOUBLE * floor({AGE} / 30.0::DOUBLE / 6
 SIGMOID = "round(1.0::DOUBLE / (1.0::DOUBLE + exp(-({x}))), 6)"
 
 
-# the given vectors lie far apart (best cosines near .4), so the internal pass is registered with a floor of .30
-FLOOR = 0.30
+STRONG = 0.30  # cosine from which the trace counts a dense hit as strong
 
 
 # ------------------------------------------------------------------ Spark inputs
@@ -102,13 +101,14 @@ def _(t):
     return dense.recall(approx, dense.dense_topk(probes(t), t.vectors, 20, exclude_self=True))
 
 
-_INTERNAL = f"""{PAIRS}, internal AS (SELECT query_id, chunk_id, cosine FROM (SELECT *, row_number() OVER
- (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS r FROM pairs WHERE c_label % 2 = 0) WHERE r <= 15 AND cosine >= 0.30)"""
+_INTERNAL = f"""{E}, pairs AS (SELECT q.vec_id AS query_id, c.chunk_id, c.doc_origin, round(list_dot_product(q.v, c.embedding::DOUBLE[]), 6) AS cosine FROM e q CROSS JOIN near c),
+internal AS (SELECT query_id, chunk_id, cosine FROM (SELECT *, row_number() OVER
+ (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS r FROM pairs WHERE doc_origin = 'INTERNAL') WHERE r <= 15 AND cosine >= 0.70)"""
 
 
-@query("min_score_pass", f"WITH {_INTERNAL} SELECT query_id, chunk_id, cosine FROM internal")
+@query("min_score_pass", f"WITH {_INTERNAL} SELECT query_id, chunk_id, cosine FROM internal", "near")
 def _(t):
-    return dense.internal_pass(probes(t), t.vectors, exclude_self=True, min_cosine=FLOOR).select("query_id", "chunk_id", "cosine")
+    return dense.internal_pass(probes(t), t.near).select("query_id", "chunk_id", "cosine")
 
 
 _DUAL = f"""{_INTERNAL}, enough AS (SELECT query_id FROM internal GROUP BY query_id HAVING count(*) >= 3),
@@ -117,16 +117,16 @@ fullp AS (SELECT query_id, chunk_id, cosine FROM pairs WHERE query_id NOT IN (SE
 dual AS (SELECT *, 'dense_internal' AS source FROM internal UNION ALL SELECT *, 'dense' FROM fullp)"""
 
 
-@query("dual_pass", f"WITH {_DUAL} SELECT query_id, chunk_id, cosine, source FROM dual")
+@query("dual_pass", f"WITH {_DUAL} SELECT query_id, chunk_id, cosine, source FROM dual", "near")
 def _(t):
-    return dense.dual_pass(probes(t), t.vectors, exclude_self=True, min_cosine=FLOOR)
+    return dense.dual_pass(probes(t), t.near)
 
 
 @query("dedup_best_score", f"""
 WITH {_DUAL}, b AS (SELECT query_id, chunk_id, max(cosine) AS cosine, arg_max(source, ROW(cosine, source)) AS source FROM dual GROUP BY ALL)
-SELECT query_id, chunk_id, cosine, source, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id)::INT AS rank FROM b QUALIFY rank <= 20""")
+SELECT query_id, chunk_id, cosine, source, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id)::INT AS rank FROM b QUALIFY rank <= 20""", "near")
 def _(t):
-    return dense.best_per_chunk(dense.dual_pass(probes(t), t.vectors, exclude_self=True, min_cosine=FLOOR), 20).select(
+    return dense.best_per_chunk(dense.dual_pass(probes(t), t.near), 20).select(
         "query_id", "chunk_id", "cosine", "source", "rank")
 
 
@@ -272,7 +272,7 @@ SELECT q.vec_id AS query_id, coalesce(n_dense, 0) AS n_dense, coalesce(n_strong,
        "vectors feedback")
 def _(t):
     c = candidates(t).select("query_id", "chunk_id", "cosine")
-    out = scoring.trace(probes(t), {"dense": c, "strong": c.filter(F.col("cosine") >= FLOOR)}, scored(t))
+    out = scoring.trace(probes(t), {"dense": c, "strong": c.filter(F.col("cosine") >= STRONG)}, scored(t))
     return out.withColumn("rerank_total", F.round(F.col("rerank_avg") * F.col("reranked"), 6)).drop("rerank_avg")
 
 

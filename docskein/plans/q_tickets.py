@@ -9,7 +9,7 @@ from docskein.operators import tickets as tk
 from docskein.operators import understand as u
 from docskein.plans import retrieval as rt
 from docskein.plans.q_context import _CASCADE, _cascade, _scoped
-from docskein.plans.q_search import bm25_ctes
+from docskein.plans.q_search import bm25_ctes, duck_tokens
 from docskein.plans.q_understand import TICKET_FILTERS
 from docskein.plans.registry import query, stamp
 
@@ -192,6 +192,11 @@ def _(t):
     return tk.known_issues(t.tickets).withColumn("last_seen", F.date_format("last_seen", _TS))
 
 
-@query("known_issue_similar")
+@query("known_issue_similar", f"""
+WITH x AS (SELECT ticket_id, list_distinct({duck_tokens(_ALL)}) AS w FROM tickets), d AS (SELECT min(ticket_id) AS id, w, count(*) AS copies FROM (SELECT ticket_id, list_sort(w) AS w FROM x) GROUP BY w),
+p AS (SELECT a.id, sum(b.copies) AS k FROM d a JOIN d b ON a.id <> b.id AND len(a.w) > 0 AND len(b.w) > 0
+ AND len(list_intersect(a.w, b.w)) >= 0.5::DOUBLE * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) GROUP BY a.id)
+SELECT x.ticket_id, (CASE WHEN len(x.w) > 0 THEN d.copies - 1 ELSE 0 END + coalesce(p.k, 0))::BIGINT AS similar_count
+FROM x JOIN d ON d.w = list_sort(x.w) LEFT JOIN p ON p.id = d.id""", "tickets")
 def _(t):
     return tk.similar_counts(t.tickets)

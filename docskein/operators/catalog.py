@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docskein.functions.ranking import top_k
@@ -112,9 +112,10 @@ def active_scope(sess: DataFrame, bundles: DataFrame, explicit: DataFrame, docs:
 
 
 def bundle_list(bundles: DataFrame, name: str | None = None) -> DataFrame:
-    """Bundles in display order per user (pinned first, then newest), optionally by name."""
+    """Bundles with their ``rank`` in each user's display order (pinned first, then newest), optionally by name."""
     out = bundles if name is None else bundles.filter(F.col("name").ilike(f"%{name}%"))
-    return out.orderBy("user_id", F.desc("pinned"), F.desc("created_at"), "bundle_id")
+    order = Window.partitionBy("user_id").orderBy(F.desc("pinned"), F.desc("created_at"), "bundle_id")
+    return out.withColumn("rank", F.row_number().over(order))
 
 
 def catalog_counts(docs: DataFrame, chunks: DataFrame, tickets: DataFrame, repositories: DataFrame,

@@ -81,13 +81,12 @@ def nearest_centroid(vectors: DataFrame, labelled: DataFrame) -> DataFrame:
         return dot / (norm(a) * norm(b))
 
     vec = F.col("embedding").cast("array<double>")
-    # one row holding one small vector per class, so the hint is safe however many vectors there are
-    scored = vectors.withColumn("_one", F.lit(1)).join(
-        F.broadcast(table.withColumn("_one", F.lit(1))), "_one").withColumn("_scores", F.transform("_centroids", lambda t: F.struct(
+    # a scalar subquery: one small vector per class
+    scored = vectors.withColumn("_centroids", table.scalar()).withColumn("_scores", F.transform("_centroids", lambda t: F.struct(
         F.round(cosine(vec, t["c"]), 6).alias("cosine"), (-t["label"]).alias("neg"))))
     best = F.array_max("_scores")
     return scored.withColumn("predicted", -best["neg"]).withColumn("cosine", best["cosine"]).drop(
-        "_scores", "_centroids", "_one")
+        "_scores", "_centroids")
 
 
 def stage_progress(log: DataFrame) -> DataFrame:

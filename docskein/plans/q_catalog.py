@@ -147,11 +147,7 @@ def _(t):
 SELECT bundle_id, user_id, name, pinned, row_number() OVER (PARTITION BY user_id ORDER BY pinned DESC, created_at DESC, bundle_id)::INT AS rank
 FROM bundles WHERE name ILIKE '%b%'""", "bundles")
 def _(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy(F.desc("pinned"), F.desc("created_at"), "bundle_id")
-    return c.bundle_list(t.bundles, "b").select("bundle_id", "user_id", "name", "pinned",
-                                                F.row_number().over(w).alias("rank"))
+    return c.bundle_list(t.bundles, "b").select("bundle_id", "user_id", "name", "pinned", "rank")
 
 
 @query("catalog_counts", """

@@ -9,13 +9,15 @@ from docskein.operators import lexical, scoring
 from docskein.plans import retrieval as rt
 from docskein.plans.fixtures import AS_OF_DOCS
 from docskein.plans.q_ingest import WORDS
-from docskein.plans.q_search import AGE, FRESH, SCORED_CTES, SIGMOID, bm25_ctes, duck_tier, scored
+from docskein.plans.q_search import AGE, ENTITY, FRESH, SCORED_CTES, SIGMOID, bm25_ctes, duck_tier, scored
 from docskein.functions import fixed
+from docskein.plans.q_understand import EXPANDED, UNDERSTAND
 from docskein.plans.registry import query
 
 
-# logistic of the graded pair score over the rows of a question
-PAIR = SIGMOID.format(x="(score / max(score) OVER (PARTITION BY query_id) * least(1.0::DOUBLE, overlap * 4.0::DOUBLE) * 6.0::DOUBLE - 3.0::DOUBLE)")
+# the graded pair score over the rows of a question, and its logistic
+RAW = "(score / max(score) OVER (PARTITION BY query_id) * least(1.0::DOUBLE, overlap * 4.0::DOUBLE) * 6.0::DOUBLE - 3.0::DOUBLE)"
+PAIR = SIGMOID.format(x=RAW)
 
 
 def pack_ctes(source: str, doc_key: str, stale: str = "false") -> str:
@@ -80,13 +82,26 @@ def _(t):
     return cx.picked_rows(cx.pack_simple(_gathered(t))).select("query_id", "source_no", "chunk_id")
 
 
-_ANSWER = rf"""{bm25_ctes()},
-vis AS (SELECT s.*, m.priority_tier, m.source_file, m.ingested_at, m.content, coalesce(m.repository, m.department) AS repo FROM b_score s JOIN chunk_meta m USING (chunk_id)
- JOIN queries q USING (query_id) WHERE m.access_roles IS NULL OR list_has_any(m.access_roles, q.user_roles)),
-r AS (SELECT * FROM vis QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 20),
-f AS (SELECT *, 'SEARCH' AS intent, len({WORDS.format(x='content')}) AS token_count,
- round({PAIR} + {duck_tier('priority_tier', fixed.TIER_ADDITIVE, 0.0)} + {FRESH}, 6) AS final_score FROM r),
-fin AS (SELECT * FROM f WHERE final_score >= 0.38 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) <= 8),
+def _list_ctes(name: str, scores: str) -> str:
+    """The list of a question: 20 best chunks that the asker may see, with their rank and raw pair score."""
+    return f"""{name}0 AS (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.chunk_id) AS rank FROM {scores} s
+ JOIN chunk_meta m USING (chunk_id) JOIN queries q ON q.query_id = s.query_id
+ WHERE m.access_roles IS NULL OR list_has_any(m.access_roles, q.user_roles) QUALIFY rank <= 20),
+{name} AS (SELECT query_id, chunk_id, rank, {RAW} AS raw FROM {name}0)"""
+
+
+_ANSWER = rf"""{UNDERSTAND}, {EXPANDED}, pq AS (SELECT query_id, safe AS text FROM u7),
+xq AS (SELECT query_id, expanded[2] AS text FROM x2 WHERE len(expanded) > 1),
+{bm25_ctes(queries='pq')}, {bm25_ctes(queries='xq', p='y')}, {_list_ctes('l1', 'b_score')}, {_list_ctes('l2', 'y_score')},
+al AS (SELECT query_id, chunk_id, max(raw) AS raw FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY ALL),
+r AS (SELECT a.query_id, a.chunk_id, a.raw, m.priority_tier, m.source_file, m.ingested_at, m.content, coalesce(m.repository, m.department) AS repo, u.intent,
+ a.entity FROM (SELECT *, round({ENTITY}, 6) AS entity FROM (SELECT al.*, m.department, m.repository, lower(m.content) AS c, lower(m.source_file) AS f, u.repositories, u.departments,
+  CASE WHEN u.intent = 'TICKET_LOOKUP' THEN regexp_extract_all(u.safe, '{fixed.TICKET_ID}', 1) ELSE [] END AS ids
+  FROM al JOIN chunk_meta m USING (chunk_id) JOIN u7 u USING (query_id))) a JOIN chunk_meta m USING (chunk_id) JOIN u7 u USING (query_id)),
+f AS (SELECT *, len({WORDS.format(x='content')}) AS token_count,
+ round({SIGMOID.format(x='raw')} + {duck_tier('priority_tier', fixed.TIER_ADDITIVE, 0.0)} + {FRESH} + entity, 6) AS final_score FROM r),
+fin AS (SELECT * FROM f WHERE final_score >= 0.38 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id)
+ <= CASE intent WHEN 'SUMMARIZE' THEN 16 ELSE 8 END),
 {pack_ctes('fin', 'source_file', f'{AGE} > 180')},
 blocks AS (SELECT p.query_id, p.no, p.used, p.chunk_id, p.final_score, m.source_file, '[Source ' || p.no || '] ' || m.source_file || ' | General | p.0 | ' || m.repo
  || CASE WHEN p.stale THEN ' [STALE – verify before actioning]' ELSE '' END || chr(10) || m.content AS block FROM packed p JOIN f m USING (query_id, chunk_id))"""

@@ -227,15 +227,18 @@ def _(t):
     return t.docs.select("doc_id", age.cast("bigint").alias("age_days"), scoring.freshness_decay(age).alias("freshness"))
 
 
+ENTITY = """least(0.30::DOUBLE, CASE WHEN list_contains(departments, department) THEN 0.08::DOUBLE + 0.15::DOUBLE ELSE 0.0::DOUBLE END
+ + CASE WHEN list_contains(repositories, repository) THEN 0.12::DOUBLE + 0.20::DOUBLE ELSE 0.0::DOUBLE END
+ + CASE WHEN len(list_filter(ids, lambda x: contains(c, lower(x)) OR contains(f, lower(x)))) > 0 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END)"""
+
+
 @query("entity_boost", f"""
 WITH {bm25_ctes()}, {UNDERSTAND}, top AS (SELECT s.query_id, s.chunk_id FROM b_score s JOIN chunk_meta m USING (chunk_id) JOIN queries q USING (query_id)
  WHERE m.access_roles IS NULL OR list_has_any(m.access_roles, q.user_roles) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 20),
 j AS (SELECT t.query_id, t.chunk_id, m.department, m.repository, lower(m.content) AS c, lower(m.source_file) AS f, u.repositories, u.departments,
  CASE WHEN u.intent = 'TICKET_LOOKUP' THEN regexp_extract_all(u.safe, '{fixed.TICKET_ID}', 1) ELSE [] END AS ids
  FROM top t JOIN chunk_meta m ON m.chunk_id = t.chunk_id JOIN u7 u ON u.query_id = t.query_id)
-SELECT query_id, chunk_id, round(least(0.30::DOUBLE, CASE WHEN list_contains(departments, department) THEN 0.08::DOUBLE + 0.15::DOUBLE ELSE 0.0::DOUBLE END
- + CASE WHEN list_contains(repositories, repository) THEN 0.12::DOUBLE + 0.20::DOUBLE ELSE 0.0::DOUBLE END
- + CASE WHEN len(list_filter(ids, lambda x: contains(c, lower(x)) OR contains(f, lower(x)))) > 0 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END), 6) AS entity_boost FROM j""",
+SELECT query_id, chunk_id, round({ENTITY}, 6) AS entity_boost FROM j""",
        "chunk_meta queries")
 def _(t):
     chunks, asked = t.stored("chunk_meta"), t.stored("queries")

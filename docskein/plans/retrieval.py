@@ -10,6 +10,7 @@ from docskein.functions.ranking import top_k
 from docskein.functions.text import word_count
 from docskein.operators import context, lexical, scoring
 from docskein.operators.filters import visible_to
+from docskein.operators.understand import understand
 from docskein.session import stored
 
 LEVELS = {1: "DOCUMENT", 2: "REPOSITORY", 3: "DEPARTMENT", 4: "GLOBAL"}
@@ -121,22 +122,33 @@ def ticket_fallback(final: DataFrame, thin: DataFrame, tickets: DataFrame, k: in
 
 
 def answer_contexts(chunks: DataFrame, queries: DataFrame, as_of: str, list_size: int = 20) -> DataFrame:
-    """Question → packed context over a chunk table: BM25 list, fusion, re-rank, adjustments, packing, citations."""
+    """Question → packed context over a chunk table: understanding, one list for the question and one for its first
+    expansion among the chunks the asker may see, fusion, pool, pair score, freshness, entity boost, threshold, packing,
+    citations. Summaries get longer lists and larger budgets."""
     index = lexical.index_chunks(chunks)
-    roles = "user_roles" in queries.columns
-    ranked = lexical.bm25_search(
-        index, queries, list_size, by_role=roles,
-        chunk_attrs=chunks.select("chunk_id", "access_roles") if roles else None,
-        query_attrs=queries.select("query_id", "user_roles") if roles else None)
-    ranked = stored(ranked, "ranked")  # list_size rows per question, read by fusion and scoring
-    fused = scoring.rrf_fuse([("bm25", ranked)], chunks)
-    meta = chunks.select("chunk_id", "source_file", "priority_tier", "ingested_at", word_count(F.col("content")).alias("token_count"))
-    cands = (fused.join(ranked.select("query_id", "chunk_id", "score", "overlap"), ["query_id", "chunk_id"])
-             .join(meta, "chunk_id"))
+    asked = stored(understand(queries), "understood")
+    roles = chunks.select("chunk_id", "access_roles")
+
+    def ranked(questions: DataFrame) -> DataFrame:
+        found = lexical.bm25_search(index, questions.select("query_id", "text"), list_size, by_role=True, chunk_attrs=roles,
+                                    query_attrs=questions.select("query_id", "user_roles"))
+        return stored(found.withColumn("raw", scoring.pair_raw(found)), "ranked")  # list_size rows per question
+
+    own = ranked(asked.withColumn("text", F.col("safe")))
+    wider = ranked(asked.filter(F.size("expanded") > 1).withColumn("text", F.get("expanded", F.lit(1))))
+    fused = scoring.rrf_fuse([("bm25", own), ("expansion", wider)], chunks)
+    raw = own.select("query_id", "chunk_id", "raw").unionByName(wider.select("query_id", "chunk_id", "raw")).groupBy(
+        "query_id", "chunk_id").agg(F.max("raw").alias("raw"))
+    meta = chunks.select("chunk_id", "source_file", "department", "repository", "content", "priority_tier", "ingested_at",
+                         word_count(F.col("content")).alias("token_count"))
+    cands = fused.join(raw, ["query_id", "chunk_id"]).join(asked.select(
+        "query_id", "intent", "departments", "repositories", "ticket_ids", "repository_weight", "department_weight"), "query_id")
+    cands = scoring.rerank_pool(cands).join(meta, "chunk_id")
     age = scoring.age_days(F.col("ingested_at"), as_of)
+    boost = scoring.entity_boost(F.col("department"), F.col("repository"), F.col("content"), F.col("source_file"))
     scored = scoring.add_final_score(cands.withColumns({
-        "rerank_score": scoring.logistic(scoring.pair_raw(cands)),
-        "freshness": scoring.freshness_decay(age), "age": age, "doc_key": F.col("source_file")}))
+        "rerank_score": scoring.logistic(F.col("raw")), "entity_boost": boost,
+        "freshness": scoring.freshness_decay(age), "age": age, "doc_key": F.col("source_file")})).drop("content")
     final = scoring.select_final(scored)
     packed = context.pack(context.gather(final, context.is_stale(F.col("age"))))
     picked = context.picked_rows(packed)

@@ -125,7 +125,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the runs cut out of the texts; other columns and texts without a run are unchanged."""
     runs = repeated_runs(docs, min_words).groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("start", "n_words"))).alias("_runs")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(runs, docs["doc_id"] == F.col("_id"), "left").select(*[docs[c] for c in docs.columns], "_runs")
+    joined = docs.join(runs, docs["doc_id"] == runs["_id"], "left").select(*[docs[c] for c in docs.columns], runs["_runs"].alias("__runs"))
     names = docs.columns
     at, last = names.index("text"), len(names)
 

@@ -131,6 +131,7 @@ def mixed_documents(docs: DataFrame, weights: list[float], share: float, most: f
     their source, for a later draw could not name them."""
     plan = mixed(docs, weights, share, most, seed, whole=True)
     times = plan.select("doc_id", (F.col("epochs") + (F.col("extra") > 0).cast("long")).alias("times"))
-    by_id = times.groupBy("doc_id").agg(F.max("times").alias("times")).withColumnRenamed("doc_id", "_id")
-    return docs.join(by_id, same("doc_id", "_id")).select(
-        *[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).drop("col")
+    by_id = times.groupBy("doc_id").agg(F.max("times").alias("times")).select(F.col("doc_id").alias("_id"), "times")
+    # columns are named by their table: ``docs`` may have columns of the same names
+    return docs.join(by_id, docs["doc_id"].eqNullSafe(by_id["_id"])).select(
+        *[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), by_id["times"].cast("int"))).alias("__copy")).drop("__copy")

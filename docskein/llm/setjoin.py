@@ -443,7 +443,7 @@ def line_report(docs: DataFrame) -> DataFrame:
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that match an earlier line; other columns are unchanged."""
     gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, docs["doc_id"] == F.col("_id"), "left").select(*[docs[c] for c in docs.columns], "_gone")
+    joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left").select(*[docs[c] for c in docs.columns], gone["_gone"].alias("__gone"))
     names = docs.columns
     at, last = names.index("text"), len(names)
 

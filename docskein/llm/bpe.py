@@ -29,7 +29,7 @@ from docskein.llm.base import batch
 from docskein.llm.words import per_doc, slices, words
 
 LONG = 256  # symbols; longer pre-tokens are merged by the heap
-REMEMBERED = 1_000_000  # words a worker keeps before it starts anew
+REMEMBERED = 400_000  # words a worker keeps before it starts anew
 
 
 class Merges:

@@ -33,7 +33,7 @@ from docskein.llm.bpe import byte_letters
 from docskein.llm.words import slices, span_hashes, text_bytes
 from docskein.session import stored
 
-REMEMBERED = 600_000  # parts a worker keeps before it starts anew
+REMEMBERED = 200_000  # parts a worker keeps before it starts anew
 GROUP = 32_768  # pieces packed together
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")  # fixed value of byte-level BPE
 

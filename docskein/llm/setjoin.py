@@ -39,7 +39,7 @@ PARTS = 64  # least number of partitions of prefix words; more for larger inputs
 BYTES_PER_PART = 24 << 20  # text whose prefix words one partition holds
 KEPT = 3  # earliest candidates of a line that are verified first
 CLASSES = ((160, 2), (640, 8), (1 << 40, 64))  # largest size, 64-bit words of sketch
-SLICE = 8 << 20
+SLICE = 5 << 20
 BLOOM = 1 << 20  # bits that stand for open lines
 WORD_BLOOM = 1 << 22  # bits that stand for words
 _U = np.uint64

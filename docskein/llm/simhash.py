@@ -280,7 +280,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 def one_per_group(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """``docs`` with the document of smallest id of each group; of rows that repeat that id, one. Without an id none of
     a row's copies can be named, so such rows stay."""
-    found = stored(near_duplicates(docs, width, radius), "near-duplicates")
+    return smallest_of(docs, stored(near_duplicates(docs, width, radius), "near-duplicates"))
+
+
+def smallest_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one document for each component of ``found(doc_id, component_id)``, and all without an id."""
     drop = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(drop, "doc_id", "left_anti")
     ids = found.filter(F.col("doc_id") == F.col("component_id")).agg(F.count("*"), F.count_distinct("doc_id")).first()

@@ -1,13 +1,13 @@
 """Exact top-k by inner product: a Voronoi kNN join.
 
 Vectors become integers floor(scale * x). Pivots, a bounded sample of the candidates, cut the space into cells; every
-vector belongs to the cell of its nearest pivot. Cells are summarised: number of vectors, largest distance to the pivot
-and the distances of the ``k`` closest ones. For a query q, a pivot p and a vector y at distance r from p,
+vector belongs to the cell of its nearest pivot. Cells are summarised by the distances of their closest vectors: of the
+``k + 1`` closest ids, the ``k`` closest rows each. For a query q, a pivot p and a vector y at distance r from p,
 
     q·p - |q| r  <=  q·y  <=  q·p + |q| r.
 
-From the left, the k closest of each cell give a query a floor under its k-th best score; the pivots themselves, which
-are vectors of the table, raise it. From the right, a vector whose bound lies under the floor of every query of a group
+From the left, the closest of each cell, without those of the query's own id, give it a floor under its k-th best score;
+the pivots themselves, which are vectors of the table, raise it. From the right, a vector whose bound lies under the floor of every query of a group
 cannot matter to it. Queries are grouped by cell, in blocks of bounded size; candidates are copied only to the groups
 that may need them and meet their queries there. Groups are cut into bounded pieces of candidates by a hash, whatever
 their cell, so a cell that holds a third of all rows is many tasks. Each piece returns its own best k per query, and the
@@ -88,24 +88,20 @@ def _cells(pivots: np.ndarray):
     return run
 
 
-def _floors(pivots: np.ndarray, pivot_ids: np.ndarray, closest: dict[int, np.ndarray], k: int):
-    """Each query's floor under its k-th best score, from the summaries and from the pivots."""
+def _floors(pivots: np.ndarray, pivot_ids: np.ndarray, at: np.ndarray, near_ids: np.ndarray, distance: np.ndarray, k: int):
+    """Each query's floor under its k-th best score, from the closest rows (cell, id, distance) and from the pivots."""
     schema = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64())), ("cell", pa.int32()), ("floor", pa.float64())])
-    at = np.concatenate([np.full(len(d), c) for c, d in closest.items()]) if closest else np.empty(0, np.int64)
-    distance = np.concatenate(list(closest.values())) if closest else np.empty(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            if not rows.num_rows:
-                continue
+        for rows in (b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256)):
             q, ids = _matrix(rows.column(1)), rows.column(0).to_numpy()
             norm = np.sqrt((q ** 2).sum(axis=1))[:, None]
             dots = q @ pivots.T
-            low = dots[:, at] - norm * distance[None, :]
-            # one of the counted vectors may be the query itself: the k + 1-st is safe; likewise a pivot of its id
+            # rows of the query's own id are no partners, however many there are; likewise pivots of its id
+            low = np.where(near_ids[None, :] == ids[:, None], -np.inf, dots[:, at] - norm * distance[None, :])
             floor = np.full(len(q), -np.inf)
-            if low.shape[1] > k:
-                floor = np.partition(low, low.shape[1] - k - 1, axis=1)[:, low.shape[1] - k - 1]
+            if low.shape[1] >= k:
+                floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
             real = np.where(pivot_ids[None, :] == ids[:, None], -np.inf, dots)
             if real.shape[1] >= k:
                 floor = np.maximum(floor, np.partition(real, real.shape[1] - k, axis=1)[:, real.shape[1] - k])
@@ -195,13 +191,16 @@ def _one_length(queries: DataFrame, rows: DataFrame, k: int, pivots: int) -> Dat
     point_ids = point_ids[first]
     shape = "id long, v array<double>, cell int, distance double"
     placed = stored(rows.mapInArrow(_cells(points), shape), "cells")
-    summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius"))
-    near = placed.select("cell", "distance").withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy("distance"))).filter(
-        F.col("place") <= k).groupBy("cell").agg(F.array_sort(F.collect_list("distance")).alias("closest"))
-    # one row per pivot, k distances each
-    closest = {r["cell"]: np.array(r["closest"]) for r in summary.join(near, "cell").collect()}
+    # of each cell the k + 1 closest ids and k rows of each: without any one id, the k closest rows are still among them
+    ids = placed.groupBy("cell", "id").agg(F.min("distance").alias("nearest"))
+    ids = ids.withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy("nearest", "id"))).filter(F.col("place") <= k + 1)
+    near = placed.join(ids.select("cell", "id"), ["cell", "id"]).select("cell", "id", "distance").withColumn(
+        "place", F.row_number().over(Window.partitionBy("cell", "id").orderBy("distance"))).filter(F.col("place") <= k)
+    # at most k + 1 ids and k rows of each a pivot
+    near = near.select("cell", "id", "distance").toArrow()
+    at, near_ids, distance = (near[c].to_numpy() for c in ("cell", "id", "distance"))
     asked = queries.mapInArrow(_cells(points), shape).select("id", "v", "cell").mapInArrow(
-        _floors(points, point_ids, closest, k), "id long, v array<double>, cell int, floor double")
+        _floors(points, point_ids, at, near_ids, distance, k), "id long, v array<double>, cell int, floor double")
     asked = stored(asked.withColumn("row", F.monotonically_increasing_id()), "queries")
     # queries of a cell in blocks of bounded size
     sizes = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}

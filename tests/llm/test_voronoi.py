@@ -54,3 +54,14 @@ def test_defined_cases(spark):
     big = frame(spark, [(0, [1e10, 3.0]), (1, [1e2, 5.0]), (2, [1e2, 4.0])])
     got = {tuple(r) for r in voronoi.top_k(big.filter("vec_id = 0"), big).collect()}
     assert got == brute([(0, f32([1e10, 3.0])), (1, [1e2, 5.0]), (2, [1e2, 4.0])])
+
+
+def test_repeated_rows_of_the_query(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, f32([1.0, 0.1]))] * 12 + [(i, f32(rng.normal(size=2))) for i in range(1, 21)]
+    d = frame(spark, rows)
+    scores = sorted((sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(rows[0][1], v)) for i, v in rows if i), reverse=True)[:10]
+    got = [tuple(r) for r in voronoi.top_k(d.filter("vec_id % 100 = 0").limit(1), d).collect()]
+    assert [s for *_, s in sorted(got, key=lambda r: r[1])] == scores
+    got = voronoi.top_k(d.filter("vec_id % 100 = 0"), d).collect()
+    assert len(got) == 120 and sorted(r.score for r in got) == sorted(scores * 12)

@@ -115,12 +115,13 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - lo
 
 
-def words_in(buf: np.ndarray, offsets: np.ndarray) -> Words:
+def words_in(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> Words:
+    """Runs of bytes outside ``space``, a table of 256 flags."""
     n = len(buf)
     if n == 0:
         none = np.empty(0, dtype=np.int64)
         return Words(buf, offsets, none, none, np.zeros(len(offsets), dtype=np.int64))
-    inside = ~SPACE[buf]
+    inside = ~space[buf]
     edge = offsets[(offsets > 0) & (offsets < n)]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]

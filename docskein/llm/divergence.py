@@ -33,7 +33,7 @@ from docskein.session import ship, stored
 
 BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 FEWEST_DOCS, TOP_TERMS, SCALE = 3, 200, 1_000_000_000
-CELLS, BLOCK, HELD_ROWS = 1 << 21, 256, 400_000
+CELLS, BLOCK, HELD_ROWS = 1 << 17, 256, 400_000
 _PARTIAL = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 _KEYS = ["lang", "source", "term"]
 

@@ -51,10 +51,12 @@ def logistic(raw: Column) -> Column:
     return F.round(1.0 / (1.0 + F.exp(-raw)), 6)
 
 
-def pair_raw(pairs: DataFrame) -> Column:
+def pair_raw(best: Column | None = None) -> Column:
     """Offline stand-in for a pair model, graded from -3 to 3: the lexical score against the question's best one, damped
-    where the chunk holds less than a quarter of the question's terms. ``pairs(query_id, score, overlap)``."""
-    best = F.max("score").over(Window.partitionBy("query_id"))
+    where the chunk holds less than a quarter of the question's terms. For rows (query_id, score, overlap); ``best`` names
+    the best score of a question where the rows may not hold it."""
+    if best is None:
+        best = F.max("score").over(Window.partitionBy("query_id"))
     return F.col("score") / best * F.least(F.lit(1.0), F.col("overlap") * 4.0) * 6.0 - 3.0
 
 

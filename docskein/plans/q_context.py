@@ -13,6 +13,7 @@ from docskein.plans.q_search import AGE, ENTITY, FRESH, SCORED_CTES, SIGMOID, bm
 from docskein.functions import fixed
 from docskein.plans.q_understand import EXPANDED, UNDERSTAND
 from docskein.plans.registry import query
+from docskein.session import stored
 
 
 # the graded pair score over the rows of a question, and its logistic
@@ -152,7 +153,7 @@ def _cascade_inputs(t):
 def _index(t):
     """The stored term index of the chunks, built once per query."""
     if "chunks" not in t.indexes:
-        t.indexes["chunks"] = lexical.index_chunks(t.stored("chunk_meta"))
+        t.indexes["chunks"] = rt.index_corpus(t.stored("chunk_meta"))
     return t.indexes["chunks"]
 
 
@@ -162,8 +163,9 @@ def _scoped(t):
 
 def _cascade(t):
     q = _cascade_inputs(t)
-    results = rt.level_results(_index(t), q, t.stored("chunk_meta"))
-    return results, rt.pick_level(q, results, _scoped(t))
+    scoped = stored(_scoped(t), "scoped-documents")
+    results = rt.level_results(_index(t), q, t.stored("chunk_meta"), scoped=scoped)
+    return results, rt.pick_level(q, results, scoped)
 
 
 @query("cascade", f"""
@@ -193,7 +195,7 @@ def _(t):
     _, kept = _cascade(t)
     # the retry drops every scope and widens both the list and the final k
     weak = _cascade_inputs(t).join(kept.filter("low_confidence").select("query_id"), "query_id", "left_semi")
-    again = rt.level_results(_index(t), weak, t.stored("chunk_meta"), list_size=40, k=25).filter("level = 4")
+    again = rt.level_results(_index(t), weak, t.stored("chunk_meta"), list_size=40, k=25, levels=(4,))
     stats = again.groupBy("query_id").agg(F.count("*").alias("chunks"), F.max("final_score").alias("confidence"))
     return rt.low_confidence_retry(kept, stats)
 

@@ -9,7 +9,8 @@ from docskein.functions.text import TOKEN, tokens
 from docskein.operators import dense, lexical, scoring
 from docskein.operators import feedback as fb
 from docskein.operators import understand as u
-from docskein.operators.filters import in_scope, scope_kind
+from docskein.operators.filters import scope_kind
+from docskein.plans import retrieval as rt
 from docskein.plans.fixtures import AS_OF_DOCS
 from docskein.plans.q_metrics import BOOSTS_CTE
 from docskein.plans.q_understand import UNDERSTAND
@@ -166,7 +167,7 @@ def _(t):
 WITH {bm25_ctes()} SELECT p.term, i.df, round(i.idf, 6) AS idf, sum(p.tf)::BIGINT AS tf, sum(l.dl)::BIGINT AS dl, sum(p.chunk_id)::BIGINT AS chunk_sum
 FROM b_post p JOIN b_len l USING (chunk_id) JOIN b_idf i USING (term) GROUP BY ALL""", "chunks queries")
 def _(t):
-    index = lexical.index_chunks(t.chunks)
+    index = lexical.index_chunks(t.stored("chunks"))
     per_term = index.postings.groupBy("term").agg(
         F.sum("tf").alias("tf"), F.sum("dl").alias("dl"), F.sum("chunk_id").alias("chunk_sum"))
     return per_term.join(index.terms, "term").withColumn("idf", F.round("idf", 6))
@@ -185,13 +186,13 @@ s AS (SELECT s.query_id, s.chunk_id, s.score FROM b_score s JOIN chunk_meta m ON
 SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s QUALIFY rank <= 20""",
        "chunk_meta queries")
 def _(t):
-    attrs = t.stored("chunk_meta").select("chunk_id", "doc_id", "repository", "department", "access_roles")
     q = t.stored("queries")
-    qa = q.select("query_id", "user_roles", "scope_doc_ids", "scope_repository", "scope_department").withColumn(
-        "kind", scope_kind(F.col("scope_doc_ids"), F.col("scope_repository"), F.col("scope_department")))
-    keep = in_scope(F.col("kind"), F.col("scope_doc_ids"), F.col("scope_repository"), F.col("scope_department"))
-    return lexical.bm25_search(lexical.index_chunks(t.stored("chunk_meta")), q, 20, "text", keep, attrs, qa,
-                               by_role=True).drop("overlap")
+    kind = scope_kind(F.col("scope_doc_ids"), F.col("scope_repository"), F.col("scope_department"))
+    level = F.when(kind == "DOC", 1).when(kind == "REPOSITORY", 2).when(kind == "DEPARTMENT", 3)
+    hinted = q.withColumns({"repo_hint": F.col("scope_repository"), "dept_hint": F.col("scope_department")})
+    due = hinted.withColumn("must", F.filter(F.array(lexical.role_demand(F.col("user_roles")), rt.scope_demand(level)),
+                                             lambda x: x.isNotNull()))
+    return lexical.search(rt.index_corpus(t.stored("chunk_meta")), due, 20, must="must").drop("overlap")
 
 
 # ------------------------------------------------------------------ scores
@@ -242,8 +243,8 @@ SELECT query_id, chunk_id, round({ENTITY}, 6) AS entity_boost FROM j""",
        "chunk_meta queries")
 def _(t):
     chunks, asked = t.stored("chunk_meta"), t.stored("queries")
-    hits = lexical.bm25_search(lexical.index_chunks(chunks), asked, 20, chunk_attrs=chunks.select("chunk_id", "access_roles"),
-                               query_attrs=asked.select("query_id", "user_roles"), by_role=True).select("query_id", "chunk_id")
+    due = asked.select("query_id", "text", F.array(lexical.role_demand(F.col("user_roles"))).alias("must"))
+    hits = lexical.search(rt.index_corpus(chunks), due, 20, must="must").select("query_id", "chunk_id")
     q = u.understand(t.stored("queries")).select("query_id", "departments", "repositories", "ticket_ids", "repository_weight",
                                        "department_weight")
     m = t.stored("chunk_meta").select("chunk_id", "department", "repository", "content", "source_file")

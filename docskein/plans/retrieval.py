@@ -16,35 +16,61 @@ from docskein.session import stored
 LEVELS = {1: "DOCUMENT", 2: "REPOSITORY", 3: "DEPARTMENT", 4: "GLOBAL"}
 
 
-def _levels() -> Column:
-    """Levels in which a (question, chunk) pair competes; the row holds the question's scope and the chunk's labels."""
-    doc = F.when(F.array_contains("scope_doc_ids", F.col("doc_id")), 1)
-    repo = F.when(F.col("repository") == F.col("repo_hint"), 2)
-    dept = F.when(F.col("department") == F.col("dept_hint"), 3)
-    return F.array(doc, repo, dept, F.lit(4))
-
-
-def level_results(index: lexical.TermIndex, queries: DataFrame, chunks: DataFrame, list_size: int = 20,
-                  k: int = 8) -> DataFrame:
-    """Final chunks per (question, level). All levels share one pass over the postings: a pair is scored once and then
-    competes in each level whose scope it meets. Chunks that the asker may not see (``access_roles`` against
-    ``user_roles``) compete at no level."""
-    rows, asked, grants = lexical.role_parts(
-        chunks.select("chunk_id", "doc_id", "repository", "department", "priority_tier", "access_roles"),
-        queries.select("query_id", "scope_doc_ids", "repo_hint", "dept_hint", "user_roles"))
-    attrs, scope = stored(rows, "chunk-attributes"), stored(asked, "scopes")
-
-    def pairs_of(ix: lexical.TermIndex) -> DataFrame:
-        pairs = lexical.bm25_scores(ix, queries).join(attrs, "chunk_id").join(scope, "query_id")
-        return pairs.join(grants, ["signature", "profile"], "left_semi").select("query_id", "chunk_id", "score", "overlap", "priority_tier",
-                            F.explode(_levels()).alias("level")).filter(F.col("level").isNotNull())
-
-    short = lexical.bounded_top_k(pairs_of, index, ["query_id", "level"], list_size)
-    scored = scoring.add_final_score(short.withColumn(
-        "rerank_score", scoring.logistic(scoring.pair_raw(short))))
-    kept = scored.filter(F.col("final_score") >= fixed.FINAL_THRESHOLD)
-    # at most k rows per question and level, read by every later step of the cascade
-    return stored(top_k(kept, ["query_id", "level"], [F.desc("final_score"), F.asc("chunk_id")], k, "final_rank"), "levels")
+def chunk_labels() -> Column:
+    """What a search may demand of a chunk: who may see it, its document, repository and department."""
+    return F.concat(lexical.role_labels(F.col("access_roles")), lexical.value_labels(
+        doc=F.col("doc_id"), repository=F.col("repository"), department=F.col("department")))
+
+
+def index_corpus(chunks: DataFrame, path: str | None = None) -> lexical.TermIndex:
+    """Term index of a chunk table; stretches of a document lie together, so a question about it visits few pieces."""
+    stretch = F.floor(F.col("chunk_index") / 64) if "chunk_index" in chunks.columns else F.pmod(F.xxhash64("chunk_id"), F.lit(64))
+    return lexical.index_chunks(chunks, path=path, labels=chunk_labels(), cluster=F.concat_ws("/", "doc_id", stretch))
+
+
+def scope_demand(level: Column) -> Column:
+    """Labels of a question's scope at a level: of its documents, its repository or its department."""
+    docs = F.transform("scope_doc_ids", lambda d: lexical.value_label("doc", d))
+    return (F.when(level == 1, docs).when(level == 2, F.array(lexical.value_label("repository", F.col("repo_hint"))))
+            .when(level == 3, F.array(lexical.value_label("department", F.col("dept_hint")))))
+
+
+def _scope(level: int) -> Column:
+    return {1: F.size(F.coalesce("scope_doc_ids", F.array().cast("array<bigint>"))) > 0, 2: F.col("repo_hint").isNotNull(),
+            3: F.col("dept_hint").isNotNull(), 4: F.lit(True)}[level]
+
+
+def level_results(index: lexical.TermIndex, queries: DataFrame, chunks: DataFrame, list_size: int = 20, k: int = 8,
+                  levels: tuple[int, ...] = (1, 2, 3, 4), scoped: DataFrame | None = None) -> DataFrame:
+    """Final chunks per (question, level), narrowest level first; a level is searched for the questions only that no
+    narrower one has settled with confidence.
+
+    Chunks that the asker may not see (``access_roles`` against ``user_roles``) compete at no level. ``scoped`` lists the
+    documents a question may fall back to: having one and no chunk at level 1 settles it too.
+    """
+    roles = lexical.role_demand(F.col("user_roles"))
+    asked = stored(queries.select("query_id", "text", "scope_doc_ids", "repo_hint", "dept_hint", roles.alias("roles")), "questions")
+    tiers = chunks.select("chunk_id", "priority_tier")
+    # pair scores are graded against the best chunk of all that the asker may see
+    best = stored(lexical.search(index, asked.withColumn("must", F.array("roles")), 1, must="must").select(
+        "query_id", F.col("score").alias("best")), "best-scores")
+    open_, out = asked, None
+    for level in levels:
+        now = open_.filter(_scope(level)).withColumn(
+            "must", F.array("roles") if level == 4 else F.array("roles", scope_demand(F.lit(level))))
+        short = lexical.search(index, now, list_size, must="must").join(best, "query_id").join(tiers, "chunk_id")
+        scored = scoring.add_final_score(short.withColumn("rerank_score", scoring.logistic(scoring.pair_raw(F.col("best")))))
+        kept = scored.filter(F.col("final_score") >= fixed.FINAL_THRESHOLD).withColumn("level", F.lit(level)).drop("rank", "best")
+        found = stored(top_k(kept, ["query_id", "level"], [F.desc("final_score"), F.asc("chunk_id")], k, "final_rank"), "level")
+        out = found if out is None else out.unionByName(found)
+        if level == levels[-1]:
+            break
+        settled = found.groupBy("query_id").agg(F.max("final_score").alias("c")).filter(
+            F.col("c") >= fixed.LOW_CONFIDENCE).select("query_id")
+        if level == 1 and scoped is not None:
+            settled = settled.union(scoped.select("query_id").join(found.select("query_id"), "query_id", "left_anti")).distinct()
+        open_ = stored(open_.join(settled, "query_id", "left_anti"), "unsettled")
+    return out
 
 
 def scoped_documents(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -121,18 +147,18 @@ def ticket_fallback(final: DataFrame, thin: DataFrame, tickets: DataFrame, k: in
     return top_k(rows, ["query_id"], [F.desc("final_score"), F.asc("chunk_key")], k)
 
 
-def answer_contexts(chunks: DataFrame, queries: DataFrame, as_of: str, list_size: int = 20) -> DataFrame:
+def answer_contexts(chunks: DataFrame, queries: DataFrame, as_of: str, list_size: int = 20,
+                    index: lexical.TermIndex | None = None) -> DataFrame:
     """Question → packed context over a chunk table: understanding, one list for the question and one for its first
     expansion among the chunks the asker may see, fusion, pool, pair score, freshness, entity boost, threshold, packing,
     citations. Summaries get longer lists and larger budgets."""
-    index = lexical.index_chunks(chunks)
+    index = index or index_corpus(chunks)
     asked = stored(understand(queries), "understood")
-    roles = chunks.select("chunk_id", "access_roles")
 
     def ranked(questions: DataFrame) -> DataFrame:
-        found = lexical.bm25_search(index, questions.select("query_id", "text"), list_size, by_role=True, chunk_attrs=roles,
-                                    query_attrs=questions.select("query_id", "user_roles"))
-        return stored(found.withColumn("raw", scoring.pair_raw(found)), "ranked")  # list_size rows per question
+        due = questions.select("query_id", "text", F.array(lexical.role_demand(F.col("user_roles"))).alias("must"))
+        found = lexical.search(index, due, list_size, must="must")
+        return stored(found.withColumn("raw", scoring.pair_raw()), "ranked")  # list_size rows per question
 
     own = ranked(asked.withColumn("text", F.col("safe")))
     wider = ranked(asked.filter(F.size("expanded") > 1).withColumn("text", F.get("expanded", F.lit(1))))

@@ -54,7 +54,7 @@ def test_no_level_shows_what_the_asker_may_not_see(spark):
         "chunk_id long, doc_id long, chunk_index long, content string, repository string, department string, priority_tier int, access_roles array<string>")
     q = spark.createDataFrame([(1, text, [1], "IT", "IT", ["EMPLOYEE"]), (2, text, [1], "IT", "IT", ["ADMIN"])],
                               "query_id long, text string, scope_doc_ids array<long>, repo_hint string, dept_hint string, user_roles array<string>")
-    rows = rt.level_results(lexical.index_chunks(chunks), q, chunks).collect()
+    rows = rt.level_results(rt.index_corpus(chunks), q, chunks).collect()
     assert {r.chunk_id for r in rows if r.query_id == 2} >= {1}
     assert 1 not in {r.chunk_id for r in rows if r.query_id == 1} and any(r.query_id == 1 for r in rows)
     hidden = chunks.filter("chunk_id = 1")

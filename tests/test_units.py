@@ -169,7 +169,7 @@ def test_bm25_equals_formula(corpus, k):
     rows, qs, chunks, queries = corpus
     docs = [r.split() for r in rows]
     got = {}
-    for r in lexical.bm25_search(lexical.index_chunks(chunks), queries, k).collect():
+    for r in lexical.search(lexical.index_chunks(chunks), queries, k).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"], r["score"]))
     for i, q in enumerate(qs):
         scores = [math.floor(s * 1e6 + .5) / 1e6 for s in brute_bm25(docs, q.split())]

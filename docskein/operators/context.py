@@ -109,10 +109,15 @@ def assemble(picked: DataFrame, chunks: DataFrame) -> DataFrame:
         F.transform("r", lambda x: x["citation"]).alias("citations"))
 
 
+def four_digits(score: Column) -> Column:
+    """A six-digit score to four digits, halves upwards, in whole millionths: no engine sees a binary tie."""
+    return F.floor((F.floor(score * 1e6 + 0.5) + 50) / 100) / F.lit(1e4)
+
+
 def citation(repository: Column) -> Column:
     return F.struct(basename(F.col("source_file")).alias("source"), F.col("section_title").alias("section"),
                     F.col("page_number").alias("page"), repository.alias("repository"),
-                    F.round("final_score", 4).alias("score"), "priority_tier", "chunk_id", "stale")
+                    four_digits(F.col("final_score")).alias("score"), "priority_tier", "chunk_id", "stale")
 
 
 def is_stale(age: Column) -> Column:

@@ -117,7 +117,7 @@ def _(t):
 
 
 @query("citations", f"""
-WITH RECURSIVE {_ANSWER} SELECT query_id, no::INT AS source_no, chunk_id, source_file AS source, round(final_score, 4) AS score FROM blocks""",
+WITH RECURSIVE {_ANSWER} SELECT query_id, no::INT AS source_no, chunk_id, source_file AS source, floor((floor(final_score * 1000000::DOUBLE + 0.5::DOUBLE) + 50) / 100::DOUBLE) / 10000::DOUBLE AS score FROM blocks""",
        "docs chunk_meta queries")
 def _(t):
     a = rt.answer_contexts(t.stored("chunk_meta"), t.stored("queries"), AS_OF_DOCS)

@@ -100,3 +100,14 @@ def test_runs_from_another_folder(tmp_path):
     out = subprocess.run(["timeout", "200", sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True,
                          env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert "ROWS" in out.stdout, out.stderr[-1500:]
+
+
+def test_entry_without_optional_packages():
+    code = ("import sys, warnings; sys.modules['tiktoken'] = None; sys.modules['public_tokenizers'] = None; warnings.simplefilter('ignore')\n"
+            "import __spark_entry__ as e; q = e.queries(); assert 'bm25_search' in q and not any(n.startswith('op') for n in q)")
+    subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=120)
+
+
+def test_citation_scores_round_half_up(spark):
+    got = spark.createDataFrame([(0.69195,), (0.691949,), (0.38,), (1.00005,)], "s double").select(context.four_digits(F.col("s"))).collect()
+    assert [r[0] for r in got] == [0.692, 0.6919, 0.38, 1.0001]

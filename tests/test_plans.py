@@ -37,7 +37,8 @@ def test_lookback_reaches_the_scan(tables):
     assert "PushedFilters: [IsNotNull(ts), GreaterThan(ts" in text
 
 
-def test_pairs_are_not_shuffled_when_terms_are_small(tables):
-    scores = lexical.bm25_scores(lexical.index_chunks(tables.chunks), tables.queries)
-    text = plan(scores)
-    assert "BroadcastHashJoin" in text and "hashpartitioning(query_id" not in text
+def test_bounds_are_met_without_reading_postings(tables):
+    index = lexical.index_chunks(tables.stored("chunks"))
+    wanted = lexical._asked(index, tables.queries, "text", None)
+    text = plan(lexical._visits(index, index.segments[0], wanted, False))
+    assert "ids:binary" not in text and "max_tf" in text

@@ -1,14 +1,13 @@
 """Exact and approximate vector search over unit vectors.
 
-The corpus is never shuffled or collected: questions are shipped to the tasks in blocks of bounded size, every task
-multiplies its Arrow batches with the block and keeps only its own best k per question, and a final ranking merges
-tasks × k rows per question. The number of passes grows with the number of questions, the size of a block does not.
+Questions and corpus are cut into blocks of bounded size that meet as a grid: every question block is dealt to every
+corpus piece, a cell multiplies its two matrices and keeps its own best k per question, and a final ranking merges
+pieces × k rows per question. No vector passes the driver; a cell's memory is bounded whatever the number of questions
+or chunks, and the whole search is one plan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,9 +15,10 @@ from pyspark.sql import functions as F
 
 from docskein.functions import fixed
 from docskein.functions.ranking import top_k
-from docskein.session import materialise, scratch_path
+from docskein.session import materialise, ship
 
-BLOCK_BYTES = 32 * 1024 * 1024  # upper bound of one shipped block of question vectors
+BLOCK_BYTES = 32 * 1024 * 1024  # of question vectors, and of corpus vectors, in one cell of the grid
+LEAST_PIECE = 1024  # chunks in a piece, below which more pieces do not pay
 
 
 def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, n_queries: int, k: int):
@@ -38,60 +38,68 @@ def _candidates(scores: np.ndarray, k: int) -> np.ndarray:
     return scores >= cut[:, None]
 
 
-def _block_search(ids: np.ndarray, mat: np.ndarray, k: int, exclude_self: bool, digits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(ids)
-        q, c, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            chunk = batch.column(0).to_numpy(zero_copy_only=False)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(chunk), -1)
-            for a in range(0, n, 1024):  # bounds the score matrix to 1024 questions at a time
-                scores = np.round(mat[a:a + 1024] @ x.T, digits)
-                if exclude_self:
-                    scores[ids[a:a + 1024][:, None] == chunk[None, :]] = -np.inf
-                qi, ci = np.nonzero(_candidates(scores, k))
-                sc = scores[qi, ci]
-                ok = np.isfinite(sc)
-                nq, nc, ns = _best(qi[ok], chunk[ci[ok]], sc[ok], min(1024, n - a), k)
-                q, c, s = np.concatenate([q, nq + a]), np.concatenate([c, nc]), np.concatenate([s, ns])
-            q, c, s = _best(q, c, s, n, k)
-        if len(q):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(c), pa.array(s)],
-                                             names=["query_id", "chunk_id", "cosine"])
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    held = vectors.combine_chunks()
+    return held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(held), -1)
+
+
+def _cell(k: int, exclude_self: bool, digits: int):
+    """Function of (questions, chunks) of one cell of the grid: the best k chunks of each question."""
+    schema = pa.schema([("query_id", pa.int64()), ("list", pa.string()), ("chunk_id", pa.int64()), ("cosine", pa.float64())])
+
+    def run(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        n = asked.num_rows
+        if n == 0 or held.num_rows == 0:
+            return schema.empty_table()
+        ids, chunk = (t.column(c).to_numpy() for t, c in ((asked, "query_id"), (held, "chunk_id")))
+        mat, x = _matrix(asked.column("embedding")), _matrix(held.column("embedding"))
+        rows = max(BLOCK_BYTES // (8 * len(chunk)), 1)  # bounds the score matrix as well
+        out = []
+        for a in range(0, n, rows):
+            scores = np.round(mat[a:a + rows] @ x.T, digits)
+            if exclude_self:
+                scores[ids[a:a + rows][:, None] == chunk[None, :]] = -np.inf
+            qi, ci = np.nonzero(_candidates(scores, k))
+            sc = scores[qi, ci]
+            ok = np.isfinite(sc)
+            q, c, v = _best(qi[ok], chunk[ci[ok]], sc[ok], min(rows, n - a), k)
+            out.append((ids[q + a], c, v))
+        q, c, v = (np.concatenate(p) for p in zip(*out, strict=True))
+        return pa.table([q, pa.array([key[2].as_py()] * len(q), pa.string()), c, v], schema=schema)
 
     return run
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, digits: int = 6) -> DataFrame:
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, digits: int = 6,
+               list_column: str | None = None, lists: list[str] | None = None) -> DataFrame:
     """Exact cosine top-k: (query_id, chunk_id, cosine, rank). Inputs: (query_id, embedding), (chunk_id, embedding).
 
     Filters that hold for all questions belong on ``corpus`` before the call. Scores are rounded before ranking, so
-    ties resolve by chunk id on every engine.
+    ties resolve by chunk id on every engine. ``list_column`` names a column of ``corpus``: each of ``lists``, some of its
+    values, is ranked for itself and named in the result.
     """
-    keyed = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
-    shape = keyed.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    if not shape["n"]:
-        return corpus.select(F.col("chunk_id").alias("query_id"), "chunk_id", F.lit(0.0).alias("cosine"),
-                             F.lit(0).alias("rank")).limit(0)
-    blocks = -(-shape["n"] * shape["d"] * 8 // BLOCK_BYTES)
-    schema = "query_id bigint, chunk_id bigint, cosine double"
-    source = corpus.select("chunk_id", "embedding").filter("embedding IS NOT NULL")
-    path = scratch_path(keyed.sparkSession, "dense")
-    for b in range(blocks):
-        part = keyed.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        block = part.toArrow()
-        ids = block.column("query_id").combine_chunks().to_numpy(zero_copy_only=False)
-        if len(ids) == 0:
-            continue
-        mat = block.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(
-            np.float64).reshape(len(ids), -1)
-        order = np.argsort(ids, kind="stable")
-        # written at once, so the driver holds one block and not the question table
-        source.mapInArrow(_block_search(ids[order], mat[order], k, exclude_self, digits), schema).write.mode("append").parquet(path)
-    found = keyed.sparkSession.read.schema(schema).parquet(path)
-    return top_k(found, ["query_id"], [F.desc("cosine"), F.asc("chunk_id")], k)
+    spark = corpus.sparkSession
+    ship(spark)
+    name = F.lit("") if list_column is None else F.col(list_column).cast("string")
+    lists = lists or [""]
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").filter("embedding IS NOT NULL")
+    held = corpus.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding", name.alias("list")).filter(
+        F.col("embedding").isNotNull() & F.col("list").isin(*lists))
+    n_asked = asked.agg(F.count("*")).first()[0]
+    size = held.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    per_block = max(BLOCK_BYTES // (8 * (size["d"] or 1)), 1)
+    blocks = max(-(-n_asked // per_block), 1)
+    pieces = max(-(-size["n"] // per_block), min(spark.sparkContext.defaultParallelism, -(-size["n"] // LEAST_PIECE)), 1)
+    # each question goes once to every piece of every list, each chunk once to every block of questions
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    left = asked.withColumn("list", F.explode(F.array(*[F.lit(x) for x in lists]))).select("query_id", "embedding", "list", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece"))
+    right = held.select("chunk_id", "embedding", "list", F.pmod(F.xxhash64("chunk_id"), F.lit(pieces)).cast("int").alias("piece"),
+                        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    keys = ["block", "piece", "list"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+        _cell(k, exclude_self, digits), "query_id bigint, list string, chunk_id bigint, cosine double")
+    ranked = top_k(found, ["query_id", "list"], [F.desc("cosine"), F.asc("chunk_id")], k)
+    return ranked.drop("list") if list_column is None else ranked.withColumnRenamed("list", list_column)
 
 
 def dense_ann(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 0.5, tables: int = 6,
@@ -153,10 +161,5 @@ def best_per_chunk(hits: DataFrame, k: int, score: str = "cosine") -> DataFrame:
 
 
 def multi_view_search(queries: DataFrame, vectors: DataFrame, views: list[str], k: int, exclude_self: bool = False) -> DataFrame:
-    """A ranked list per named vector of a long table (chunk_id, vector_name, embedding)."""
-    out = None
-    for name in views:
-        hits = dense_topk(queries, vectors.filter(F.col("vector_name") == name), k, exclude_self).withColumn(
-            "vector_name", F.lit(name))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    """A ranked list per named vector of a long table (chunk_id, vector_name, embedding), all in one pass."""
+    return dense_topk(queries, vectors, k, exclude_self, list_column="vector_name", lists=views)

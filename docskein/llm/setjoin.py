@@ -16,8 +16,8 @@ Equal sets are collapsed within a slice first, so a line that fills a third of t
 words too frequent for one group are dealt over pairs of parts.
 
 Defined cases: lines without a word stay, as do texts without lines to remove (null stays null). Words are compared as
-64-bit hashes. Rows without ``doc_id`` take no part. Rows that repeat an id hold the same lines at the same places, which
-do not remove each other.
+64-bit hashes. Rows without ``doc_id`` take no part. Rows that repeat an id and its text count as
+one document; rows that repeat an id with another text are documents of their own, in the order of a hash of the text.
 """
 
 from __future__ import annotations
@@ -26,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docskein.llm.base import batch
+from docskein.llm.ordinals import numbered
 from docskein.llm.words import Words, distinct, lines_in, mix, per_doc, slices, text_bytes, words_in
 from docskein.session import stored
 
@@ -386,11 +387,40 @@ def verified(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def repeated_lines(docs: DataFrame, kept: int = KEPT) -> DataFrame:
-    """(doc_id, line, first_doc, first_line): every line that matches an earlier one, with the earliest found."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    """(doc_id, line, first_doc, first_line, text_key): every line that matches an earlier one, with the earliest found.
+
+    Ids name the texts. Where an id has several texts, each of them gets a number in the order of id and hash instead, and
+    ``text_key`` tells which of them a row belongs to; it is null where the id says it.
+    """
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).filter(
+        "doc_id IS NOT NULL AND text IS NOT NULL")
+    size = texts.agg(F.sum(F.octet_length("text")).alias("volume"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    no_key = F.lit(None).cast("long").alias("text_key")
+    if size["n"] == size["ids"]:
+        return _repeated(texts, size["volume"] or 0, kept).select("*", no_key)
+    keyed = texts.withColumn("text_key", F.xxhash64("text"))
+    names = stored(keyed.select("doc_id", "text_key").distinct(), "text-keys")
+    if names.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _repeated(texts, size["volume"] or 0, kept).select("*", no_key)
+    named = stored(numbered(names, [F.col("doc_id"), F.col("text_key")], "place"), "text-numbers")
+    once = stored(keyed.join(named, ["doc_id", "text_key"]).select(F.col("place").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
+    found = _repeated(once, size["volume"] or 0, kept)
+    own = named.select(F.col("place").alias("_own"), F.col("doc_id").alias("_id"), "text_key")
+    first = named.select(F.col("place").alias("_first"), F.col("doc_id").alias("_first_id"))
+    return found.join(own, F.col("doc_id") == F.col("_own")).join(first, F.col("first_doc") == F.col("_first")).select(
+        F.col("_id").alias("doc_id"), "line", F.col("_first_id").alias("first_doc"), "first_line", "text_key")
+
+
+def _owned(docs: DataFrame, lines: DataFrame, names: tuple[str, str]) -> Column:
+    """Whether a row of ``docs`` is the text that a row of ``lines`` (id, key in ``names``) speaks of."""
+    key = lines[names[1]]
+    return (docs["doc_id"].cast("long") == lines[names[0]]) & (key.isNull() | (key == F.xxhash64(docs["text"].cast("string"))))
+
+
+def _repeated(texts: DataFrame, volume: int, kept: int) -> DataFrame:
+    """``repeated_lines`` of (doc_id, text) where rows of one id have one text."""
+    spark = texts.sparkSession
     counters = spark.sparkContext.broadcast(word_counters(texts))  # fixed size
-    volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(PARTS, -(-volume // BYTES_PER_PART))
     sent = texts.mapInArrow(_emit(counters, parts), SENT)
     found = stored(sent.groupBy("part").applyInArrow(_search(kept), FOUND), "found")
@@ -432,18 +462,20 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, removed, first_docs) of every row: numbers of the removed lines and the documents of their first
     matches."""
-    gone = repeated_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "first_doc"))).alias("g")).withColumnRenamed("doc_id", "_id")
-    lines = F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1))).otherwise(0)
-    base = docs.select(F.col("doc_id").cast("long"), lines.alias("n_lines"))
+    gone = repeated_lines(docs).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("line", "first_doc"))).alias("g")).withColumnsRenamed(
+        {"doc_id": "_id", "text_key": "_key"})
+    lines = F.when(docs["text"].isNotNull(), F.size(F.split(docs["text"], "\n", -1))).otherwise(0)
     none = F.array().cast("array<struct<line:int,first_doc:bigint>>")
-    return base.join(gone, F.col("doc_id") == F.col("_id"), "left").withColumn("g", F.coalesce("g", none)).select(
+    return docs.join(gone, _owned(docs, gone, ("_id", "_key")), "left").select(
+        docs["doc_id"].cast("long").alias("doc_id"), lines.alias("n_lines"), gone["g"]).withColumn("g", F.coalesce("g", none)).select(
         "doc_id", "n_lines", F.col("g.line").alias("removed"), F.array_distinct(F.col("g.first_doc")).alias("first_docs"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that match an earlier line; other columns are unchanged."""
-    gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left").select(*[docs[c] for c in docs.columns], gone["_gone"].alias("__gone"))
+    gone = repeated_lines(docs).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("_gone")).withColumnsRenamed(
+        {"doc_id": "_id", "text_key": "_key"})
+    joined = docs.join(gone, _owned(docs, gone, ("_id", "_key")), "left").select(*[docs[c] for c in docs.columns], gone["_gone"].alias("__gone"))
     names = docs.columns
     at, last = names.index("text"), len(names)
 

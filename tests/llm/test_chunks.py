@@ -48,7 +48,7 @@ def test_planted_passages(docs_of):
     found = chunks.repeated_runs(d).collect()
     later = {i for ids in planted.values() for i in ids[1:]}
     caught = {r.doc_id for r in found}
-    assert caught <= later and len(caught) >= 0.9 * len(later)
+    assert caught <= later and len(caught) >= 0.95 * len(later)
     assert all(r.first_doc_id < r.doc_id and r.n_words <= 60 for r in found)
     cut = {r.doc_id: r.text for r in chunks.without_repeats(d).collect()}
     by_id = dict(rows)
@@ -71,3 +71,72 @@ def test_defined_cases(docs_of, spark, inputs):
     from docskein.llm.queries import QUERIES
 
     assert QUERIES["op8_substring_dedup"](spark, inputs.sf_dir).count() > 0
+
+
+def plain_runs(rows):
+    """Spans by their definition: first occurrences, runs of later ones, diagonals to one document."""
+    cut, first = {}, {}
+    for i, text in sorted(rows):
+        w = words(pa.array([text]))
+        h = w.hashes()
+        a, b, _ = chunks.borders(h, w.first)
+        cut[i] = [(int(x), int(y), int(d)) for x, y, d in zip(a, b, chunks.digests(h, a, b).view(np.int64), strict=True)]
+        for x, _, d in cut[i]:
+            first.setdefault(d, (i, x))
+    out = set()
+    for i, own in cut.items():
+        runs, end = [], None
+        for x, y, d in own:
+            if first[d] != (i, x):
+                if end != x:
+                    runs.append([])
+                runs[-1].append((x, y, *first[d]))
+                end = y
+        spans = []
+        for run in runs:
+            for f, g in {(f, at - x) for x, _, f, at in run}:
+                on = [c for c in run if (c[2], c[3] - c[0]) == (f, g)]
+                lo, hi = on[0][0], on[-1][1]
+                if hi - lo >= 20 and 2 * sum(y - x for x, y, *_ in on) >= hi - lo:
+                    spans.append((lo, hi))
+        covered = sorted({p for lo, hi in spans for p in range(lo, hi)})
+        out |= {(i, p) for p in covered}
+    return out
+
+
+def test_equal_to_plain_runs(docs_of):
+    few = [prose(1) for _ in range(9)]
+    passages = [prose(45) for _ in range(6)]
+    rows = []
+    for i in range(150):
+        parts = [" ".join(rng.choice(few, 60))] + [passages[int(k)] for k in rng.integers(0, 6, int(rng.integers(0, 3)))]
+        rng.shuffle(parts)
+        rows.append((i, " ".join([*parts, prose(int(rng.integers(1, 40)))])))
+    got = {(r.doc_id, p) for r in chunks.repeated_runs(docs_of(rows)).collect() for p in range(r.start, r.start + r.n_words)}
+    assert got == plain_runs(rows) and got
+
+
+def test_chance_chunks_of_many_documents_stay(docs_of):
+    """A text put together from short pieces of different documents repeats no passage of any of them."""
+    sources = [prose(200) for _ in range(60)]
+    pieces = []
+    for text in sources:
+        w = words(pa.array([text]))
+        start, end, _ = chunks.borders(w.hashes(), w.first)
+        at = [k for k in range(1, len(start) - 1) if 4 <= end[k] - start[k] < 15]
+        pieces.append(" ".join(text.split()[start[at[0]]:end[at[0]]]))
+    rows = [(i, t) for i, t in enumerate(sources)] + [(1000, " ".join(pieces))]
+    assert chunks.repeated_runs(docs_of(rows)).count() == 0
+
+
+def test_ids_that_repeat_with_other_texts(docs_of):
+    p = prose(120)
+    rows = [(3, prose(30) + " " + p), (3, "short row"), (5, prose(40) + " " + p)]
+    out = sorted((r.doc_id, r.text) for r in chunks.without_repeats(docs_of(rows)).collect())
+    assert (3, "short row") in out and (3, rows[0][1]) in out
+    cut = next(t for i, t in out if i == 5)
+    assert cut.split()[:30] == rows[2][1].split()[:30] and len(cut.split()) < 80
+    # the same two texts under one id: the later one by hash loses the passage, no text grows
+    both = docs_of([(3, rows[0][1]), (3, rows[2][1])])
+    texts = [r.text for r in chunks.without_repeats(both).collect()]
+    assert sorted(len(t.split()) < 100 for t in texts) == [False, True]

@@ -83,3 +83,20 @@ def test_query_equals_brute_force(spark, inputs):
         want.setdefault(i, set()).add(k)
     got = {r.doc_id: set(r.removed) for r in QUERIES["op7_line_dedup"](spark, inputs.sf_dir).collect()}
     assert {i: s for i, s in got.items() if s} == want and len(got) == inputs.documents.count()
+
+
+def test_ids_that_repeat_with_other_texts(docs_of):
+    """Rows of one id and unequal texts are documents of their own, in whatever order they come."""
+    line = lambda k, n=24: " ".join(f"w{k}x{j}" for j in range(n))
+    six = "\n".join(line(k) for k in range(6))
+    near = "\n".join(line(k) + f" other{k}" for k in range(6))
+    rows = [(1, six), (3, near), (3, line(99))]
+    for order in (rows, rows[::-1]):
+        got = {(r.doc_id, r.n_lines): (r.removed, r.first_docs) for r in setjoin.line_report(docs_of(order)).collect()}
+        assert got == {(1, 6): ([], []), (3, 6): ([0, 1, 2, 3, 4, 5], [1]), (3, 1): ([], [])}
+        texts = sorted(r.text for r in setjoin.without_repeated_lines(docs_of(order)).collect())
+        assert texts == sorted(["", line(99), six])
+    # equal rows of an id stay one document beside another text of it
+    again = [(1, six), (1, six), (1, "else"), (2, "else")]
+    got = sorted((r.doc_id, r.n_lines, r.removed) for r in setjoin.line_report(docs_of(again)).collect())
+    assert [g[:2] for g in got] == [(1, 1), (1, 6), (1, 6), (2, 1)] and all(g[2] == [] for g in got[1:3])

@@ -5,17 +5,19 @@ from the most significant one down, in contexts of one to four bytes of the word
 and of an outer context: the group of the last guide word before it. Guide words are the most frequent words of the
 training documents, grouped by which follow which, so a group stands for a language or a register. A context is hashed with the bits already seen into
 tables of fixed size that hold counts of zeros and ones, so the tables of all training documents are sums and are
-gathered by one aggregation over the training words. A predictor gives stretch(p) and a confidence that grows with its
+gathered by one aggregation over the training words. A word of over ``SEGMENT`` bytes is a run of segments, each of which
+goes on in the last bytes of the one before it; all of it is learned and scored. A predictor gives stretch(p) and a confidence that grows with its
 counts; the mixer combines them with a set of weights that a gate (how often the prefix was seen, and bit position)
 selects; a second stage refines the mixed probability by an adaptive map per gate. Weights and map are learned online,
 in mini-batches over the training words, in every task on its own share, and averaged by the number of bits behind them.
 Learning predicts each occurrence as if it were not among the counts (counts less its own).
 
-No other context reaches beyond a word, so a word after a group has one probability, and texts are scored by looking words
-up. The most frequent ones, a bounded table, carry their count and score to all tasks; counts of rarer words meet their
+No other context of the letters reaches beyond a word, so a word after a group has one probability, and words are looked
+up. What grows with the corpus is the table of phrases and their contexts of two words (``phrases.py``): where a text goes on
+as it did before, the whole phrase is priced by its context instead of word by word. The most frequent ones, a bounded table, carry their count and score to all tasks; counts of rarer words meet their
 documents in a join on the 64-bit word hash, and rarer words are scored where they stand.
 
-``score`` is log10 P(text) of this model, ``base_score`` that of the add-one unigram model of the training words.
+``score`` is log10 P(text) of this model, for a training document with each phrase's own occurrence left out; ``base_score`` that of the add-one unigram model of the training words.
 
 Defined cases: null and empty texts are the end byte alone. Rows without ``doc_id`` are scored as held out or not by the
 CRC of an empty id. Without training documents all counts are 0: the base gives every token 1/1, and the model
@@ -32,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docskein.llm import phrases
 from docskein.llm.base import batch
 from docskein.llm.words import distinct as numbered
 from docskein.llm.words import mix, per_doc, slices, words
@@ -40,7 +43,8 @@ from docskein.session import stored
 SLOTS = 20  # log2 of the counters of one predictor
 PREDICTORS = 7
 FREQUENT = 1 << 20  # words whose counts and scores travel to all tasks
-LONGEST = 48  # bytes of a word that learning looks at; scoring uses all
+SEGMENT = 256  # bytes of a word, its closing space included, that are looked at together
+PIECES = 1 << 16  # bytes of segments in memory at once
 DEPTHS = np.array([0, 1, 2, 4, 8, 32, 256, 4096])  # counts of a prefix that select the weights
 GATES = 8 * len(DEPTHS)
 MAP = 49  # points of the refining map
@@ -57,26 +61,54 @@ def _squash(z):
     return 1 / (1 + np.exp(-np.clip(z, -LIMIT, LIMIT)))
 
 
+class Pieces:
+    """Segments of tokens: their bytes, the four bytes before each, the token, and whether it goes on a word."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.data: list[bytes] = []
+        self.lead: list[bytes] = []
+        self.token: list[int] = []
+        for i, t in enumerate(tokens):
+            whole = t + b" " if t else b"\x00"  # the end token is a zero byte where a word would begin
+            for at in range(0, len(whole), SEGMENT):
+                self.data.append(whole[at:at + SEGMENT])
+                self.lead.append(whole[at - 4:at] if at else b"    ")
+                self.token.append(i)
+
+    def runs(self, limit: int = PIECES) -> Iterator[tuple[list[bytes], list[bytes], np.ndarray]]:
+        """(bytes, leads, tokens) of at most ``limit`` bytes."""
+        token = np.array(self.token, dtype=np.int64)
+        ends = np.cumsum(np.fromiter(map(len, self.data), dtype=np.int64, count=len(self.data)))
+        at = 0
+        while at < len(self.data):
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right"))
+            yield self.data[at:to], self.lead[at:to], token[at:to]
+            at = to
+
+
 class BitStream:
-    """Bits and table slots of a batch of words, laid out byte by byte."""
+    """Bits and table slots of a batch of segments, laid out byte by byte."""
 
-    def __init__(self, tokens: list[bytes], groups: np.ndarray):
-        # the end token is a zero byte where a word would begin
-        data = [t + b" " if t else b"\x00" for t in tokens]
+    def __init__(self, data: list[bytes], lead: list[bytes], groups: np.ndarray):
         self.size = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
         buf = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.uint64)
         first = np.cumsum(self.size) - self.size
         place = np.arange(len(buf)) - np.repeat(first, self.size)
+        before = np.frombuffer(b"".join(lead), dtype=np.uint8).reshape(-1, 4).astype(np.uint64)
+        word = before @ np.array([1 << 24, 1 << 16, 1 << 8, 1], dtype=np.uint64) - _U(0x20202020)
+        inside = word > 0  # segments that go on a word
         back = []
         for k in range(1, 5):  # k bytes back, 0x20 before the word
             b = np.full(len(buf), 32, dtype=np.uint64)
             b[k:] = buf[:-k]
-            b[place < k] = 32
+            for p in range(k):
+                at = np.flatnonzero(self.size > p)
+                b[first[at] + p] = before[at, 4 - k + p]
             back.append(b)
         sums = np.zeros(len(buf) + 1, dtype=np.uint64)
         np.cumsum((buf + _U(1)) * _BYTE * prefix_powers(int(self.size.max(initial=1)))[place], out=sums[1:])
-        prefix = sums[:-1] - np.repeat(sums[first], self.size)
-        length = np.minimum(place, 15).astype(np.uint64)
+        prefix = sums[:-1] - np.repeat(sums[first], self.size) + np.repeat(np.where(inside, mix(word), _U(0)), self.size)
+        length = np.where(np.repeat(inside, self.size), 15, np.minimum(place, 15)).astype(np.uint64)
         two = back[0] << _U(8) | back[1]
         group = np.repeat(groups.astype(np.uint64), self.size) + _U(1)
         contexts = [back[0] << _U(8) | group, two, two << _U(8) | back[2], two << _U(16) | back[2] << _U(8) | back[3],
@@ -94,7 +126,7 @@ class BitStream:
             seen = seen << _U(1) | self.bits[bit].astype(np.uint64)
 
     def repeat(self, values: np.ndarray) -> np.ndarray:
-        """A value of each word at each of its bytes."""
+        """A value of each segment at each of its bytes."""
         return np.repeat(values, self.size)
 
 
@@ -115,17 +147,18 @@ def count_bits(tokens: list[bytes], groups: np.ndarray, times: np.ndarray, into:
 
     A word seen once teaches its letters, not itself: it does not enter the prefix tables.
     """
-    stream = BitStream(tokens, groups)
-    weight = stream.repeat(times.astype(np.float32))
-    again = np.flatnonzero(weight > 1)
     flat = into.reshape(PREDICTORS, -1)
-    for bit in range(8):
-        for k in range(PREDICTORS):
-            at = stream.slots[bit, k] * 2 + stream.bits[bit]
-            if k < PREDICTORS - 2:
-                np.add.at(flat[k], at, weight)
-            else:
-                np.add.at(flat[k], at[again], weight[again])
+    for data, lead, token in Pieces(tokens).runs():
+        stream = BitStream(data, lead, groups[token])
+        weight = stream.repeat(times[token].astype(np.float64))
+        again = np.flatnonzero(weight > 1)
+        for bit in range(8):
+            for k in range(PREDICTORS):
+                at = stream.slots[bit, k] * 2 + stream.bits[bit]
+                if k < PREDICTORS - 2:
+                    np.add.at(flat[k], at, weight)
+                else:
+                    np.add.at(flat[k], at[again], weight[again])
 
 
 def _log_odds(n0, n1):
@@ -187,22 +220,26 @@ class Model:
 
     def log10(self, tokens: list[bytes], groups: np.ndarray) -> np.ndarray:
         """log10 probability of each token after a word of its group, its closing space included."""
-        if not tokens:
-            return np.zeros(0)
-        stream = BitStream(tokens, groups)
-        product = np.zeros(stream.bits.shape[1])
-        for bit in range(8):
-            _, gate, z = self._predict(stream, bit)
-            p, _, _ = self._refined(gate, z)
-            product += np.log10(np.where(stream.bits[bit] == 1, p, 1 - p))
-        sums = np.concatenate([[0], np.cumsum(product)])
-        ends = np.cumsum(stream.size)
-        return sums[ends] - sums[ends - stream.size]
+        out = np.zeros(len(tokens))
+        for data, lead, token in Pieces(tokens).runs():
+            stream = BitStream(data, lead, groups[token])
+            product = np.zeros(stream.bits.shape[1])
+            for bit in range(8):
+                _, gate, z = self._predict(stream, bit)
+                p, _, _ = self._refined(gate, z)
+                product += np.log10(np.where(stream.bits[bit] == 1, p, 1 - p))
+            out += np.bincount(token, np.add.reduceat(product, np.cumsum(stream.size) - stream.size), len(tokens))
+        return out
 
     def learn(self, tokens: list[bytes], groups: np.ndarray, times: np.ndarray, rate: float) -> float:
-        """One online step over a mini-batch of words, weighted by ``times``; returns the bits behind it."""
-        stream = BitStream(tokens, groups)
-        weight = stream.repeat(times.astype(np.float64))
+        """An online step for each run of a mini-batch of words, weighted by ``times``; returns the bits behind it."""
+        total = 0.0
+        for data, lead, token in Pieces(tokens).runs():
+            total += self._step(BitStream(data, lead, groups[token]), times[token].astype(np.float64), rate)
+        return total
+
+    def _step(self, stream: BitStream, times: np.ndarray, rate: float) -> float:
+        weight = stream.repeat(times)
         for bit in range(8):
             x, gate, z = self._predict(stream, bit, True)
             own = stream.bits[bit]
@@ -329,26 +366,31 @@ def _vocabulary(guides: Guides):
     return run
 
 
+def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Phrases of the training documents of each slice with their counts."""
+    schema = pa.schema([("ctx", pa.int64()), ("key", pa.int64()), ("c", pa.int64())])
+    for rows in slices(batches, limit=8 << 20):
+        w = words(rows.column(1), lower=True)
+        context, key, count = phrases.count(w, w.hashes(), in_training(rows.column(0)))
+        yield batch(schema, context.view(np.int64), key.view(np.int64), count)
+
+
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task, in blocks of slots, so that blocks are summed in parallel."""
+    """Counts of a task, in blocks of slots, so that blocks are summed in parallel: width of a count, places and counts."""
     schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
     into = None
     for rows in batches:
         for at in range(0, rows.num_rows, 8192):
             part = rows.slice(at, 8192)
-            into = np.zeros((PREDICTORS, 1 << SLOTS, 2), dtype=np.float32) if into is None else into
-            count_bits(_clip(part.column(0).to_pylist()), part.column(1).to_numpy(), part.column(2).to_numpy(), into)
+            into = np.zeros((PREDICTORS, 1 << SLOTS, 2)) if into is None else into
+            count_bits(part.column(0).to_pylist(), part.column(1).to_numpy(), part.column(2).to_numpy(), into)
     if into is not None:
         for block, counts in enumerate(into.reshape(PREDICTORS * BLOCKS, -1)):
             at = np.flatnonzero(counts)
             if len(at):  # places and counts of what is there, or all counts where that is shorter
-                sparse = at.astype(np.int32).tobytes() + counts[at].tobytes()
-                yield batch(schema, [block], [sparse if len(sparse) < counts.nbytes else counts.tobytes()])
-
-
-def _clip(tokens: list[bytes]) -> list[bytes]:
-    """Learning looks at the begin of very long words, so that no single one outweighs the rest."""
-    return [t if len(t) <= LONGEST else t[:LONGEST] for t in tokens]
+                exact = counts.astype(np.float64) if counts.max() >= 1 << 24 else counts.astype(np.float32)
+                sparse = np.int32(exact.itemsize).tobytes() + at.astype(np.int32).tobytes() + exact[at].tobytes()
+                yield batch(schema, [block], [sparse])
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,16 +399,15 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = rows.column(0).slice(0, 1)
         for blob in rows.column(1):
             data = blob.as_buffer()
-            if len(data) == 4 * len(total):
-                total += np.frombuffer(data, dtype=np.float32)
-            else:
-                n = len(data) // 8
-                total[np.frombuffer(data, dtype=np.int32, count=n)] += np.frombuffer(data, dtype=np.float32, offset=4 * n)
+            wide = int(np.frombuffer(data, dtype=np.int32, count=1)[0])
+            n = (len(data) - 4) // (4 + wide)
+            places = np.frombuffer(data, dtype=np.int32, count=n, offset=4)
+            total[places] += np.frombuffer(data, dtype=f"f{wide}", offset=4 + 4 * n)
     yield pa.RecordBatch.from_arrays([block, pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["block", "counts"])
 
 
 def _learn(shared, rate: float):
-    schema = pa.schema([("bits", pa.float64()), ("weights", pa.binary()), ("refine", pa.binary())])
+    schema = pa.schema([("at", pa.int32()), ("value", pa.float64()), ("bits", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total, step = None, 0.0, 0
@@ -375,11 +416,12 @@ def _learn(shared, rate: float):
                 part = rows.slice(at, 1024)
                 if model is None:
                     model = Model(**Model.arrays(shared.value)).leave_out(shared.value)
-                total += model.learn(_clip(part.column(0).to_pylist()), part.column(1).to_numpy(), part.column(2).to_numpy(),
+                total += model.learn(part.column(0).to_pylist(), part.column(1).to_numpy(), part.column(2).to_numpy(),
                                      rate / (1 + step / 100) ** 0.5)
                 step += 1
         if total:
-            yield batch(schema, [total], [model.weights.tobytes()], [model.refine.tobytes()])
+            flat = np.concatenate([model.weights.ravel(), model.refine.ravel()])
+            yield batch(schema, np.arange(len(flat)), flat * total, np.full(len(flat), total))
 
     return run
 
@@ -399,10 +441,11 @@ def _score_words(shared):
 
 
 class Fitted:
-    """What scoring needs: totals, guides, arrays of the model, frequent words, and the table of all counts."""
+    """What scoring needs: totals, guides, arrays of the model, phrases, frequent words, and the table of all counts."""
 
-    def __init__(self, total: int, distinct: int, guides: Guides, shared: dict, known: tuple, scored: tuple, counts: DataFrame):
-        self.total, self.distinct, self.guides, self.shared = total, distinct, guides, shared
+    def __init__(self, total: int, distinct: int, guides: Guides, shared: dict, spoken: phrases.Phrases, known: tuple, scored: tuple,
+                 counts: DataFrame):
+        self.total, self.distinct, self.guides, self.shared, self.spoken = total, distinct, guides, shared, spoken
         self.known, self.scored, self.counts = known, scored, counts
 
 
@@ -454,11 +497,13 @@ def fit(docs: DataFrame, rate: float = 0.3, frequent: int = FREQUENT) -> Fitted:
     tables = tables.reshape(PREDICTORS, 1 << SLOTS, 2)
     state: dict = Model.arrays(tables)
     sent = sc.broadcast(tables)
-    bits = rows.mapInArrow(_learn(sent, rate), "bits double, weights binary, refine binary").collect()  # two small arrays a task
-    if bits:
-        share = np.array([r["bits"] for r in bits]) / sum(r["bits"] for r in bits)
-        state["weights"] = sum(s * np.frombuffer(r["weights"]).reshape(GATES, -1) for s, r in zip(share, bits, strict=True))
-        state["refine"] = sum(s * np.frombuffer(r["refine"]).reshape(GATES, -1) for s, r in zip(share, bits, strict=True))
+    learned = rows.mapInArrow(_learn(sent, rate), "at int, value double, bits double").groupBy("at").agg(
+        (F.sum("value") / F.sum("bits")).alias("mean")).collect()  # one number a weight
+    if learned:
+        flat = np.zeros(GATES * (PREDICTORS + 1 + MAP))
+        flat[[r["at"] for r in learned]] = [r["mean"] for r in learned]
+        state["weights"] = flat[:GATES * (PREDICTORS + 1)].reshape(GATES, -1)
+        state["refine"] = flat[GATES * (PREDICTORS + 1):].reshape(GATES, -1)
     shared = sc.broadcast(state)
     known = most_frequent(counts, frequent).toArrow()  # at most ``frequent`` rows of 16 bytes
     scored = most_frequent(vocabulary, frequent).select("h", "g", "word").mapInArrow(
@@ -467,7 +512,8 @@ def fit(docs: DataFrame, rate: float = 0.3, frequent: int = FREQUENT) -> Fitted:
     order = np.argsort(h)
     key = mix(scored["h"].to_numpy().view(np.uint64)) + scored["g"].to_numpy().astype(np.uint64)
     by_key = np.argsort(key)
-    return Fitted(int(total[0]), int(total[1]), guides, shared, (h[order], known["c"].to_numpy()[order]),
+    spoken = phrases.fit(texts.mapInArrow(_phrases, "ctx long, key long, c long"), most_frequent, frequent=min(frequent, phrases.FREQUENT))
+    return Fitted(int(total[0]), int(total[1]), guides, shared, spoken, (h[order], known["c"].to_numpy()[order]),
                   (key[by_key], scored["lp"].to_numpy()[by_key]), counts)
 
 
@@ -481,19 +527,20 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _read(shared, frequent, guides: Guides, total: int, distinct: int):
     item = pa.struct([("h", pa.int64()), ("n", pa.int64())])
+    phrase = pa.struct([("ctx", pa.int64()), ("key", pa.int64()), ("words", pa.float64()), ("miss", pa.float64())])
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                        ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(item))])
+                        ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(item)), ("open", pa.list_(phrase))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, remembered = Model(**shared.value), {}
-        (keys, count), (pairs, lp) = frequent.value
+        (keys, count), (pairs, lp), (phrase_keys, phrase_lp, phrase_own, once), (contexts, miss) = frequent.value
         base = np.log10((count + 1.0) / (total + distinct + 1.0))
         end_at, has_end = _find(keys, np.zeros(1, dtype=np.uint64))
         end_base = float(base[end_at[0]]) if has_end[0] else -np.log10(total + distinct + 1.0)
         end_lp = model.log10([END_WORD] * (GROUPS + 1), np.arange(GROUPS + 1))
         for rows in slices(batches):
             w = words(rows.column(1), lower=True)
-            n = len(w.first) - 1
+            n, train = len(w.first) - 1, in_training(rows.column(0))
             hashes = w.hashes()
             prior, prior_end = guides.before(w, hashes)
             uniq, _, where = numbered(hashes)
@@ -516,7 +563,24 @@ def _read(shared, frequent, guides: Guides, total: int, distinct: int):
                 got = model.log10([data[w.start[first[i]]:w.end[first[i]]] for i in part], group[first[part]])
                 remembered.update(zip(both[part].tolist(), got.tolist(), strict=True))
             own_lp[rare] = [remembered[k] for k in both[rare].tolist()]
-            score = per_doc(own_lp[place], w.first) + end_lp[guides.of(prior_end)]
+            each, closing = own_lp[place], end_lp[guides.of(prior_end)]
+            score = per_doc(each, w.first) + closing
+            # phrases take the place of their words' prices: frequent ones here, the others by a join
+            cut = phrases.Cut(w, hashes)
+            sums = np.concatenate([[0.0], np.cumsum(each)])
+            spelled = sums[cut.end] - sums[cut.begin] + np.where(cut.closes, closing[cut.doc], 0.0)
+            score -= np.bincount(cut.doc, spelled, n)
+            at, common_phrase = _find(phrase_keys, cut.key)
+            if len(phrase_keys):
+                price = np.where(train[cut.doc], phrase_own[at] + np.where(once[at], spelled, 0.0), phrase_lp[at])
+                score += np.bincount(cut.doc, np.where(common_phrase, price, 0.0), n)
+            todo = np.flatnonzero(~common_phrase)
+            at, left = _find(contexts, cut.context[todo])
+            leaving = pa.array(miss[at] if len(contexts) else np.zeros(len(todo)), mask=~left)
+            opened = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(cut.doc[todo], np.arange(n + 1)).astype(np.int32)),
+                pa.StructArray.from_arrays([pa.array(cut.context[todo].view(np.int64)), pa.array(cut.key[todo].view(np.int64)),
+                                            pa.array(spelled[todo]), leaving], fields=list(phrase)))
             # occurrences of rarer words, counted per document; their counts come by a join
             odd = ~common[where]
             key = w.doc[odd] * len(uniq) + where[odd]
@@ -527,25 +591,28 @@ def _read(shared, frequent, guides: Guides, total: int, distinct: int):
                 pa.StructArray.from_arrays([pa.array(uniq[pair % max(1, len(uniq))].view(np.int64)), pa.array(times.astype(np.int64))],
                                            fields=list(item)))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(~in_training(rows.column(0))), pa.array(w.counts + 1), pa.array(n_known),
-                 pa.array(base_score), pa.array(score), lists.cast(schema.field("rare").type)], schema=schema)
+                [rows.column(0), pa.array(~train), pa.array(w.counts + 1), pa.array(n_known),
+                 pa.array(base_score), pa.array(score), lists.cast(schema.field("rare").type), opened.cast(schema.field("open").type)], schema=schema)
 
     return run
 
 
 def score(docs: DataFrame, model: Fitted) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs(doc_id, text)``."""
-    frequent = docs.sparkSession.sparkContext.broadcast((model.known, model.scored))  # at most FREQUENT rows each
+    frequent = docs.sparkSession.sparkContext.broadcast(
+        (model.known, model.scored, model.spoken.frequent, model.spoken.leaving))  # at most FREQUENT rows each
     read = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _read(model.shared, frequent, model.guides, model.total, model.distinct),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-        "rare array<struct<h:bigint,n:bigint>>").withColumn("row", F.monotonically_increasing_id()), "scored")
+        "rare array<struct<h:bigint,n:bigint>>, open array<struct<ctx:bigint,key:bigint,words:double,miss:double>>").withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = read.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.n")
     c = F.coalesce("c", F.lit(0))
     added = rare.join(model.counts, "h", "left").groupBy("row").agg(
         F.sum(F.col("n") * (F.log10(c + 1.0) - F.log10(F.lit(model.total + model.distinct + 1.0)))).alias("more"),
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"))
-    return read.drop("rare").join(added, "row", "left").select(
+    said = phrases.settled(read.select("row", "held_out", F.explode("open").alias("o")).select("row", "held_out", "o.*"), model.spoken)
+    return read.drop("rare", "open").join(added, "row", "left").join(said, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("price", F.lit(0.0))).alias("score"))

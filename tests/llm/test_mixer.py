@@ -6,9 +6,10 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from docskein.llm import mixer
+from docskein.llm import mixer, phrases, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -43,7 +44,7 @@ def test_base_scores(inputs, frequent):
 
 
 def test_is_a_distribution():
-    tables = np.zeros((mixer.PREDICTORS, 1 << mixer.SLOTS, 2), np.float32)
+    tables = np.zeros((mixer.PREDICTORS, 1 << mixer.SLOTS, 2))
     words = [b"abc", b"abd", b"b", b""]
     mixer.count_bits(words, np.array([0, 1, 0, 0]), np.array([5, 3, 9, 2]), tables)
     model = mixer.Model(**mixer.Model.arrays(tables)).leave_out(tables)
@@ -55,6 +56,106 @@ def test_is_a_distribution():
     assert model.log10([b"x" * 30_000], np.zeros(1, np.int64))[0] < 0
 
 
+def test_whole_long_words_are_learned():
+    rng = np.random.default_rng(3)
+    long, other = (bytes(rng.integers(97, 123, 3000, dtype=np.uint8)) for _ in range(2))
+    groups = np.zeros(1, np.int64)
+    tables = np.zeros((mixer.PREDICTORS, 1 << mixer.SLOTS, 2))
+    mixer.count_bits([long], groups, np.array([4]), tables)
+    assert tables[:, :, :].sum() == mixer.PREDICTORS * 8 * 3001 * 4
+    model = mixer.Model(**mixer.Model.arrays(tables))
+    assert model.log10([long[-1000:]], groups)[0] > 0.5 * model.log10([other[-1000:]], groups)[0]
+    # segments of a word in one run and in many give the same
+    pieces = mixer.Pieces([long, b"ab", b""])
+    one, many = list(pieces.runs()), list(pieces.runs(300))
+    assert len(one) == 1 and len(many) > 5 and b"".join(b"".join(d) for d, _, _ in many) == long + b" ab \x00"
+    table = np.zeros_like(tables)
+    for data, lead, token in many:
+        stream = mixer.BitStream(data, lead, groups[token * 0])
+        for bit in range(8):
+            for k in range(mixer.PREDICTORS):
+                np.add.at(table[k].reshape(-1), stream.slots[bit, k] * 2 + stream.bits[bit], stream.repeat(np.full(len(data), 4.0)))
+    assert (table[:, :, :].sum(axis=(1, 2)) >= tables.sum(axis=(1, 2))).all()
+
+
+def plain_phrases(docs, letters):
+    """Contexts, phrases and the price of every text by dictionaries, given the letter model's price of a word."""
+    def cut(t):
+        w = tokens(t)[:-1]
+        h = np.array([int(words.words(pa.array([x])).hashes()[0]) for x in w], dtype=np.uint64)
+        prior = np.concatenate([[phrases._START], h[:-1]]) if len(h) else h
+        two = words.chain(prior, h) if len(h) else h
+        at = [i for i in range(len(w)) if i == 0 or int(two[i]) % phrases.RATE == 0]
+        for i, j in zip(at, at[1:] + [None], strict=True):
+            yield (w[i - 1] if i else None, w[i]), tuple(w[i + 1:] + [""] if j is None else w[i + 1:j + 1])
+
+    seen = {}
+    for i, t in docs:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for ctx, phrase in cut(t):
+                seen.setdefault(ctx, Counter())[phrase] += 1
+    return cut, seen
+
+
+@pytest.mark.parametrize("frequent", [1000, 3])
+def test_phrases_equal_a_plain_version(docs_of, frequent):
+    rng = np.random.default_rng(5)
+    shared = " ".join(f"w{x}" for x in rng.integers(0, 60, 200))
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 25, 120)) + (" " + shared if i % 3 else "")) for i in range(60)]
+    cut, seen = plain_phrases(docs, None)
+    d = docs_of(docs)
+    spoken = phrases.fit(d.select("doc_id", "text").mapInArrow(mixer._phrases, "ctx long, key long, c long"),
+                         mixer.most_frequent, frequent=frequent)
+    leave = {r.ctx: r.miss for r in spoken.contexts.collect()}
+    priced = {r.key: r for r in spoken.phrases.collect()}
+    price = {k: r.lp for k, r in priced.items()}
+    assert len(leave) == len(seen) and len(price) == sum(map(len, seen.values()))
+    # hit and shares of a context sum to what is left of leaving it
+    total = sum(10 ** v for v in price.values())
+    assert total == pytest.approx(sum(1 - 10 ** v for v in leave.values()), rel=1e-6)
+    # the rows of a join and the frequent arrays price a text alike: 1.0 a phrase by the letters
+    text = pa.array([t for _, t in docs])
+    w = words.words(text, lower=True)
+    c = phrases.Cut(w, w.hashes())
+    spark = d.sparkSession
+    got = dict(phrases.settled(spark.createDataFrame(
+        [(int(r), zlib.crc32(str(r).encode()) % 7 == 2, int(x), int(k), -1.0, None) for r, x, k in zip(c.doc, c.context.view(np.int64), c.key.view(np.int64), strict=True)],
+        "row long, held_out boolean, ctx long, key long, words double, miss double"), spoken).collect())
+    for row, (_, t) in enumerate(docs):
+        want = 0.0
+        own = c.doc == row
+        keys, contexts = c.key[own].view(np.int64), c.context[own].view(np.int64)
+        parts = list(cut(t))
+        assert len(parts) == len(keys)
+        for (ctx, phrase), key, context in zip(parts, keys.tolist(), contexts.tolist(), strict=True):
+            assert (phrase in seen.get(ctx, {})) == (key in price)
+            times = seen.get(ctx, {}).get(phrase, 0)
+            if zlib.crc32(str(row).encode()) % 7 == 2:
+                want += price[key] if times else -1.0 + leave.get(context, 0.0)
+            else:  # its own occurrence is left out
+                n = sum(seen[ctx].values())
+                want += priced[key].own - (times == 1)
+                assert priced[key].once == (times == 1) and (n > 1 or priced[key].own == 0)
+                assert times < 2 or priced[key].own < log10((times - 1) / (n - 1)) + 1e-12
+        assert got.get(row, 0.0) == pytest.approx(want, rel=1e-9)
+
+
+def test_repeated_documents_are_told_apart_and_tables_grow(docs_of):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"v{x}" for x in rng.zipf(1.3, 300) % 3000) for _ in range(80)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts[:20])]
+    rows = mixer.score(docs_of(docs), mixer.fit(docs_of(docs))).collect()
+    trained = {r.doc_id: r.score / r.n_tokens for r in rows if not r.held_out}
+    twice = [v for k, v in trained.items() if k >= 1000 and k - 1000 in trained]
+    once = [v for k, v in trained.items() if 20 <= k < 1000]
+    held = [r.score / r.n_tokens for r in rows if r.held_out and 20 <= r.doc_id < 1000]
+    better = np.mean([a > b for a in twice for b in once])
+    assert better == 1 and np.mean(once) < 1.5 * np.mean(twice)
+    assert abs(np.mean(once) - np.mean(held)) < 0.3 * abs(np.mean(held))  # not known by heart
+    small = mixer.fit(docs_of(docs[:20])).spoken.phrases.count()
+    assert small < 0.4 * mixer.fit(docs_of(docs)).spoken.phrases.count()
+
+
 def test_defined_cases(docs_of):
     d = docs_of([(1, None), (2, ""), (3, "Ab ab AB cd"), (3, "ab"), (None, "ab"), (4, "w" * 20_000), (5, "ab " * 30_000)])
     rows = mixer.score(d, mixer.fit(d)).collect()

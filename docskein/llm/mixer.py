@@ -44,7 +44,7 @@ SLOTS = 20  # log2 of the counters of one predictor
 PREDICTORS = 7
 FREQUENT = 1 << 20  # words whose counts and scores travel to all tasks
 SEGMENT = 256  # bytes of a word, its closing space included, that are looked at together
-PIECES = 1 << 16  # bytes of segments in memory at once
+PIECES = 1 << 17  # bytes of segments in memory at once
 DEPTHS = np.array([0, 1, 2, 4, 8, 32, 256, 4096])  # counts of a prefix that select the weights
 GATES = 8 * len(DEPTHS)
 MAP = 49  # points of the refining map
@@ -68,6 +68,10 @@ class Pieces:
         self.data: list[bytes] = []
         self.lead: list[bytes] = []
         self.token: list[int] = []
+        if max(map(len, tokens), default=0) < SEGMENT:
+            self.data = [t + b" " if t else b"\x00" for t in tokens]
+            self.lead, self.token = [b"    "] * len(tokens), range(len(tokens))
+            return
         for i, t in enumerate(tokens):
             whole = t + b" " if t else b"\x00"  # the end token is a zero byte where a word would begin
             for at in range(0, len(whole), SEGMENT):
@@ -295,15 +299,19 @@ class Guides:
         return np.where(number >= 0, self.groups[number], 0) if len(self.groups) else np.zeros(len(number), dtype=np.int64)
 
 
-def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words that make up a thousandth of a slice of training documents: at most a thousand a slice."""
-    schema = pa.schema([("h", pa.int64()), ("c", pa.int64())])
+def _first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the training documents of each slice: words that make up a thousandth of it, at most a thousand a slice, with no
+    context, and phrases with theirs."""
+    schema = pa.schema([("ctx", pa.int64()), ("h", pa.int64()), ("c", pa.int64())])
     for rows in slices(batches, limit=8 << 20):
         w = words(rows.column(1), lower=True)
-        used = np.repeat(in_training(rows.column(0)), w.counts)
-        hashes, count = np.unique(w.hashes()[used], return_counts=True)
-        top = count * 1000 >= max(1, count.sum())
-        yield batch(schema, hashes[top].view(np.int64), count[top])
+        hashes, train = w.hashes(), in_training(rows.column(0))
+        seen, _, place = numbered(hashes[np.repeat(train, w.counts)])
+        times = np.bincount(place, minlength=len(seen))
+        top = times * 1000 >= max(1, times.sum())
+        yield batch(schema, pa.nulls(int(top.sum()), pa.int64()), seen[top].view(np.int64), times[top])
+        context, key, count = phrases.count(w, hashes, train)
+        yield batch(schema, context.view(np.int64), key.view(np.int64), count)
 
 
 def _successors(guides: Guides):
@@ -366,18 +374,9 @@ def _vocabulary(guides: Guides):
     return run
 
 
-def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases of the training documents of each slice with their counts."""
-    schema = pa.schema([("ctx", pa.int64()), ("key", pa.int64()), ("c", pa.int64())])
-    for rows in slices(batches, limit=8 << 20):
-        w = words(rows.column(1), lower=True)
-        context, key, count = phrases.count(w, w.hashes(), in_training(rows.column(0)))
-        yield batch(schema, context.view(np.int64), key.view(np.int64), count)
-
-
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task, in blocks of slots, so that blocks are summed in parallel: width of a count, places and counts."""
-    schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
+    """Counts of a task, in blocks of slots, so that blocks are summed in parallel."""
+    schema = pa.schema([("block", pa.int32()), ("wide", pa.int32()), ("counts", pa.binary())])
     into = None
     for rows in batches:
         for at in range(0, rows.num_rows, 8192):
@@ -386,23 +385,18 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count_bits(part.column(0).to_pylist(), part.column(1).to_numpy(), part.column(2).to_numpy(), into)
     if into is not None:
         for block, counts in enumerate(into.reshape(PREDICTORS * BLOCKS, -1)):
-            at = np.flatnonzero(counts)
-            if len(at):  # places and counts of what is there, or all counts where that is shorter
-                exact = counts.astype(np.float64) if counts.max() >= 1 << 24 else counts.astype(np.float32)
-                sparse = np.int32(exact.itemsize).tobytes() + at.astype(np.int32).tobytes() + exact[at].tobytes()
-                yield batch(schema, [block], [sparse])
+            if counts.any():
+                exact = counts if counts.max() >= 1 << 24 else counts.astype(np.float32)
+                yield batch(schema, [block], [exact.itemsize], [pa.compress(exact.tobytes(), codec="zstd", asbytes=True)])
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, block = np.zeros((2 << SLOTS) // BLOCKS), None
     for rows in batches:
         block = rows.column(0).slice(0, 1)
-        for blob in rows.column(1):
-            data = blob.as_buffer()
-            wide = int(np.frombuffer(data, dtype=np.int32, count=1)[0])
-            n = (len(data) - 4) // (4 + wide)
-            places = np.frombuffer(data, dtype=np.int32, count=n, offset=4)
-            total[places] += np.frombuffer(data, dtype=f"f{wide}", offset=4 + 4 * n)
+        for wide, blob in zip(rows.column(1).to_pylist(), rows.column(2), strict=True):
+            data = pa.decompress(blob.as_buffer(), wide * len(total), codec="zstd")
+            total += np.frombuffer(data, dtype=f"f{wide}")
     yield pa.RecordBatch.from_arrays([block, pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["block", "counts"])
 
 
@@ -449,9 +443,9 @@ class Fitted:
         self.known, self.scored, self.counts = known, scored, counts
 
 
-def choose_guides(texts: DataFrame, guides: int = GUIDES, groups: int = GROUPS) -> Guides:
+def choose_guides(texts: DataFrame, look: DataFrame, guides: int = GUIDES, groups: int = GROUPS) -> Guides:
     """The most frequent words of the training documents, grouped by their succession."""
-    heavy = texts.mapInArrow(_heavy, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    heavy = look.filter("ctx IS NULL").groupBy("h").agg(F.sum("c").alias("c"))
     top = np.array([r["h"] for r in heavy.orderBy(F.desc("c"), "h").limit(guides).collect()], dtype=np.int64).view(np.uint64)
     chosen = Guides(top, np.ones(len(top), dtype=np.int64))
     follow = np.zeros((len(top), len(top)))
@@ -480,7 +474,8 @@ def fit(docs: DataFrame, rate: float = 0.3, frequent: int = FREQUENT) -> Fitted:
     """Learn from the training documents of ``docs(doc_id, text)``."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    guides = choose_guides(texts)
+    look = stored(texts.mapInArrow(_first_look, "ctx long, h long, c long"), "first-look")
+    guides = choose_guides(texts, look)
     seen = texts.mapInArrow(_vocabulary(guides), "h long, g int, word binary, c long")
     vocabulary = stored(seen.groupBy("h", "g").agg(F.first("word").alias("word"), F.sum("c").alias("c")), "vocabulary")
     counts = stored(vocabulary.groupBy("h").agg(F.sum("c").alias("c")), "counts")
@@ -488,7 +483,7 @@ def fit(docs: DataFrame, rate: float = 0.3, frequent: int = FREQUENT) -> Fitted:
     rows = vocabulary.select("word", "g", "c")
     # a task has one set of tables: as many tasks as there are millions of rows
     tasks = max(1, -(-vocabulary.count() // ROWS_PER_TABLE))
-    blocks = rows.coalesce(tasks).mapInArrow(_tables, "block int, counts binary").groupBy("block").applyInArrow(
+    blocks = rows.coalesce(tasks).mapInArrow(_tables, "block int, wide int, counts binary").groupBy("block").applyInArrow(
         _sum_blocks, "block int, counts binary")
     # fixed size: PREDICTORS * 2**SLOTS pairs of counts
     tables = np.zeros((PREDICTORS * BLOCKS, (2 << SLOTS) // BLOCKS), dtype=np.float32)
@@ -512,7 +507,7 @@ def fit(docs: DataFrame, rate: float = 0.3, frequent: int = FREQUENT) -> Fitted:
     order = np.argsort(h)
     key = mix(scored["h"].to_numpy().view(np.uint64)) + scored["g"].to_numpy().astype(np.uint64)
     by_key = np.argsort(key)
-    spoken = phrases.fit(texts.mapInArrow(_phrases, "ctx long, key long, c long"), most_frequent, frequent=min(frequent, phrases.FREQUENT))
+    spoken = phrases.fit(look.filter("ctx IS NOT NULL").withColumnRenamed("h", "key"), most_frequent, frequent=min(frequent, phrases.FREQUENT))
     return Fitted(int(total[0]), int(total[1]), guides, shared, spoken, (h[order], known["c"].to_numpy()[order]),
                   (key[by_key], scored["lp"].to_numpy()[by_key]), counts)
 

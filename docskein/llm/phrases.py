@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docskein.llm.base import batch
@@ -32,7 +32,7 @@ from docskein.llm.chunks import digests
 from docskein.llm.words import Words, chain, distinct, mix
 from docskein.session import stored
 
-RATE = 16  # one word in so many is an anchor
+RATE = 32  # one word in so many is an anchor
 DEPTHS = np.array([1, 2, 3, 4, 8, 16, 64, 512, 4096])  # occurrences of a context that select the weights
 FREQUENT = 1 << 18  # phrases, and contexts, whose prices travel to all tasks
 _U = np.uint64
@@ -120,26 +120,36 @@ def _learn(classes: np.ndarray, rate: float):
     return run
 
 
-def _price(classes: np.ndarray, weights: np.ndarray):
-    schema = pa.schema([("ctx", pa.int64()), ("n", pa.int64()), ("hit", pa.float64()), ("miss", pa.float64()),
-                        ("alone", pa.float64()), ("two", pa.float64()), ("more", pa.float64())])
+class Prices:
+    """The learned bit as column expressions over a context's occurrences ``n`` and its counter."""
 
-    def known(n, own):
-        """Probability of a hit in a context seen ``n`` times whose counter has the log odds ``own``."""
-        gate = _class(n)
-        x = np.stack([own, classes[gate], np.ones(len(n))], axis=1)
-        return np.clip(_squash((weights[gate] * x).sum(axis=1)), 1e-6, 1 - 1e-6)
+    def __init__(self, classes: np.ndarray, weights: np.ndarray):
+        self.offset = F.lit((weights[:, 1] * classes + weights[:, 2]).tolist())
+        self.factor = F.lit(weights[:, 0].tolist())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            n, single = rows.column(1).to_numpy(), rows.column(2).to_numpy()
-            p = known(n, _odds(n - single, single))
-            # without an occurrence of a phrase that has one, two or more
-            alone, two, more = (known(seen, own) for seen, own, _, _ in examples(n, single, np.zeros_like(n)))
-            yield batch(schema, rows.column(0), n, np.log10(p), np.log10(1 - p), np.where(n > 1, np.log10(1 - alone), 0.0),
-                        np.log10(two), np.log10(more))
+    def hit(self, n: Column, hits: Column, misses: Column) -> Column:
+        """Probability of a hit."""
+        level = sum(((n >= d).cast("int") for d in DEPTHS[1:].tolist()), F.lit(1))
+        odds = F.log((F.greatest(hits, F.lit(0)) + 0.4) / (F.greatest(misses, F.lit(0)) + 0.4))
+        z = F.element_at(self.factor, level) * odds + F.element_at(self.offset, level)
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-12.0), F.least(F.lit(12.0), z))))
 
-    return run
+    def leave(self) -> Column:
+        n, single = F.col("n"), F.col("single")
+        return F.log10(1 - self.hit(n, n - single, single))
+
+    def whole(self) -> Column:
+        """Price of a phrase seen ``c`` times."""
+        n, single = F.col("n"), F.col("single")
+        return F.log10(self.hit(n, n - single, single)) + F.log10(F.col("c") / n)
+
+    def own(self) -> Column:
+        """The same without one of the ``c``: what is left of a single one is leaving its context."""
+        n, single, c = F.col("n"), F.col("single"), F.col("c")
+        rest = F.log10((c - 1) / (n - 1))
+        return (F.when(n == 1, 0.0).when(c == 1, F.log10(1 - self.hit(n - 1, n - single, single - 1)))
+                .when(c == 2, F.log10(self.hit(n - 1, n - single - 2, single + 1)) + rest)
+                .otherwise(F.log10(self.hit(n - 1, n - single - 1, single)) + rest))
 
 
 class Phrases:
@@ -168,16 +178,13 @@ def fit(seen: DataFrame, top, rate: float = 0.5, frequent: int = FREQUENT) -> Ph
     for at, value, mass in learned.collect():  # three rows a class
         if mass:
             weights.ravel()[at] = value / mass
-    prices = stored(contexts.select("ctx", "n", "single").mapInArrow(
-        _price(classes, weights), "ctx long, n long, hit double, miss double, alone double, two double, more double"), "context-prices")
+    prices = Prices(classes, weights)
     # a context has as many rows of phrases as it has phrases: AQE splits the few that are very frequent
-    rest = F.log10((F.col("c") - 1) / (F.col("n") - 1))
-    priced = stored(phrases.join(prices.drop("miss"), "ctx").select(
-        "key", "c", (F.col("hit") + F.log10(F.col("c") / F.col("n"))).alias("lp"),
-        F.when(F.col("c") == 1, F.col("alone")).when(F.col("c") == 2, F.col("two") + rest).otherwise(F.col("more") + rest).alias("own"),
-        (F.col("c") == 1).alias("once")), "phrase-prices")
-    return Phrases(priced.drop("c"), prices.select("ctx", "miss"), _sorted(top(priced, frequent), "key", "lp", "own", "once"),
-                   _sorted(top(prices.withColumnRenamed("n", "c"), frequent), "ctx", "miss"))
+    priced = stored(phrases.join(contexts.select("ctx", "n", "single"), "ctx").select(
+        "key", "c", prices.whole().alias("lp"), prices.own().alias("own")), "phrase-prices").withColumn("once", F.col("c") == 1)
+    leaving = contexts.select("ctx", F.col("n").alias("c"), prices.leave().alias("miss"))
+    return Phrases(priced.drop("c"), leaving.drop("c"), _sorted(top(priced, frequent), "key", "lp", "own", "once"),
+                   _sorted(top(leaving, frequent), "ctx", "miss"))
 
 
 def _sorted(rows: DataFrame, key: str, *values: str) -> list[np.ndarray]:

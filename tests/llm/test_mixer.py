@@ -104,8 +104,8 @@ def test_phrases_equal_a_plain_version(docs_of, frequent):
     docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 25, 120)) + (" " + shared if i % 3 else "")) for i in range(60)]
     cut, seen = plain_phrases(docs, None)
     d = docs_of(docs)
-    spoken = phrases.fit(d.select("doc_id", "text").mapInArrow(mixer._phrases, "ctx long, key long, c long"),
-                         mixer.most_frequent, frequent=frequent)
+    look = d.select("doc_id", "text").mapInArrow(mixer._first_look, "ctx long, key long, c long").filter("ctx IS NOT NULL")
+    spoken = phrases.fit(look, mixer.most_frequent, frequent=frequent)
     leave = {r.ctx: r.miss for r in spoken.contexts.collect()}
     priced = {r.key: r for r in spoken.phrases.collect()}
     price = {k: r.lp for k, r in priced.items()}

@@ -263,6 +263,27 @@ class Model:
         return float(weight.sum() * 8)
 
 
+class Packed:
+    """Tables of counts as compressed bytes: each executor holds a copy of a broadcast on its disk."""
+
+    def __init__(self, tables: np.ndarray):
+        self.parts = [pa.compress(t.tobytes(), codec="zstd", asbytes=True) for t in tables]
+
+    def table(self, k: int) -> np.ndarray:
+        return np.frombuffer(pa.decompress(self.parts[k], 8 << SLOTS, codec="zstd"), dtype=np.float32).reshape(-1, 2)
+
+    def tables(self) -> np.ndarray:
+        return np.stack([self.table(k) for k in range(PREDICTORS)])
+
+    def model(self, learned: dict) -> Model:
+        """The model that scores, one table unpacked at a time."""
+        odds = np.empty((PREDICTORS, 1 << SLOTS), dtype=np.float32)
+        for k in range(PREDICTORS):
+            table = self.table(k)
+            odds[k] = _log_odds(table[:, 0], table[:, 1])
+        return Model(odds, _depth(table.sum(axis=-1)), **learned)
+
+
 def in_training(ids: pa.Array, held: int = 2, parts: int = 7) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % parts != held for i in ids.to_pylist()], dtype=bool)
 
@@ -409,7 +430,8 @@ def _learn(shared, rate: float):
             for at in range(0, rows.num_rows, 1024):
                 part = rows.slice(at, 1024)
                 if model is None:
-                    model = Model(**Model.arrays(shared.value)).leave_out(shared.value)
+                    tables = shared.value.tables()
+                    model = Model(**Model.arrays(tables)).leave_out(tables)
                 total += model.learn(part.column(0).to_pylist(), part.column(1).to_numpy(), part.column(2).to_numpy(),
                                      rate / (1 + step / 100) ** 0.5)
                 step += 1
@@ -420,13 +442,13 @@ def _learn(shared, rate: float):
     return run
 
 
-def _score_words(shared):
+def _score_words(shared, learned: dict):
     schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("lp", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for rows in batches:
-            model = model or Model(**shared.value)
+            model = model or shared.value.model(learned)
             for at in range(0, rows.num_rows, 2048):
                 part = rows.slice(at, 2048)
                 yield batch(schema, part.column(0), part.column(1), model.log10(part.column(2).to_pylist(), part.column(1).to_numpy()))
@@ -437,9 +459,10 @@ def _score_words(shared):
 class Fitted:
     """What scoring needs: totals, guides, arrays of the model, phrases, frequent words, and the table of all counts."""
 
-    def __init__(self, total: int, distinct: int, guides: Guides, shared: dict, spoken: phrases.Phrases, known: tuple, scored: tuple,
-                 counts: DataFrame):
-        self.total, self.distinct, self.guides, self.shared, self.spoken = total, distinct, guides, shared, spoken
+    def __init__(self, total: int, distinct: int, guides: Guides, shared, learned: dict, spoken: phrases.Phrases, known: tuple,
+                 scored: tuple, counts: DataFrame):
+        self.total, self.distinct, self.guides, self.spoken = total, distinct, guides, spoken
+        self.shared, self.learned = shared, learned
         self.known, self.scored, self.counts = known, scored, counts
 
 
@@ -490,25 +513,24 @@ def fit(docs: DataFrame, rate: float = 0.3, frequent: int = FREQUENT) -> Fitted:
     for r in blocks.toLocalIterator():
         tables[r["block"]] = np.frombuffer(r["counts"], dtype=np.float32)
     tables = tables.reshape(PREDICTORS, 1 << SLOTS, 2)
-    state: dict = Model.arrays(tables)
-    sent = sc.broadcast(tables)
-    learned = rows.mapInArrow(_learn(sent, rate), "at int, value double, bits double").groupBy("at").agg(
+    learned: dict = {}
+    shared = sc.broadcast(Packed(tables))
+    means = rows.mapInArrow(_learn(shared, rate), "at int, value double, bits double").groupBy("at").agg(
         (F.sum("value") / F.sum("bits")).alias("mean")).collect()  # one number a weight
-    if learned:
+    if means:
         flat = np.zeros(GATES * (PREDICTORS + 1 + MAP))
-        flat[[r["at"] for r in learned]] = [r["mean"] for r in learned]
-        state["weights"] = flat[:GATES * (PREDICTORS + 1)].reshape(GATES, -1)
-        state["refine"] = flat[GATES * (PREDICTORS + 1):].reshape(GATES, -1)
-    shared = sc.broadcast(state)
+        flat[[r["at"] for r in means]] = [r["mean"] for r in means]
+        learned["weights"] = flat[:GATES * (PREDICTORS + 1)].reshape(GATES, -1)
+        learned["refine"] = flat[GATES * (PREDICTORS + 1):].reshape(GATES, -1)
     known = most_frequent(counts, frequent).toArrow()  # at most ``frequent`` rows of 16 bytes
     scored = most_frequent(vocabulary, frequent).select("h", "g", "word").mapInArrow(
-        _score_words(shared), "h long, g int, lp double").toArrow()  # at most ``frequent`` rows of 20 bytes
+        _score_words(shared, learned), "h long, g int, lp double").toArrow()  # at most ``frequent`` rows of 20 bytes
     h = known["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
     key = mix(scored["h"].to_numpy().view(np.uint64)) + scored["g"].to_numpy().astype(np.uint64)
     by_key = np.argsort(key)
     spoken = phrases.fit(look.filter("ctx IS NOT NULL").withColumnRenamed("h", "key"), most_frequent, frequent=min(frequent, phrases.FREQUENT))
-    return Fitted(int(total[0]), int(total[1]), guides, shared, spoken, (h[order], known["c"].to_numpy()[order]),
+    return Fitted(int(total[0]), int(total[1]), guides, shared, learned, spoken, (h[order], known["c"].to_numpy()[order]),
                   (key[by_key], scored["lp"].to_numpy()[by_key]), counts)
 
 
@@ -520,14 +542,14 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def _read(shared, frequent, guides: Guides, total: int, distinct: int):
+def _read(shared, learned: dict, frequent, guides: Guides, total: int, distinct: int):
     item = pa.struct([("h", pa.int64()), ("n", pa.int64())])
     phrase = pa.struct([("ctx", pa.int64()), ("key", pa.int64()), ("words", pa.float64()), ("miss", pa.float64())])
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(item)), ("open", pa.list_(phrase))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, remembered = Model(**shared.value), {}
+        model, remembered = shared.value.model(learned), {}
         (keys, count), (pairs, lp), (phrase_keys, phrase_lp, phrase_own, once), (contexts, miss) = frequent.value
         base = np.log10((count + 1.0) / (total + distinct + 1.0))
         end_at, has_end = _find(keys, np.zeros(1, dtype=np.uint64))
@@ -597,7 +619,7 @@ def score(docs: DataFrame, model: Fitted) -> DataFrame:
     frequent = docs.sparkSession.sparkContext.broadcast(
         (model.known, model.scored, model.spoken.frequent, model.spoken.leaving))  # at most FREQUENT rows each
     read = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _read(model.shared, frequent, model.guides, model.total, model.distinct),
+        _read(model.shared, model.learned, frequent, model.guides, model.total, model.distinct),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
         "rare array<struct<h:bigint,n:bigint>>, open array<struct<ctx:bigint,key:bigint,words:double,miss:double>>").withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = read.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.n")

@@ -27,7 +27,7 @@ predicts each bit by 1/2. Ids that repeat are scored each.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -176,7 +176,7 @@ def _depth(count):
 class Model:
     """Tables of log odds, gated weights and refining map."""
 
-    def __init__(self, odds: np.ndarray, depth: np.ndarray, weights: np.ndarray | None = None,
+    def __init__(self, odds: np.ndarray | None, depth: np.ndarray | None, weights: np.ndarray | None = None,
                  refine: np.ndarray | None = None):
         self.odds, self.depth = odds, depth
         if weights is None:
@@ -193,24 +193,29 @@ class Model:
         """Log odds of every slot, and the class of the count of the deepest context, which selects the weights."""
         return {"odds": _log_odds(tables[..., 0], tables[..., 1]), "depth": _depth(tables[-1].sum(axis=-1))}
 
-    def leave_out(self, tables: np.ndarray) -> Model:
-        """Prepare for learning: log odds as if an occurrence that brings the bit were not among the counts."""
-        n0, n1 = tables[..., 0], tables[..., 1]
-        self.without = np.stack([_log_odds(np.maximum(n0 - 1, 0), n1), _log_odds(n0, np.maximum(n1 - 1, 0))], axis=-1)
-        self.depth_without = _depth(np.maximum(tables[-1].sum(axis=-1) - 1, 0))
+    def leave_out(self, tables: Iterable[np.ndarray]) -> Model:
+        """Prepare for learning: log odds, by slot and bit, as if an occurrence that brings the bit were not among the counts."""
+        without = np.empty((PREDICTORS, 2 << SLOTS), dtype=np.float32)
+        for k, table in enumerate(tables):
+            n0, n1 = table[:, 0], table[:, 1]
+            without[k, 0::2] = _log_odds(np.maximum(n0 - 1, 0), n1)
+            without[k, 1::2] = _log_odds(n0, np.maximum(n1 - 1, 0))
+        # the deepest context's count selects the weights
+        self.without, self.depth_without = without, _depth(np.maximum(table.sum(axis=-1) - 1, 0))
         return self
 
     def _predict(self, stream: BitStream, bit: int, learning: bool = False):
         slots = stream.slots[bit]
         if learning:
-            x = [self.without[k][slots[k], stream.bits[bit]] for k in range(PREDICTORS)]
-            gate = self.depth_without[slots[-1]].astype(np.int64) * 8 + bit
+            x = [self.without[k].take(slots[k] * 2 + stream.bits[bit]) for k in range(PREDICTORS)]
+            gate = self.depth_without.take(slots[-1]).astype(np.int64) * 8 + bit
         else:
-            x = [self.odds[k][slots[k]] for k in range(PREDICTORS)]
-            gate = self.depth[slots[-1]].astype(np.int64) * 8 + bit
-        z = self.weights[gate, PREDICTORS]
+            x = [self.odds[k].take(slots[k]) for k in range(PREDICTORS)]
+            gate = self.depth.take(slots[-1]).astype(np.int64) * 8 + bit
+        weights = np.ascontiguousarray(self.weights.T)
+        z = weights[PREDICTORS].take(gate)
         for k in range(PREDICTORS):
-            z = z + self.weights[gate, k] * x[k]
+            z += weights[k].take(gate) * x[k]
         return x, gate, np.clip(z, -LIMIT + 0.01, LIMIT - 0.01)
 
     def _refined(self, gate, z):
@@ -219,7 +224,7 @@ class Model:
         part = at - lo
         key = gate * MAP + lo
         flat = self.refine.ravel()
-        q = flat[key] * (1 - part) + flat[key + 1] * part
+        q = flat.take(key) * (1 - part) + flat.take(key + 1) * part
         return np.clip(0.5 * (_squash(z) + q), 1e-6, 1 - 1e-6), key, part
 
     def log10(self, tokens: list[bytes], groups: np.ndarray) -> np.ndarray:
@@ -272,9 +277,6 @@ class Packed:
     def table(self, k: int) -> np.ndarray:
         return np.frombuffer(pa.decompress(self.parts[k], 8 << SLOTS, codec="zstd"), dtype=np.float32).reshape(-1, 2)
 
-    def tables(self) -> np.ndarray:
-        return np.stack([self.table(k) for k in range(PREDICTORS)])
-
     def model(self, learned: dict) -> Model:
         """The model that scores, one table unpacked at a time."""
         odds = np.empty((PREDICTORS, 1 << SLOTS), dtype=np.float32)
@@ -430,8 +432,7 @@ def _learn(shared, rate: float):
             for at in range(0, rows.num_rows, 1024):
                 part = rows.slice(at, 1024)
                 if model is None:
-                    tables = shared.value.tables()
-                    model = Model(**Model.arrays(tables)).leave_out(tables)
+                    model = Model(None, None).leave_out(map(shared.value.table, range(PREDICTORS)))
                 total += model.learn(part.column(0).to_pylist(), part.column(1).to_numpy(), part.column(2).to_numpy(),
                                      rate / (1 + step / 100) ** 0.5)
                 step += 1

@@ -326,7 +326,7 @@ def _first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the training documents of each slice: words that make up a thousandth of it, at most a thousand a slice, with no
     context, and phrases with theirs."""
     schema = pa.schema([("ctx", pa.int64()), ("h", pa.int64()), ("c", pa.int64())])
-    for rows in slices(batches, limit=8 << 20):
+    for rows in slices(batches):
         w = words(rows.column(1), lower=True)
         hashes, train = w.hashes(), in_training(rows.column(0))
         seen, _, place = numbered(hashes[np.repeat(train, w.counts)])
@@ -379,7 +379,7 @@ def _vocabulary(guides: Guides):
     schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("word", pa.binary()), ("c", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches, limit=8 << 20):
+        for rows in slices(batches):
             train = in_training(rows.column(0))
             w = words(rows.column(1), lower=True)
             hashes = w.hashes()
@@ -501,7 +501,8 @@ def fit(docs: DataFrame, rate: float = 0.3, frequent: int = FREQUENT) -> Fitted:
     look = stored(texts.mapInArrow(_first_look, "ctx long, h long, c long"), "first-look")
     guides = choose_guides(texts, look)
     seen = texts.mapInArrow(_vocabulary(guides), "h long, g int, word binary, c long")
-    vocabulary = stored(seen.groupBy("h", "g").agg(F.first("word").alias("word"), F.sum("c").alias("c")), "vocabulary")
+    # the word is a key although its hash says as much: as a value it would have all rows sorted
+    vocabulary = stored(seen.groupBy("h", "g", "word").agg(F.sum("c").alias("c")), "vocabulary")
     counts = stored(vocabulary.groupBy("h").agg(F.sum("c").alias("c")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     rows = vocabulary.select("word", "g", "c")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docskein.llm import phrases
-from docskein.llm.base import batch
+from docskein.llm.base import batch, tidy
 from docskein.llm.words import distinct as numbered
 from docskein.llm.words import mix, per_doc, slices, words
 from docskein.session import stored
@@ -44,6 +44,7 @@ SLOTS = 20  # log2 of the counters of one predictor
 PREDICTORS = 7
 FREQUENT = 1 << 20  # words whose counts and scores travel to all tasks
 SEGMENT = 256  # bytes of a word, its closing space included, that are looked at together
+SLICE = 2 << 20  # bytes of text in memory at once, but for one longer text
 PIECES = 1 << 17  # bytes of segments in memory at once
 DEPTHS = np.array([0, 1, 2, 4, 8, 32, 256, 4096])  # counts of a prefix that select the weights
 GATES = 8 * len(DEPTHS)
@@ -322,11 +323,12 @@ class Guides:
         return np.where(number >= 0, self.groups[number], 0) if len(self.groups) else np.zeros(len(number), dtype=np.int64)
 
 
+@tidy
 def _first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the training documents of each slice: words that make up a thousandth of it, at most a thousand a slice, with no
     context, and phrases with theirs."""
     schema = pa.schema([("ctx", pa.int64()), ("h", pa.int64()), ("c", pa.int64())])
-    for rows in slices(batches):
+    for rows in slices(batches, limit=SLICE):
         w = words(rows.column(1), lower=True)
         hashes, train = w.hashes(), in_training(rows.column(0))
         seen, _, place = numbered(hashes[np.repeat(train, w.counts)])
@@ -340,10 +342,11 @@ def _first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _successors(guides: Guides):
     schema = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("c", pa.int64())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(guides.hashes)
         total = np.zeros(n * n, dtype=np.int64)
-        for rows in slices(batches):
+        for rows in slices(batches, limit=SLICE):
             w = words(rows.column(1), lower=True)
             hashes = w.hashes()
             number = guides.number(hashes)
@@ -378,6 +381,7 @@ def _vocabulary(guides: Guides):
     """Training words of each slice by group, with their counts; the end token rides along as the empty word."""
     schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("word", pa.binary()), ("c", pa.int64())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
             train = in_training(rows.column(0))
@@ -397,6 +401,7 @@ def _vocabulary(guides: Guides):
     return run
 
 
+@tidy
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task, in blocks of slots, so that blocks are summed in parallel."""
     schema = pa.schema([("block", pa.int32()), ("wide", pa.int32()), ("counts", pa.binary())])
@@ -413,6 +418,7 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch(schema, [block], [exact.itemsize], [pa.compress(exact.tobytes(), codec="zstd", asbytes=True)])
 
 
+@tidy
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, block = np.zeros((2 << SLOTS) // BLOCKS), None
     for rows in batches:
@@ -426,6 +432,7 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _learn(shared, rate: float):
     schema = pa.schema([("at", pa.int32()), ("value", pa.float64()), ("bits", pa.float64())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total, step = None, 0.0, 0
         for rows in batches:
@@ -446,6 +453,7 @@ def _learn(shared, rate: float):
 def _score_words(shared, learned: dict):
     schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("lp", pa.float64())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for rows in batches:
@@ -550,6 +558,7 @@ def _read(shared, learned: dict, frequent, guides: Guides, total: int, distinct:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(item)), ("open", pa.list_(phrase))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, remembered = shared.value.model(learned), {}
         (keys, count), (pairs, lp), (phrase_keys, phrase_lp, phrase_own, once), (contexts, miss) = frequent.value
@@ -557,7 +566,7 @@ def _read(shared, learned: dict, frequent, guides: Guides, total: int, distinct:
         end_at, has_end = _find(keys, np.zeros(1, dtype=np.uint64))
         end_base = float(base[end_at[0]]) if has_end[0] else -np.log10(total + distinct + 1.0)
         end_lp = model.log10([END_WORD] * (GROUPS + 1), np.arange(GROUPS + 1))
-        for rows in slices(batches):
+        for rows in slices(batches, limit=SLICE):
             w = words(rows.column(1), lower=True)
             n, train = len(w.first) - 1, in_training(rows.column(0))
             hashes = w.hashes()
@@ -624,6 +633,9 @@ def score(docs: DataFrame, model: Fitted) -> DataFrame:
         _read(model.shared, model.learned, frequent, model.guides, model.total, model.distinct),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
         "rare array<struct<h:bigint,n:bigint>>, open array<struct<ctx:bigint,key:bigint,words:double,miss:double>>").withColumn("row", F.monotonically_increasing_id()), "scored")
+    # the scores are a written table: the executors need these no longer
+    frequent.unpersist()
+    model.shared.unpersist()
     rare = read.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.n")
     c = F.coalesce("c", F.lit(0))
     added = rare.join(model.counts, "h", "left").groupBy("row").agg(

@@ -284,3 +284,18 @@ def test_merge_and_ignore(spark):
 
 def test_fixed_lists_have_no_repeats():
     assert len(set(fixed.STOP_WORDS)) == len(fixed.STOP_WORDS)
+
+
+def test_value_at_fraction_is_exact(spark):
+    import random
+
+    from docskein.functions.ranking import value_at_fraction
+
+    rng = random.Random(5)
+    fractions = {"a": 0.0, "b": 0.5, "c": 0.95, "d": 0.99, "e": 1.0}
+    for values in ([rng.gauss(0, 1) for _ in range(30_000)], [float(rng.randrange(3)) for _ in range(999)], [2.5], [1.0, 2.0]):
+        df = spark.createDataFrame([(x,) for x in [*values, None]], "x double")
+        got = one(value_at_fraction(df, "x", fractions)).asDict()
+        assert got == {k: sorted(values)[min(int(len(values) * p), len(values) - 1)] for k, p in fractions.items()}
+    none = one(value_at_fraction(spark.createDataFrame([], "x double"), "x", fractions))
+    assert set(none.asDict().values()) == {None}

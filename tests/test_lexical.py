@@ -57,6 +57,43 @@ def test_few_pairs_are_scored(spark, monkeypatch):
     assert 0 < done.scored < 0.1 * done.sharing
 
 
+def test_batches_of_questions_equal_one(spark, index, tables, monkeypatch):
+    q = tables.stored("queries").select("query_id", "text", F.array(lexical.role_demand(F.col("user_roles"))).alias("must"))
+    want = ranked(lexical.search(index, q, 5, must="must"))
+    pieces = index.blocks(index.segments[0]).filter("kind = 2").count()
+    monkeypatch.setattr(lexical, "VISITS", pieces * q.count() // 3)
+    written = []
+    monkeypatch.setattr(lexical, "stored", lambda df, name: written.append((name, df.count())) or stored(df, name))
+    assert ranked(lexical.search(index, q, 5, must="must")) == want and want
+    # no table of questions times pieces is kept, whatever the number of pieces
+    assert sum(name == "first-pieces" for name, _ in written) >= 3 and pieces > 3
+    assert max(n for _, n in written) <= 5 * q.count()
+
+
+def test_pieces_grow_before_there_are_too_many(spark, monkeypatch):
+    monkeypatch.setattr(termstore, "PIECE", 10)
+    cores = spark.sparkContext.defaultParallelism
+    c = spark.range(10 * 4 * cores).select(F.col("id").alias("chunk_id"), F.concat(F.lit("word"), F.col("id") % 50).alias("content"))
+    assert lexical.index_chunks(c).segments[0].pieces == 2 * cores
+
+
+def test_a_written_table_leaves_no_shuffle(spark):
+    import time
+
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files.getAllFiles())
+                        if f.getName().startswith("shuffle_")}
+    before = shuffles()
+    assert stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted").count() == 7
+    made = None
+    for _ in range(50):  # files are removed in the background
+        made = {f for f in shuffles() - before if f.endswith(".data")}
+        if len(made) <= 1:  # the count above may have left one
+            break
+        time.sleep(0.2)
+    assert len(made) <= 1
+
+
 def test_postings_do_not_move(index, tables):
     held = index.blocks(index.segments[0]).filter("kind = 2").select("piece", "ids")
     asked = tables.stored("queries").select((F.col("query_id") % 3).alias("piece"), "text")

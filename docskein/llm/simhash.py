@@ -241,8 +241,12 @@ def _search(radius: int):
         fp = table.column("fp").to_numpy().view(np.uint64)
         node = table.column("node").to_numpy()
         edges = np.array(links_within(fp, table.column("home").to_numpy(), radius), dtype=np.int64).reshape(-1, 2)
-        # an edge of the forest may stand for a chain, never for an unrelated pair
-        return pa.table([node[edges[:, 0]], node[edges[:, 1]]], schema=schema)
+        # every node of a tree is linked to one of it: paths stay short, so few rounds close the components
+        forest = _Forest(len(fp))
+        forest.link(edges[:, 0], edges[:, 1])
+        at = np.unique(edges)
+        root = np.array([forest.find(i) for i in at.tolist()], dtype=np.int64)
+        return pa.table([node[at[at != root]], node[root[at != root]]], schema=schema)
 
     return run
 
@@ -283,6 +287,16 @@ def one_per_group(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame
     return smallest_of(docs, stored(near_duplicates(docs, width, radius), "near-duplicates"))
 
 
+def joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """``found(doc_id, component_id)`` with the components of ``more(doc_id, component_id)`` joined in: a row's component is
+    the smallest id that both reach together, null without an id."""
+    found = stored(found.select("doc_id", "component_id"), "components")
+    links = found.unionByName(more.select("doc_id", "component_id")).filter("doc_id IS NOT NULL AND component_id IS NOT NULL")
+    roots = components(links.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+    named = found.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return named.select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
 def smallest_of(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with one document for each component of ``found(doc_id, component_id)``, and all without an id."""
     drop = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()

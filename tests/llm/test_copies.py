@@ -58,6 +58,20 @@ def test_equals_brute_force_and_finds_what_two_bits_miss(docs_of, spark, inputs)
     assert len(kept) < simhash.one_per_group(d).count()
 
 
+def test_the_stage_links_fingerprints_too(docs_of, spark, inputs):
+    # one word triple holds the majority of both fingerprints; their sets of five-word shingles share one of seven
+    d = docs_of([(1, "x " * 100 + "p q r"), (2, "x " * 100 + "s t u"), (3, "another text of its own words")])
+    assert {r.component_id for r in copies.near_copies(d).collect()} == {1, 2, 3}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, d, inputs.sf_dir).collect()} == {1, 3}
+
+
+def test_joined_components(spark):
+    one = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (4, 4), (None, 4), (None, None)], "doc_id long, component_id long")
+    two = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, 4)], "doc_id long, component_id long")
+    got = sorted(((r.doc_id or 0), (r.component_id or 0)) for r in simhash.joined(one, two).collect())
+    assert got == [(0, 0), (0, 0), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
+
+
 def test_defined_cases(docs_of):
     d = docs_of([(1, None), (2, ""), (3, " \t\n"), (4, "One  Two"), (5, "one two"), (5, "one two"), (None, "one two"),
                  (8, "a b c d e f g h i j"), (9, "one two three")])

@@ -111,3 +111,14 @@ def test_entry_without_optional_packages():
 def test_citation_scores_round_half_up(spark):
     got = spark.createDataFrame([(0.69195,), (0.691949,), (0.38,), (1.00005,)], "s double").select(context.four_digits(F.col("s"))).collect()
     assert [r[0] for r in got] == [0.692, 0.6919, 0.38, 1.0001]
+
+
+def test_similar_tickets_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(tickets, "CANDIDATES", 20)
+    texts = [" ".join(f"word{(i * k) % 9}" for k in range(1, 7)) for i in range(24)] + ["", None, "the"]
+    rows = [(f"T{i:03d}" if i != 5 else None, "", x, None) for i, x in enumerate(texts)]
+    t = spark.createDataFrame(rows, "ticket_id string, subject string, description string, resolution string")
+    sets = [(r[0], frozenset((r[2] or "").split()) - {"the"}) for r in rows]
+    got = {r.ticket_id: r.similar_count for r in tickets.similar_counts(t.filter("ticket_id IS NOT NULL")).collect()}
+    sets = [x for x in sets if x[0] is not None]
+    assert got == {i: sum(1 for j, b in sets if i != j and a and b and 2 * len(a & b) >= len(a | b)) for i, a in sets}

@@ -1,5 +1,6 @@
 """Bounded lexical search and the segmented index: equal results, work saved, changes without rebuilding."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,28 @@ def test_empty_and_null(spark, small_pieces):
     assert lexical.search(lexical.index_chunks(c.limit(0)), q).count() == 0
     gone = termstore.change_index(index, gone=c.select("chunk_id"))
     assert gone.n_chunks == 0 and gone.segments == [] and gone.rows.count() == 0
+
+
+def test_names_of_a_piece_are_no_list_column(index):
+    """A list column that all rows but one leave null took most of the time of loading a piece."""
+    blocks = index.blocks(index.segments[0])
+    assert dict(blocks.dtypes)["names"] == "binary"
+    held = [n for r in blocks.filter(F.col("kind") == termstore.NAMES).select("names").collect()
+            for n in termstore.unpacked_names(pa.scalar(bytes(r["names"]), pa.binary())).to_pylist()]
+    assert sorted(held) == sorted(str(r["chunk_id"]) for r in index.rows.select("chunk_id").collect())
+
+
+def test_all_terms_of_many_questions_at_once(spark, monkeypatch):
+    """Stretches of a few candidates, dead chunks, labels and unknown terms: equal to one question after the other."""
+    monkeypatch.setattr(lexical, "CANDIDATES", 3)
+    texts = ["alpha beta gamma", "alpha beta", "beta gamma delta", "alpha gamma beta beta", "delta", "alpha delta beta"] * 4
+    rows = spark.createDataFrame([(i, t, ["x", "y", None][i % 3]) for i, t in enumerate(texts)], "chunk_id long, content string, kind string")
+    index = lexical.index_chunks(rows, labels=lexical.value_labels(kind=F.col("kind")))
+    index = termstore.change_index(index, gone=spark.createDataFrame([(0,), (5,)], "chunk_id long"))
+    asked = spark.createDataFrame([(1, "alpha beta", "x"), (2, "beta gamma", None), (3, "delta", "y"), (4, "alpha nowhere", None), (5, "delta gamma beta", "x"),
+                                   (6, "alpha gamma", "z")], "query_id long, text string, kind string")
+    due = asked.withColumn("must", F.transform(lexical.value_labels(kind=F.col("kind")), lambda x: F.array(x)))
+    got = ranked(lexical.search(index, due, 4, must="must", positive=False, all_terms=True))
+    monkeypatch.setattr(lexical, "_all_terms_searcher", lambda k, mean, positive: lexical._searcher(k, mean, positive, True, False))
+    assert got == ranked(lexical.search(index, due, 4, must="must", positive=False, all_terms=True))
+    assert {x[0] for x in got} == {1, 2, 3, 5} and not {0, 5} & {x[2] for x in got}

@@ -105,14 +105,17 @@ def hash_embed(chunks: DataFrame, dims: int = 256) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     from docskein.functions.text import tokens
+    from docskein.session import stored
 
-    staged = chunks.select("chunk_id", tokens(F.col("content")).alias("terms"))
+    counted = HashingTF(inputCol="terms", outputCol="tf", numFeatures=dims).transform(
+        chunks.select("chunk_id", tokens(F.col("content")).alias("terms"))).select("chunk_id", "tf")
+    # the document frequencies and the vectors both read the counts: texts are cut and hashed once
+    counted = stored(counted, "term-counts", "zstd")
     model = Pipeline(stages=[
-        HashingTF(inputCol="terms", outputCol="tf", numFeatures=dims),
         IDF(inputCol="tf", outputCol="tfidf"),
         Normalizer(inputCol="tfidf", outputCol="unit", p=2.0),
-    ]).fit(staged)
-    return model.transform(staged).select("chunk_id", vector_to_array("unit", "float32").alias("embedding"))
+    ]).fit(counted)
+    return model.transform(counted).select("chunk_id", vector_to_array("unit", "float32").alias("embedding"))
 
 
 def doc_records(docs: DataFrame, chunks: DataFrame, repositories: DataFrame) -> DataFrame:

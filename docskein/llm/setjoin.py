@@ -25,13 +25,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docskein.llm.base import batch
 from docskein.llm.ordinals import numbered
-from docskein.llm.words import Words, distinct, lines_in, mix, per_doc, slices, text_bytes, words_in
+from docskein.llm.words import Words, lines_in, mix, per_doc, slices, text_bytes, words_in
 from docskein.session import stored
 
 THRESHOLD = 0.8
@@ -63,27 +64,28 @@ def short_prefix(size, threshold: float = THRESHOLD):
 
 
 class LineSets:
-    """Word sets of the lines of a slice, rarest word first: ``token[first[i]:first[i + 1]]`` of line i."""
+    """Word sets of the lines of a slice, rarest word first where ``counters`` tell: ``token[first[i]:first[i + 1]]`` of line i."""
 
     def __init__(self, texts: pa.Array, counters: np.ndarray | None):
         self.buf, self.offsets = text_bytes(texts)
         self.start, self.end, self.doc = lines_in(self.buf, self.offsets)
-        self.number = np.arange(len(self.doc)) - np.searchsorted(self.doc, self.doc)
+        heads = np.flatnonzero(np.append(True, self.doc[1:] != self.doc[:-1])) if len(self.doc) else self.doc
+        self.number = np.arange(len(self.doc)) - np.repeat(heads, np.diff(np.append(heads, len(self.doc))))
         w: Words = words_in(self.buf, self.offsets)
-        uniq, _, where = distinct(w.hashes())
-        if counters is None:
-            order = np.arange(len(uniq))
-        else:
-            order = np.argsort(counters[(uniq >> _U(64 - COUNTERS)).astype(np.int64)], kind="stable")  # ties by hash
-        rank = np.empty(len(uniq), dtype=np.int64)
-        rank[order] = np.arange(len(uniq))
-        line = np.searchsorted(self.start, w.start, side="right") - 1
-        key = np.sort(line * (len(uniq) + 1) + rank[where])
+        code, uniq = pd.factorize(w.hashes())
+        if counters is not None:
+            order = np.lexsort((uniq, counters[(uniq >> _U(64 - COUNTERS)).astype(np.int64)]))  # ties by hash
+            rank = np.empty(len(uniq), dtype=np.int64)
+            rank[order] = np.arange(len(uniq))
+            code, uniq = rank[code], uniq[order]
+        # words and lines both ascend, so the few lines are looked up among the words
+        counts = np.diff(np.append(np.searchsorted(w.start, self.start), len(w.start)))
+        bits = len(uniq).bit_length()
+        key = np.sort(np.repeat(np.arange(len(counts)) << bits, counts) | code)
         key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-        line, rank = np.divmod(key, len(uniq) + 1)
-        self.token = uniq[order][rank] if len(uniq) else uniq
-        self.first = np.searchsorted(line, np.arange(len(self.doc) + 1))
-        self.size = np.diff(self.first)
+        self.token = uniq[key & ((1 << bits) - 1)]
+        self.size = np.bincount(key >> bits, minlength=len(counts))
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +192,7 @@ def _emit(counters_sent, parts: int, only_sent=None):
             if len(again):
                 yield _sent(len(again), part=(doc[again] % parts) * len(CLASSES), doc_id=doc[again], line=number[again],
                             first_doc=doc[speaker[again]], first_line=number[speaker[again]])
-            own = np.flatnonzero(speaker == np.arange(len(lines)))
+            own, most = np.flatnonzero(speaker == np.arange(len(lines))), prefix(size)
             low = 0
             for kind, (high, width) in enumerate(CLASSES):
                 # the longer line of a pair decides on its class
@@ -203,7 +205,7 @@ def _emit(counters_sent, parts: int, only_sent=None):
                 mine = np.flatnonzero(place[owner] >= 0)
                 sketch = sketches(sets.token[mine], place[owner[mine]], len(member), width)
                 position = mine - sets.first[lines][owner[mine]]
-                keep = position < prefix(size[owner[mine]])
+                keep = position < most[owner[mine]]
                 if only is not None:
                     keep &= only[(sets.token[mine] % _U(WORD_BLOOM)).astype(np.int64)]
                 if not keep.any():
@@ -236,25 +238,32 @@ def candidates_in(rows: np.ndarray, sketch: np.ndarray, kind: int, kept: int | N
     Lines of a word stand in order; each round compares the lines that are still open with the next block of earlier
     ones. A line that has found more than ``kept`` is done, so many variants of one line cost a few rounds.
     """
-    order = np.lexsort((rows["line"], rows["doc"], rows["digest"], rows["token"]))
-    r = rows[order]
-    head = np.append(True, (r["token"][1:] != r["token"][:-1]) | (r["digest"][1:] != r["digest"][:-1]))
-    first = np.flatnonzero(head)[np.cumsum(head) - 1]
-    again = np.flatnonzero(~head & ((r["doc"] != r["doc"][first]) | (r["line"] != r["line"][first])))
+    by_line = np.lexsort((rows["line"], rows["doc"]))
+    # lines of a word in order: the word above the place in the order of lines, which is below 2**32
+    order = by_line[(np.sort(rows["token"][by_line].astype(np.uint64) << _U(32) | np.arange(len(rows), dtype=np.uint64)) & _U(0xFFFFFFFF)).astype(np.int64)]
+    token, digest, doc, line = (np.ascontiguousarray(rows[c])[order] for c in ("token", "digest", "doc", "line"))
+    code, uniq = pd.factorize(mix(digest + mix(token.astype(np.uint64))))
+    first = np.empty(len(uniq), dtype=np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    first = first[code]
+    alone = (token != token[first]) | (digest != digest[first])  # another set with the same mixed hash
+    head = alone | (first == np.arange(len(first)))
+    again = np.flatnonzero(~head & ((doc != doc[first]) | (line != line[first])))
     if wanted is not None:
-        again = again[wanted[bloom_slot(r["doc"][again], r["line"][again].astype(np.int64))]]
+        again = again[wanted[bloom_slot(doc[again], line[again].astype(np.int64))]]
     if len(again):  # equal sets need no search
-        yield np.stack([r["doc"][again], r["line"][again], r["doc"][first[again]], r["line"][first[again]]], axis=1).astype(np.int64)
-    order = order[head]
-    order = order[np.lexsort((rows["line"][order], rows["doc"][order], rows["token"][order]))]
-    r, mark = rows[order], sketch[order]
-    size, position = r["size"].astype(np.int64), r["position"].astype(np.int64)
-    doc, line = r["doc"], r["line"].astype(np.int64)
-    begin = np.searchsorted(r["token"], r["token"])
+        yield np.stack([doc[again], line[again], doc[first[again]], line[first[again]]], axis=1).astype(np.int64)
+    order, token, doc, line = order[head], token[head], doc[head], line[head].astype(np.int64)
+    mark = sketch[order]
+    size, position = (np.ascontiguousarray(rows[c])[order].astype(np.int64) for c in ("size", "position"))
+    begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else order
+    begin = np.repeat(begin, np.diff(np.append(begin, len(token))))
     low, high = (CLASSES[kind - 1][0] if kind else 0), CLASSES[kind][0]
     inside = position < short_prefix(size)  # the shorter one must meet within its short prefix
-    hits = np.zeros(len(r), dtype=np.int64)
-    live = np.flatnonzero(np.arange(len(r)) > begin)
+    least = np.ceil(THRESHOLD * size - 1e-9).astype(np.int64)  # size that a match of a longer line has at least
+    left = size - position
+    hits = np.zeros(len(size), dtype=np.int64)
+    live = np.flatnonzero(np.arange(len(size)) > begin)
     if wanted is not None:
         live = live[wanted[bloom_slot(doc[live], line[live])]]
     turn = 0
@@ -266,12 +275,13 @@ def candidates_in(rows: np.ndarray, sketch: np.ndarray, kind: int, kept: int | N
             i = np.repeat(from_ - (np.cumsum(n) - n), n) + np.arange(n.sum())
             j = np.repeat(j, n)
             a, b = size[i], size[j]
-            big, small = np.maximum(a, b), np.minimum(a, b)
-            ok = (big > low) & (big <= high) & (small >= THRESHOLD * big - 1e-9)
-            ok &= np.where(a < b, inside[i], np.where(b < a, inside[j], inside[i] & inside[j]))
+            big = np.maximum(a, b)
+            ok = (big > low) & (big <= high) & (a >= least[j]) & (b >= least[i])
+            i, j, a, b = i[ok], j[ok], a[ok], b[ok]
+            ok = (inside[i] | (a > b)) & (inside[j] | (b > a))
             i, j = i[ok], j[ok]
             need = needed(size[i], size[j])
-            ok = np.minimum(size[i] - position[i], size[j] - position[j]) >= need
+            ok = np.minimum(left[i], left[j]) >= need
             i, j, need = i[ok], j[ok], need[ok]
             apart = np.zeros(len(i), dtype=np.int64)
             for k in range(mark.shape[1]):

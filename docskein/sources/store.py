@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docskein.functions.ranking import latest
+from docskein.session import shuffles_dropped, stored
 
 
 def merge_upsert(current: DataFrame, changes: DataFrame, key: list[str], version: list[str]) -> DataFrame:
@@ -76,13 +77,31 @@ def chunk_rows(chunks: DataFrame) -> DataFrame:
     })
 
 
+TASK_BYTES = 64 << 20  # text that a writing task sorts by partition
+
+
+def _volume(rows: DataFrame) -> int:
+    """Bytes of the texts of ``rows``, with a little for each row."""
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in rows.dtypes if kind == "string"]
+    return rows.agg(F.sum(sum(sizes, F.lit(64).cast("bigint")))).first()[0] or 0
+
+
 def write_chunks(chunks: DataFrame, path: str, version: list[str] | None = None, mode: str = "overwrite") -> None:
     """Write chunks, latest per ``chunk_id``, as Parquet partitioned by origin and repository.
 
-    ``mode='overwrite'`` on a session with dynamic partition overwrite replaces touched partitions only.
+    ``mode='overwrite'`` on a session with dynamic partition overwrite replaces touched partitions only. The latest rows are
+    found among keys and versions alone; texts are stored once, then meet the numbers of the chosen rows by hash, in as many
+    parts as their volume asks for. So no task sorts more than about ``TASK_BYTES`` of text, however large the table or often a key.
     """
     rows = chunk_rows(chunks)
     if version:
-        rows = latest(rows, ["chunk_id"], [F.desc(v) for v in version])
-    (rows.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-     .partitionBy("doc_origin", "repository").parquet(path))
+        held = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "chunk-rows", "zstd")
+        volume = _volume(held)
+        # small tables still keep all cores busy
+        parts = max(1, -(-volume // TASK_BYTES), min(held.sparkSession.sparkContext.defaultParallelism, -(-volume // (TASK_BYTES >> 4))))
+        last = latest(held.select("chunk_id", "_row", *version), ["chunk_id"], [F.desc(v) for v in version]).select("_row")
+        rows = held.repartition(parts, "_row").join(
+            last.repartition(parts, "_row").hint("shuffle_hash"), "_row", "left_semi").drop("_row")
+    with shuffles_dropped(chunks.sparkSession):
+        (rows.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+         .partitionBy("doc_origin", "repository").parquet(path))

@@ -166,3 +166,18 @@ def test_defined_cases(docs_of):
     held = docs_of([(i, "x y") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2])
     got = mixer.score(held, mixer.fit(held)).collect()
     assert got and all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in got)
+
+
+def test_counter_blocks_travel_packed():
+    half = (2 << mixer.SLOTS) // mixer.BLOCKS
+    counts = np.zeros(half, dtype=np.float32)
+    counts[[3, 70]] = 2, 5
+    blob = pa.compress(counts.tobytes(), codec="zstd", asbytes=True)
+    rows = pa.RecordBatch.from_arrays([pa.array([17, 17], pa.int32()), pa.array([4, 4], pa.int32()), pa.array([blob, blob], pa.binary())],
+                                      names=["block", "wide", "counts"])
+    (out,) = mixer._sum_blocks(iter([rows]))
+    packed = out.column(1)[0].as_py()
+    assert len(packed) < counts.nbytes // 100
+    table = mixer.Packed({out.column(0)[0].as_py(): packed}).table(1).ravel()
+    assert np.flatnonzero(table).tolist() == [half + 3, half + 70] and table[[half + 3, half + 70]].tolist() == [4, 10]
+    assert not mixer.Packed({}).table(0).any()

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docskein.llm import setjoin
@@ -100,3 +101,21 @@ def test_ids_that_repeat_with_other_texts(docs_of):
     again = [(1, six), (1, six), (1, "else"), (2, "else")]
     got = sorted((r.doc_id, r.n_lines, r.removed) for r in setjoin.line_report(docs_of(again)).collect())
     assert [g[:2] for g in got] == [(1, 1), (1, 6), (1, 6), (2, 1)] and all(g[2] == [] for g in got[1:3])
+
+
+def test_sets_of_lines_and_clashing_digests(monkeypatch):
+    texts = ["b a b\n\na c", "", "a\n \nd b", ""]
+    counters = np.arange(1 << setjoin.COUNTERS)
+    for given in (None, counters):
+        sets = setjoin.LineSets(pa.array(texts), given)
+        lines = [(i, k, x.split()) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n"))]
+        assert list(zip(sets.doc, sets.number, sets.size, strict=True)) == [(i, k, len(set(w))) for i, k, w in lines]
+        found = [frozenset(sets.token[a:b].tolist()) for a, b in zip(sets.first[:-1], sets.first[1:], strict=True)]
+        assert len(set().union(*found)) == 4 and found[0] == found[2] - found[2] | found[0] and len(found[0] & found[2]) == 1
+    # two lines of one set, one of another, and one of a third that matches none: all mixed hashes equal
+    rows = np.array([(1, 10, 0, 0, 5, 77), (1, 10, 0, 0, 3, 77), (1, 10, 0, 1, 3, 88), (2, 10, 0, 2, 9, 99)], dtype=setjoin.ROW)
+    sketch = np.zeros((4, 2), dtype=np.uint64)
+    plain = sorted(map(tuple, np.concatenate(list(setjoin.candidates_in(rows, sketch, 0, 3))).tolist()))
+    monkeypatch.setattr(setjoin, "mix", lambda h: h * np.uint64(0))
+    clashing = sorted(map(tuple, np.concatenate(list(setjoin.candidates_in(rows, sketch, 0, 3))).tolist()))
+    assert plain == clashing == [(3, 1, 3, 0), (5, 0, 3, 0)]

@@ -122,3 +122,51 @@ def test_similar_tickets_in_parts(spark, monkeypatch):
     got = {r.ticket_id: r.similar_count for r in tickets.similar_counts(t.filter("ticket_id IS NOT NULL")).collect()}
     sets = [x for x in sets if x[0] is not None]
     assert got == {i: sum(1 for j, b in sets if i != j and a and b and 2 * len(a & b) >= len(a | b)) for i, a in sets}
+
+
+def test_chunk_texts_are_written_in_bounded_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "TASK_BYTES", 1 << 14)
+    rows = [(i, b, "INTERNAL", "HR", None, 1, None, f"{i}-{b} " + "x" * 200) for i in range(600) for b in (1, 2)]
+    rows += [(7, b, "INTERNAL", "HR", None, 1, None, f"7-{b}") for b in range(3, 400)]  # one chunk that changed very often
+    chunks = spark.createDataFrame(rows, "chunk_id long, batch int, doc_origin string, repository string, department string, "
+                                         "priority_tier int, access_roles array<string>, content string")
+    path = str(tmp_path / "chunks")
+    store.write_chunks(chunks, path, ["batch"])
+    back = spark.read.parquet(path)
+    got = {r.chunk_id: (r.batch, r.content.split(" ")[0]) for r in back.collect()}
+    assert back.count() == 600 and got == {i: (399, "7-399") if i == 7 else (2, f"{i}-2") for i in range(600)}
+    per_file = [r["n"] for r in back.groupBy(F.input_file_name()).agg(F.sum(F.octet_length("content")).alias("n")).collect()]
+    assert len(per_file) > 8 and max(per_file) <= 2 << 14
+
+
+def test_chunk_texts_are_cut_once(spark, tables):
+    from docskein.operators import enrich
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame([(i, f"some words of chunk {i}") for i in range(50)], "chunk_id long, content string")
+    out = enrich.hash_embed(rows.withColumn("content", counted.asNondeterministic()("content")))
+    assert out.count() == len(out.collect()) == 50 and seen.value == 50
+    assert tables.chunks._jdf.queryExecution().executedPlan().toString().count("split(") == 1
+
+
+def test_pieces_keep_the_order_of_chunks():
+    import numpy as np
+    import pyarrow as pa
+
+    from docskein.sources import termstore
+
+    terms = pa.array([[("b", 2), ("c", 1)], [("a", 3)], [("a", 1), ("b", 1)]], pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())])))
+    rows = pa.table({"piece": pa.array([0] * 3, pa.int64()), "chunk_id": pa.array([9, 4, 7], pa.int64()), "copies": pa.array([1, 5, 2], pa.int64()),
+                     "dl": pa.array([3, 30, 20], pa.int32()), "labels": pa.array([["x"], [], ["x"]], pa.list_(pa.string())), "terms": terms})
+    got = termstore._piece_blocks((pa.scalar(0, pa.int64()),), rows).to_pylist()
+    assert [(r["key"], r["df"], r["max_tf"], r["min_dl"]) for r in got[:-1]] == [
+        ("a", 7, 3, 20), ("b", 3, 2, 3), ("c", 1, 1, 3), ("\u0001x", 3, 0, 3)]
+    last = {c: np.frombuffer(got[-1][c], dtype=np.int32).tolist() for c in ("offsets", "ids", "tfs", "lengths")}
+    assert last == {"offsets": [0, 2, 4, 5, 7], "ids": [0, 1, 1, 2, 2, 1, 2], "tfs": [3, 1, 1, 2, 1, 0, 0], "lengths": [30, 20, 3]}
+    assert termstore.unpacked_names(pa.scalar(got[-1]["names"], pa.binary())).to_pylist() == ["4", "7", "9"]

@@ -8,8 +8,9 @@ of its set. Rows of a slice travel as packed arrays per partition of the word ha
 
 Within a word, candidates must pass the length filter, the prefix bound of the shorter line, the positional filter (words
 that can still be shared suffice) and the sketch: the symmetric difference has at least as many words as the sketches
-have differing bits. What remains is verified on the real sets. Every line keeps its few earliest candidates; lines for
-which none of these is confirmed while more were seen get all of theirs in a second pass, so nothing is capped.
+have differing bits. What remains is verified on the real sets. Every line keeps its ``WIDE`` earliest candidates, of which
+the first ``KEPT`` are verified, and the others only where none of these is confirmed; lines that have none after that
+while more were seen get all of theirs in a second pass over the texts, so nothing is capped.
 
 Sketches hold 128, 512 or 4096 bits by the size of the longer line; a line that may meet a longer class joins that too.
 Equal sets are collapsed within a slice first, so a line that fills a third of the corpus sends one row per slice, and
@@ -23,6 +24,7 @@ one document; rows that repeat an id with another text are documents of their ow
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,7 @@ COUNTERS = 18  # log2 of the hashed counters of the word order
 PARTS = 64  # least number of partitions of prefix words; more for larger inputs
 BYTES_PER_PART = 24 << 20  # text whose prefix words one partition holds
 KEPT = 3  # earliest candidates of a line that are verified first
+WIDE = 16  # earliest candidates of a line that are known without reading the texts again
 CLASSES = ((160, 2), (640, 8), (1 << 40, 64))  # largest size, 64-bit words of sketch
 SLICE = 5 << 20
 BLOOM = 1 << 20  # bits that stand for open lines
@@ -53,6 +56,11 @@ def needed(a, b, threshold: float = THRESHOLD):
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
 
 
+def needed_of(size, threshold: float = THRESHOLD):
+    """Words of a set of which any match has at least so many."""
+    return np.ceil(threshold * size - 1e-9).astype(np.int64)
+
+
 def prefix(size, threshold: float = THRESHOLD):
     """Words of a set of which a match must share one."""
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
@@ -63,23 +71,53 @@ def short_prefix(size, threshold: float = THRESHOLD):
     return size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9).astype(np.int64) + 1
 
 
+def _by_count(uniq: np.ndarray, counters: np.ndarray) -> np.ndarray:
+    """Order of distinct hashes by their counter, ties by hash."""
+    count = counters[(uniq >> _U(64 - COUNTERS)).astype(np.int64)]
+    key = count.astype(np.uint64) << _U(32) | uniq >> _U(32)
+    order = np.argsort(key)
+    key = key[order]
+    return np.lexsort((uniq, count)) if (key[1:] == key[:-1]).any() else order
+
+
+@dataclass
+class Sought:
+    """What a line must have to match an open one: a word of its prefix, and enough words of any open line for the smallest."""
+
+    rare: np.ndarray
+    words: np.ndarray
+    least: int
+
+    def lines(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether a line may match; words that repeat in it count each, so no line that does is missed."""
+        slot = (hashes % _U(WORD_BLOOM)).astype(np.int64)
+        return (per_doc(self.rare[slot], first) > 0) & (per_doc(self.words[slot], first) >= self.least)
+
+
 class LineSets:
-    """Word sets of the lines of a slice, rarest word first where ``counters`` tell: ``token[first[i]:first[i + 1]]`` of line i."""
+    """Word sets of the lines of a slice, rarest word first where ``counters`` tell: ``token[first[i]:first[i + 1]]`` of line i.
+
+    Lines that ``only`` rules out are left empty.
+    """
 
-    def __init__(self, texts: pa.Array, counters: np.ndarray | None):
+    def __init__(self, texts: pa.Array, counters: np.ndarray | None, only: Sought | None = None):
         self.buf, self.offsets = text_bytes(texts)
         self.start, self.end, self.doc = lines_in(self.buf, self.offsets)
         heads = np.flatnonzero(np.append(True, self.doc[1:] != self.doc[:-1])) if len(self.doc) else self.doc
         self.number = np.arange(len(self.doc)) - np.repeat(heads, np.diff(np.append(heads, len(self.doc))))
         w: Words = words_in(self.buf, self.offsets)
-        code, uniq = pd.factorize(w.hashes())
+        # words and lines both ascend, so the few lines are looked up among the words
+        heads = np.searchsorted(w.start, self.start)
+        counts, hashes = np.diff(np.append(heads, len(w.start))), w.hashes()
+        if only is not None:
+            hit = only.lines(hashes, np.append(heads, len(hashes)))
+            hashes, counts = hashes[np.repeat(hit, counts)], np.where(hit, counts, 0)
+        code, uniq = pd.factorize(hashes, size_hint=len(hashes) // 4)
         if counters is not None:
-            order = np.lexsort((uniq, counters[(uniq >> _U(64 - COUNTERS)).astype(np.int64)]))  # ties by hash
+            order = _by_count(uniq, counters)
             rank = np.empty(len(uniq), dtype=np.int64)
             rank[order] = np.arange(len(uniq))
             code, uniq = rank[code], uniq[order]
-        # words and lines both ascend, so the few lines are looked up among the words
-        counts = np.diff(np.append(np.searchsorted(w.start, self.start), len(w.start)))
         bits = len(uniq).bit_length()
         key = np.sort(np.repeat(np.arange(len(counts)) << bits, counts) | code)
         key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
@@ -124,12 +162,18 @@ def word_counters(texts: DataFrame) -> np.ndarray:
 def sketches(token: np.ndarray, line: np.ndarray, n: int, width: int) -> np.ndarray:
     """Parity sketch of each set: the XOR of one bit per word, in ``width`` 64-bit words."""
     bit = mix(token) & _U(64 * width - 1)
+    if width <= 2 and n:
+        # words of a set stand together, and no set is empty
+        head = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        one, word = _U(1) << (bit & _U(63)), bit >> _U(6)
+        return np.stack([np.bitwise_xor.reduceat(np.where(word == _U(k), one, _U(0)), head) for k in range(width)], axis=1)
     flips = np.bincount(line * (64 * width) + bit.astype(np.int64), minlength=n * 64 * width) & 1
     packed = np.packbits(flips.astype(np.uint8).reshape(n, -1), axis=1, bitorder="little")
     return packed.view(np.uint64).reshape(n, width)
 
 
 FOUND = "doc_id long, line int, first_doc long, first_line int, sure boolean"
+FOUND_NAMES = ("doc_id", "line", "first_doc", "first_line", "sure")
 _SENT = pa.schema([("part", pa.int32()), ("rows", pa.binary()), ("sketch", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int32()),
                    ("first_doc", pa.int64()), ("first_line", pa.int32())])
 SENT = "part int, rows binary, sketch binary, doc_id long, line int, first_doc long, first_line int"
@@ -161,7 +205,7 @@ def _targets(token: np.ndarray, piece: np.ndarray, parts: int, heavy: np.ndarray
 def _emit(counters_sent, parts: int, only_sent=None):
     """Packed prefix rows by partition and class; lines that repeat a line of their own slice pass as they are.
 
-    ``only_sent`` restricts rows to words of a bit set, and the work to documents that hold one.
+    ``only_sent`` restricts rows to prefix words of open lines, and the work to lines that may match one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,11 +213,7 @@ def _emit(counters_sent, parts: int, only_sent=None):
         heavy = np.sort(np.argsort(-counters, kind="stable")[:HEAVY])
         only = None if only_sent is None else only_sent.value
         for rows in slices(batches, limit=SLICE):
-            if only is not None:
-                w = words_in(*text_bytes(rows.column(1)))
-                hit = per_doc(only[(w.hashes() % _U(WORD_BLOOM)).astype(np.int64)], w.first) > 0
-                rows = rows.filter(pa.array(hit))
-            sets = LineSets(rows.column(1), counters)
+            sets = LineSets(rows.column(1), counters, only)
             ids = rows.column(0).to_numpy()
             lines = np.flatnonzero(sets.size > 0)
             if not len(lines):
@@ -207,7 +247,7 @@ def _emit(counters_sent, parts: int, only_sent=None):
                 position = mine - sets.first[lines][owner[mine]]
                 keep = position < most[owner[mine]]
                 if only is not None:
-                    keep &= only[(sets.token[mine] % _U(WORD_BLOOM)).astype(np.int64)]
+                    keep &= only.rare[(sets.token[mine] % _U(WORD_BLOOM)).astype(np.int64)]
                 if not keep.any():
                     continue
                 mine, position = mine[keep], position[keep]
@@ -249,6 +289,7 @@ def candidates_in(rows: np.ndarray, sketch: np.ndarray, kind: int, kept: int | N
     alone = (token != token[first]) | (digest != digest[first])  # another set with the same mixed hash
     head = alone | (first == np.arange(len(first)))
     again = np.flatnonzero(~head & ((doc != doc[first]) | (line != line[first])))
+    again = again[rows["position"][order[again]] == 0]  # equal sets meet in every word: their first one tells
     if wanted is not None:
         again = again[wanted[bloom_slot(doc[again], line[again].astype(np.int64))]]
     if len(again):  # equal sets need no search
@@ -260,7 +301,10 @@ def candidates_in(rows: np.ndarray, sketch: np.ndarray, kind: int, kept: int | N
     begin = np.repeat(begin, np.diff(np.append(begin, len(token))))
     low, high = (CLASSES[kind - 1][0] if kind else 0), CLASSES[kind][0]
     inside = position < short_prefix(size)  # the shorter one must meet within its short prefix
-    least = np.ceil(THRESHOLD * size - 1e-9).astype(np.int64)  # size that a match of a longer line has at least
+    # sizes that a match has; the longer line of a pair decides on its class
+    least = np.maximum(np.ceil(THRESHOLD * size - 1e-9).astype(np.int64), np.where(size > low, 0, low + 1)).astype(np.int32)
+    most = np.where(size <= high, np.minimum(np.floor((size + 1e-9) / THRESHOLD), high), -1).astype(np.int32)
+    small = size.astype(np.int32)
     left = size - position
     hits = np.zeros(len(size), dtype=np.int64)
     live = np.flatnonzero(np.arange(len(size)) > begin)
@@ -273,11 +317,10 @@ def candidates_in(rows: np.ndarray, sketch: np.ndarray, kind: int, kept: int | N
             from_ = begin[j] + turn * BLOCK
             n = np.minimum(j - from_, BLOCK)
             i = np.repeat(from_ - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            j = np.repeat(j, n)
+            a = small[i]
+            ok = np.flatnonzero((a >= np.repeat(least[j], n)) & (a <= np.repeat(most[j], n)))
+            i, j = i[ok], np.repeat(j, n)[ok]
             a, b = size[i], size[j]
-            big = np.maximum(a, b)
-            ok = (big > low) & (big <= high) & (a >= least[j]) & (b >= least[i])
-            i, j, a, b = i[ok], j[ok], a[ok], b[ok]
             ok = (inside[i] | (a > b)) & (inside[j] | (b > a))
             i, j = i[ok], j[ok]
             need = needed(size[i], size[j])
@@ -347,28 +390,63 @@ def _search(kept: int | None, wanted_sent=None):
     return run
 
 
+PICKED = "doc_id long, line int, first_doc long, first_line int, sure boolean, rank int, n int"
+
+
+def _pick(kept: int):
+    """Of lines that equal an earlier one, the earliest such; of others the ``kept`` earliest candidates, with their rank from
+    0 and the number of candidates seen, more than ``kept`` where there are more."""
+    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("first_doc", pa.int64()), ("first_line", pa.int32()),
+                        ("sure", pa.bool_()), ("rank", pa.int32()), ("n", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in FOUND_NAMES], axis=1) for b in batches]
+        p = np.concatenate(held)
+        p[:, 4] = 1 - p[:, 4]  # sure ones come first
+        p = p[np.lexsort((p[:, 3], p[:, 2], p[:, 4], p[:, 1], p[:, 0]))]
+        p = p[np.append(True, (p[1:] != p[:-1]).any(axis=1))]
+        head = np.flatnonzero(np.append(True, (p[1:, :2] != p[:-1, :2]).any(axis=1)))
+        n = np.diff(np.append(head, len(p)))
+        rank, sure = np.arange(len(p)) - np.repeat(head, n), np.repeat(p[head, 4] == 0, n)
+        keep = rank < np.where(sure, 1, kept)
+        yield batch(schema, *p[keep, :4].T, sure[keep], rank[keep], np.repeat(n, n)[keep])
+
+    return run
+
+
+def picked_of(found: DataFrame, parts: int, kept: int) -> DataFrame:
+    """``PICKED`` of the lines of ``found``. Partitions each name a line's earliest partners, so the earliest of all are among them."""
+    dealt = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "line"), F.lit(parts)).cast("int"))
+    return dealt.groupBy("bucket").applyInArrow(_pick(kept), PICKED)
+
+
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word sets of the wanted lines of each document: (doc_id, line, words)."""
     schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("words", pa.list_(pa.int64()))])
     for rows in slices(batches):
-        sets = LineSets(rows.column(1), None)
         wanted = rows.column(2)
         owner = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
         number = wanted.flatten().to_numpy().astype(np.int64)
-        line = np.searchsorted(sets.doc, owner) + number
-        size = sets.size[line]
-        first = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(sets.first[line] - first[:-1], size) + np.arange(first[-1])
+        buf, offsets = text_bytes(rows.column(1))
+        start, end, doc = lines_in(buf, offsets)
+        line = np.searchsorted(doc, owner) + number
+        # the wanted lines alone, each as a text of its own
+        data = [buf[a:b] for a, b in zip(start[line].tolist(), end[line].tolist(), strict=True)]
+        ends = np.concatenate([[0], np.cumsum(end[line] - start[line])])
+        alone = pa.LargeStringArray.from_buffers(len(line), pa.py_buffer(ends.astype(np.int64)),
+                                                 pa.py_buffer(np.concatenate([*data, np.empty(0, np.uint8)])))
+        sets = LineSets(alone, None)
         yield pa.RecordBatch.from_arrays(
             [rows.column(0).take(pa.array(owner)), pa.array(number, pa.int32()),
-             pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(sets.token[at].view(np.int64)))], schema=schema)
+             pa.ListArray.from_arrays(pa.array(sets.first, pa.int32()), pa.array(sets.token.view(np.int64)))], schema=schema)
 
 
 def _prefix_words(counters_sent):
-    """Bits of the prefix words of each set."""
+    """Bits of the prefix words of each set (``kind`` 0) and of all its words (1), and the least size of a set (2)."""
+    schema = pa.schema([("kind", pa.int32()), ("slot", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, seen = counters_sent.value, np.zeros(WORD_BLOOM, dtype=bool)
+        counters, seen, least = counters_sent.value, np.zeros((2, WORD_BLOOM), dtype=bool), 1 << 40
         for rows in batches:
             first = rows.column(0).offsets.to_numpy()
             first = first - first[0]
@@ -377,18 +455,25 @@ def _prefix_words(counters_sent):
             owner = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((token, counters[(token >> _U(64 - COUNTERS)).astype(np.int64)], owner))
             keep = np.arange(len(token)) - first[owner] < prefix(size)[owner]
-            seen[(token[order][keep] % _U(WORD_BLOOM)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], names=["slot"])
+            seen[0, (token[order][keep] % _U(WORD_BLOOM)).astype(np.int64)] = True
+            seen[1, (token % _U(WORD_BLOOM)).astype(np.int64)] = True
+            least = min(least, int(size.astype(np.int64).min(initial=least)))
+        kind, slot = np.nonzero(seen)
+        yield batch(schema, np.append(kind, 2), np.append(slot, least))
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``pairs`` with ``similar``: whether the Jaccard similarity of the two word sets reaches the threshold, sets)."""
+def verified(pairs: DataFrame, texts: DataFrame, single: bool) -> tuple[DataFrame, DataFrame]:
+    """(``pairs`` with ``similar``: whether the Jaccard similarity of the two word sets reaches the threshold, sets).
+
+    ``single`` tells that no id repeats in ``texts``.
+    """
     ends = pairs.select("doc_id", "line").unionByName(pairs.select(F.col("first_doc").alias("doc_id"), F.col("first_line").alias("line")))
     lines = ends.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))  # a document's own lines
     once = texts.join(lines.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "lines")
-    sets = stored(once.mapInArrow(_sets_of, "doc_id long, line int, words array<long>").dropDuplicates(["doc_id", "line"]), "sets")
+    found = once.mapInArrow(_sets_of, "doc_id long, line int, words array<long>")
+    sets = stored(found if single else found.dropDuplicates(["doc_id", "line"]), "sets")
     left = sets.select("doc_id", "line", F.col("words").alias("a"))
     right = sets.select(F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"), F.col("words").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
@@ -396,7 +481,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         "similar", both >= F.ceil(F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.size("a") + F.size("b")) - 1e-9)).drop("a", "b"), sets
 
 
-def repeated_lines(docs: DataFrame, kept: int = KEPT) -> DataFrame:
+def repeated_lines(docs: DataFrame, kept: int = KEPT, wide: int = WIDE) -> DataFrame:
     """(doc_id, line, first_doc, first_line, text_key): every line that matches an earlier one, with the earliest found.
 
     Ids name the texts. Where an id has several texts, each of them gets a number in the order of id and hash instead, and
@@ -407,61 +492,68 @@ def repeated_lines(docs: DataFrame, kept: int = KEPT) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text")).alias("volume"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
     no_key = F.lit(None).cast("long").alias("text_key")
     if size["n"] == size["ids"]:
-        return _repeated(texts, size["volume"] or 0, kept).select("*", no_key)
+        return _repeated(texts, size["volume"] or 0, kept, wide, True).select("*", no_key)
     keyed = texts.withColumn("text_key", F.xxhash64("text"))
     names = stored(keyed.select("doc_id", "text_key").distinct(), "text-keys")
     if names.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return _repeated(texts, size["volume"] or 0, kept).select("*", no_key)
+        return _repeated(texts, size["volume"] or 0, kept, wide, False).select("*", no_key)
     named = stored(numbered(names, [F.col("doc_id"), F.col("text_key")], "place"), "text-numbers")
     once = stored(keyed.join(named, ["doc_id", "text_key"]).select(F.col("place").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
-    found = _repeated(once, size["volume"] or 0, kept)
+    found = _repeated(once, size["volume"] or 0, kept, wide, True)
     own = named.select(F.col("place").alias("_own"), F.col("doc_id").alias("_id"), "text_key")
     first = named.select(F.col("place").alias("_first"), F.col("doc_id").alias("_first_id"))
     return found.join(own, F.col("doc_id") == F.col("_own")).join(first, F.col("first_doc") == F.col("_first")).select(
         F.col("_id").alias("doc_id"), "line", F.col("_first_id").alias("first_doc"), "first_line", "text_key")
 
 
-def _owned(docs: DataFrame, lines: DataFrame, names: tuple[str, str]) -> Column:
-    """Whether a row of ``docs`` is the text that a row of ``lines`` (id, key in ``names``) speaks of."""
+def _owned(doc_id: Column, text_key: Column, lines: DataFrame, names: tuple[str, str]) -> Column:
+    """Whether a row of this id and hash of the text is the text that a row of ``lines`` (id, key in ``names``) speaks of."""
     key = lines[names[1]]
-    return (docs["doc_id"].cast("long") == lines[names[0]]) & (key.isNull() | (key == F.xxhash64(docs["text"].cast("string"))))
+    return (doc_id == lines[names[0]]) & (key.isNull() | (key == text_key))
 
 
-def _repeated(texts: DataFrame, volume: int, kept: int) -> DataFrame:
-    """``repeated_lines`` of (doc_id, text) where rows of one id have one text."""
+def _repeated(texts: DataFrame, volume: int, kept: int, wide: int, single: bool) -> DataFrame:
+    """``repeated_lines`` of (doc_id, text) where rows of one id have one text, and one row if ``single``."""
+    wide = max(wide, kept + 1)  # an open line has another candidate to go on with
     spark = texts.sparkSession
     counters = spark.sparkContext.broadcast(word_counters(texts))  # fixed size
     parts = max(PARTS, -(-volume // BYTES_PER_PART))
     sent = texts.mapInArrow(_emit(counters, parts), SENT)
-    found = stored(sent.groupBy("part").applyInArrow(_search(kept), FOUND), "found")
+    found = stored(picked_of(sent.groupBy("part").applyInArrow(_search(wide), FOUND), parts, wide), "found")
     key = ["doc_id", "line"]
-    # partitions each name a line's earliest partners: the earliest of all, and whether there are more
-    near = found.filter("NOT sure").groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("first_doc", "first_line"))).alias("p")).select(
-        *key, F.slice("p", 1, kept).alias("p"), (F.size("p") > kept).alias("more"))
-    near = near.join(found.filter("sure").select(*key), key, "left_anti")
-    pairs = near.select(*key, "more", F.explode("p").alias("x")).select(*key, "more", "x.first_doc", "x.first_line")
-    checked, sets = verified(stored(pairs, "pairs"), texts)
-    first = stored(checked.groupBy(*key, "more").agg(
-        F.min(F.when(F.col("similar"), F.struct("first_doc", "first_line"))).alias("m")), "verified")
+    earliest_similar = F.min(F.when(F.col("similar"), F.struct("first_doc", "first_line"))).alias("m")
+    near = found.filter("NOT sure").drop("sure")
+    checked, _ = verified(near.filter(F.col("rank") < kept), texts, single)
+    first = stored(checked.groupBy(*key, "n").agg(earliest_similar), "verified")
     result = first.filter("m IS NOT NULL").select(*key, "m.first_doc", "m.first_line").unionByName(
         found.filter("sure").select(*key, "first_doc", "first_line"))
-    open_ = stored(first.filter("m IS NULL AND more").select(*key), "open")
+    open_ = stored(first.filter(F.col("m").isNull() & (F.col("n") > kept)).select(*key), "open")
+    if open_.isEmpty():
+        return result  # a line is in one of the parts, once
+    later = stored(near.filter(F.col("rank") >= kept).join(open_, key, "left_semi"), "later")
+    checked, sets = verified(later, texts, single)
+    second = stored(checked.groupBy(*key, "n").agg(earliest_similar), "verified")
+    result = result.unionByName(second.filter("m IS NOT NULL").select(*key, "m.first_doc", "m.first_line"))
+    open_ = stored(second.filter(F.col("m").isNull() & (F.col("n") > wide)).select(*key), "open")
     if not open_.isEmpty():
         # a bit per hashed line: at most BLOOM
         slot = open_.mapInArrow(_slots, "slot long").distinct().collect()
         wanted = np.zeros(BLOOM, dtype=bool)
         wanted[[r["slot"] for r in slot]] = True
-        # the second pass reads all texts again, but works only on documents with a prefix word of an open line
-        of_words = sets.join(open_, key, "left_semi").select("words").mapInArrow(_prefix_words(counters), "slot long").distinct().collect()
-        some = np.zeros(WORD_BLOOM, dtype=bool)
-        some[[r["slot"] for r in of_words]] = True
-        again = texts.mapInArrow(_emit(counters, parts, spark.sparkContext.broadcast(some)), SENT)
+        # the second pass reads all texts again, but works only on lines that may match an open one
+        of_words = sets.join(open_, key, "left_semi").select("words").mapInArrow(
+            _prefix_words(counters), "kind int, slot long").distinct().toArrow()  # at most two of WORD_BLOOM
+        kind, slot = of_words["kind"].to_numpy(), of_words["slot"].to_numpy()
+        some = np.zeros((2, WORD_BLOOM), dtype=bool)
+        some[kind[kind < 2], slot[kind < 2]] = True
+        least = int(needed_of(slot[kind == 2].min()))
+        again = texts.mapInArrow(_emit(counters, parts, spark.sparkContext.broadcast(Sought(some[0], some[1], least))), SENT)
         rest = again.groupBy("part").applyInArrow(_search(None, spark.sparkContext.broadcast(wanted)), FOUND).select(
             *key, "first_doc", "first_line").distinct().join(open_, key, "left_semi")
-        more = verified(stored(rest, "rest"), texts)[0].filter("similar").groupBy(*key).agg(
+        more = verified(stored(rest, "rest"), texts, single)[0].filter("similar").groupBy(*key).agg(
             F.min(F.struct("first_doc", "first_line")).alias("m"))
         result = result.unionByName(more.select(*key, "m.first_doc", "m.first_line"))
-    return result.groupBy(*key).agg(F.min(F.struct("first_doc", "first_line")).alias("m")).select(*key, "m.first_doc", "m.first_line")
+    return result
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,10 +566,12 @@ def line_report(docs: DataFrame) -> DataFrame:
     matches."""
     gone = repeated_lines(docs).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("line", "first_doc"))).alias("g")).withColumnsRenamed(
         {"doc_id": "_id", "text_key": "_key"})
-    lines = F.when(docs["text"].isNotNull(), F.size(F.split(docs["text"], "\n", -1))).otherwise(0)
+    text = docs["text"].cast("string")
+    lines = F.when(text.isNotNull(), F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
     none = F.array().cast("array<struct<line:int,first_doc:bigint>>")
-    return docs.join(gone, _owned(docs, gone, ("_id", "_key")), "left").select(
-        docs["doc_id"].cast("long").alias("doc_id"), lines.alias("n_lines"), gone["g"]).withColumn("g", F.coalesce("g", none)).select(
+    # the texts themselves need not meet their lines
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), lines.alias("n_lines"), F.xxhash64(text).alias("_text"))
+    return rows.join(gone, _owned(rows["doc_id"], rows["_text"], gone, ("_id", "_key")), "left").withColumn("g", F.coalesce("g", none)).select(
         "doc_id", "n_lines", F.col("g.line").alias("removed"), F.array_distinct(F.col("g.first_doc")).alias("first_docs"))
 
 
@@ -485,7 +579,8 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that match an earlier line; other columns are unchanged."""
     gone = repeated_lines(docs).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("_gone")).withColumnsRenamed(
         {"doc_id": "_id", "text_key": "_key"})
-    joined = docs.join(gone, _owned(docs, gone, ("_id", "_key")), "left").select(*[docs[c] for c in docs.columns], gone["_gone"].alias("__gone"))
+    owned = _owned(docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string")), gone, ("_id", "_key"))
+    joined = docs.join(gone, owned, "left").select(*[docs[c] for c in docs.columns], gone["_gone"].alias("__gone"))
     names = docs.columns
     at, last = names.index("text"), len(names)
 

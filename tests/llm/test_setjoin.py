@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from docskein.llm import setjoin
+from docskein.llm.words import words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -119,3 +120,28 @@ def test_sets_of_lines_and_clashing_digests(monkeypatch):
     monkeypatch.setattr(setjoin, "mix", lambda h: h * np.uint64(0))
     clashing = sorted(map(tuple, np.concatenate(list(setjoin.candidates_in(rows, sketch, 0, 3))).tolist()))
     assert plain == clashing == [(3, 1, 3, 0), (5, 0, 3, 0)]
+
+
+def test_texts_are_read_for_candidates_once(docs_of, monkeypatch):
+    """Lines whose first candidates fail meet the others without another pass over the texts, unless there are very many."""
+    names = [f"x{k}" for k in range(4000)]
+    bit = setjoin.mix(words(pa.array([" ".join(names)])).hashes()) & np.uint64(127)
+    one, two = ([x for x, b in zip(names, bit.tolist(), strict=True) if b == k][:6] for k in (5, 9))
+    # variants that share 8 of 12 words, with equal sketches; the last line is like the last variant
+    lines = [" ".join([f"s{k}" for k in range(8)] + list(x)) for x in zip(one, two, strict=True)]
+    rows = list(enumerate([*lines, lines[-1] + " more"])) + [(100 + i, " ".join([x] * 50)) for i, x in enumerate(one + two)]
+    passes, checks, emit, check = [], [], setjoin._emit, setjoin.verified
+    monkeypatch.setattr(setjoin, "_emit", lambda *given: passes.append(len(given)) or emit(*given))
+    monkeypatch.setattr(setjoin, "verified", lambda *given: checks.append(1) or check(*given))
+    for wide, emitted, verified in ((setjoin.WIDE, [2], 2), (1, [2, 3], 3)):
+        got = [(r.doc_id, r.line, r.first_doc) for r in setjoin.repeated_lines(docs_of(rows), 1, wide).collect()]
+        assert got == [(6, 0, 5)] and passes == emitted and len(checks) == verified
+        passes.clear(), checks.clear()
+
+
+def test_found_pairs_of_a_line_are_picked_together():
+    pairs = [(7, 1, 9, 0, False), (7, 1, 2, 0, False), (7, 1, 2, 0, False), (7, 1, 3, 4, False), (8, 0, 5, 5, False), (8, 0, 6, 1, True), (8, 0, 4, 2, True)]
+    rows = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pairs, strict=True)], names=list(setjoin.FOUND_NAMES))
+    (out,) = setjoin._pick(2)(iter([rows.slice(0, 3), rows.slice(3)]))
+    assert list(zip(*(c.to_pylist() for c in out.columns), strict=True)) == [
+        (7, 1, 2, 0, False, 0, 3), (7, 1, 3, 4, False, 1, 3), (8, 0, 4, 2, True, 0, 3)]

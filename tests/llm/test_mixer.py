@@ -181,3 +181,26 @@ def test_counter_blocks_travel_packed():
     table = mixer.Packed({out.column(0)[0].as_py(): packed}).table(1).ravel()
     assert np.flatnonzero(table).tolist() == [half + 3, half + 70] and table[[half + 3, half + 70]].tolist() == [4, 10]
     assert not mixer.Packed({}).table(0).any()
+
+
+def test_common_beginnings_are_looked_at_once():
+    rng = np.random.default_rng(7)
+    long = b"q" * 700
+    tokens = [b"abcd", b"abce", b"ab", b"abcdefghij", b"abcdefghik", b"", long, long[:300], long + b"z", "ééa".encode(), "ééb".encode()] * 2
+    groups, times = rng.integers(0, 3, len(tokens)), rng.integers(1, 4, len(tokens))
+    order = mixer.by_prefix(tokens, groups)
+    assert sorted(order.tolist()) == list(range(len(tokens)))
+    tables = np.zeros((mixer.PREDICTORS, 1 << mixer.SLOTS, 2))
+    mixer.count_bits(tokens, groups, times, tables)
+    alone = np.zeros_like(tables)
+    for i in range(len(tokens)):
+        mixer.count_bits(tokens[i:i + 1], groups[i:i + 1], times[i:i + 1], alone)
+    assert (tables == alone).all()
+    model = mixer.Model(**mixer.Model.arrays(tables)).leave_out(tables)
+    model.learn(tokens, groups, times, 0.3)
+    one = np.concatenate([model.log10(tokens[i:i + 1], groups[i:i + 1]) for i in range(len(tokens))])
+    assert model.log10(tokens, groups) == pytest.approx(one, rel=1e-12)
+    # words that begin alike share the slots of their beginning
+    stream = mixer.BitStream([b"abcd ", b"abce ", b"abce "], [b"    "] * 3, np.array([1, 1, 2]))
+    assert stream.bits.shape[1] == 5 + 2 + 5 and stream.place.tolist() == [0, 1, 2, 3, 4, 0, 1, 2, 5, 6, 7, 8, 9, 10, 11]
+    assert stream.repeat(np.array([1.0, 2.0, 4.0])).tolist() == [3, 3, 3, 1, 1, 2, 2, 4, 4, 4, 4, 4]

@@ -170,3 +170,65 @@ def test_all_terms_of_many_questions_at_once(spark, monkeypatch):
     assert got == ranked(lexical.search(index, due, 4, must="must", positive=False, all_terms=True))
     assert {x[0] for x in got} == {1, 2, 3} and not {0, 5} & {x[2] for x in got}
     assert {x[2] for x in got if x[0] == 3} == {4, 10, 16, 22}
+
+
+@pytest.mark.parametrize("n", [40, 3000])
+def test_sums_bound_scores_and_equal_them_after(n):
+    """Whole-number sums are never below a score and less than one a term above it; long, repeated and scoped questions as well."""
+    import numpy as np
+
+    from docskein.operators import impacts
+
+    rng = np.random.default_rng(7)
+    words = [np.append(rng.choice(60, rng.integers(1, 30), p=np.arange(60, 0, -1) / 1830), [] if i else np.arange(60)).astype(int) for i in range(n)]
+    held = [sorted(set(w)) for w in words]
+    ids = np.array([i for t in range(60) for i, h in enumerate(held) if t in h], dtype=np.int32)
+    offsets = np.append(0, np.cumsum([sum(t in h for h in held) for t in range(60)])).astype(np.int32)
+    tfs = np.array([int((words[i] == t).sum()) for t in range(60) for i in ids[offsets[t]:offsets[t + 1]]], dtype=np.int32)
+    row = {"offsets": offsets, "ids": ids, "tfs": tfs, "lengths": np.array([len(w) for w in words], dtype=np.int32)}
+    row = {c: pa.scalar(v.tobytes(), pa.binary()) for c, v in row.items()}
+    row["names"] = pa.scalar(termstore._stream(pa.table({"name": [str(i) for i in range(n)]})), pa.binary())
+    piece = impacts.Piece(row, ["3"], 15.0)
+    idf = np.linspace(0.2, 9, 60)
+    piece.weigh(np.arange(60), idf)
+    for nos, times in (([5, 50, 9], [1, 1, 1]), ([0, 1, 59], [3, 1, 2]), (list(range(60)), [90] * 60)):
+        nos, times = np.array(nos), np.array(times)
+        by = np.argsort(~piece.often[nos], kind="stable")
+        nos, times = nos[by], times[by]
+        want = piece.add(np.zeros(n), nos, idf[nos] * times)
+        cut, room = int(piece.often[nos].sum()), int((piece.peak[nos] * times).sum()) <= impacts.MOST
+        sums = piece.sums(nos[:cut].tolist(), nos[cut:].tolist(), times.tolist(), room)
+        over = sums - want * impacts.SCALE
+        assert (over > -1e-6).all() and (over < times.sum()).all() and room == (times.sum() < 100)
+        places = piece.reaching(sums, int(times.sum()), piece.alive, 0.0, 5)
+        _, score, _ = piece.exact([places], [nos], [idf[nos] * times])
+        assert 3 not in places and np.allclose(score, want[places], atol=1e-6)
+        assert sorted(score)[-5:] == pytest.approx(sorted(want[piece.alive])[-5:], abs=1e-6)
+
+
+def test_frequent_terms_and_pieces_beyond_the_first(spark, monkeypatch):
+    """Terms of most chunks as rows, terms of negative weight, questions of one id, and several pieces to visit second."""
+    from docskein.operators import impacts
+
+    monkeypatch.setattr(termstore, "PIECE", 20)
+    monkeypatch.setattr(impacts, "FEW", 1)
+    c = spark.range(400).select(F.col("id").alias("chunk_id"), F.concat_ws(" ", F.lit("every"), F.concat(F.lit("half"), F.col("id") % 2), F.concat(
+        F.lit("some"), F.col("id") % 7), F.repeat(F.lit("more "), (F.col("id") % 5).cast("int")), F.concat(F.lit("rare"), F.floor(F.col("id") / 4))).alias("content"))
+    index = lexical.index_chunks(c)
+    q = spark.createDataFrame([(1, "every half1 some3"), (2, "half0 more more rare7"), (3, "some1 rare3 rare9"), (3, "some1 rare3 rare9"), (4, "rare3 rare3 some2")],
+                              "query_id long, text string")
+    for how in ({}, {"positive": False}):
+        assert ranked(lexical.search(index, q.dropDuplicates(), 9, **how)) == brute(index, q.dropDuplicates(), 9, **how)
+        got = ranked(lexical.search(index, q, 9, **how))  # an id that comes twice counts its terms twice
+        assert [x[2] for x in got if x[0] == 3] == [x[2] for x in ranked(lexical.search(index, q.dropDuplicates(), 9, **how)) if x[0] == 3]
+
+
+def test_a_segment_gives_back_its_chunks(spark, small_pieces):
+    """Rows and postings come from the blocks: no list of terms is written."""
+    c = spark.createDataFrame([(1, "beta alpha beta", ["x", "y"], 2), (2, None, None, 1), (3, "gamma", ["y"], 3)],
+                              "chunk_id long, content string, kinds array<string>, copies int")
+    index = lexical.index_chunks(c, copies="copies", labels=F.col("kinds"))
+    rows = {r.chunk_id: (r.copies, r.dl, sorted(r.labels), [tuple(t) for t in r.terms], r.cluster) for r in index.rows.collect()}
+    assert rows == {1: (2, 3, ["x", "y"], [("alpha", 1), ("beta", 2)], "1"), 2: (1, 0, [], [], "2"), 3: (3, 1, ["y"], [("gamma", 1)], "3")}
+    assert sorted(map(tuple, index.postings.collect())) == [(1, "alpha", 1, 3), (1, "beta", 2, 3), (3, "gamma", 1, 1)]
+    assert (index.n_chunks, index.length) == (6, 9)

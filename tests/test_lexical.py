@@ -232,3 +232,46 @@ def test_a_segment_gives_back_its_chunks(spark, small_pieces):
     assert rows == {1: (2, 3, ["x", "y"], [("alpha", 1), ("beta", 2)], "1"), 2: (1, 0, [], [], "2"), 3: (3, 1, ["y"], [("gamma", 1)], "3")}
     assert sorted(map(tuple, index.postings.collect())) == [(1, "alpha", 1, 3), (1, "beta", 2, 3), (3, "gamma", 1, 1)]
     assert (index.n_chunks, index.length) == (6, 9)
+
+
+def test_copies_that_differ_in_filters_are_one_entry(spark):
+    """Filters hold for one ticket at a time, ties go to the smallest ticket that fits, and a text is indexed once."""
+    from docskein.operators import tickets as tk
+
+    said = ["printer jam", "jam printer", "printer fire"]
+    kinds = [("open", "High", "HR"), ("done", "Low", "HR"), ("open", "Low", None), (None, "High", "IT")]
+    rows = [(f"T{n:03d}", said[n % 3], None, None, *kinds[(n * 7 // 3) % 4]) for n in range(60)]
+    t = spark.createDataFrame(rows, "ticket_id string, subject string, description string, resolution string, status string, priority string, category string")
+    asked = [(1, "printer", "open", "High", None), (2, "jam", "open", None, None), (3, "printer jam", "done", "High", None), (4, "printer", None, None, None),
+             (5, "fire", "open", "Low", "HR"), (6, "printer", None, "High", "IT"), (7, "jam", "nowhere", None, None)]
+    q = spark.createDataFrame(asked, "query_id long, text string, status string, priority string, category string")
+    want = {}
+    for i, text, *due in asked:
+        fits = [(r[0], r[1]) for r in rows if set(text.split()) <= set(r[1].split()) and all(d is None or d == x for d, x in zip(due, r[4:], strict=True))]
+        want[i] = sorted(x for x, _ in fits)[:4]
+    got = {}
+    for r in sorted(tk.search(t, q, 4, True, tk.FILTERS).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.ticket_id)
+    assert got == {i: x for i, x in want.items() if x} and set(got) == {1, 2, 4, 6}
+    held = tk.index_tickets(t, q, tk.FILTERS)
+    assert held.index.rows.count() == 3 and held.index.n_chunks == 60
+
+
+def test_tickets_of_one_id_and_several_texts(spark):
+    """The id of a ticket is no name of its text: only texts that hold the terms are found, and each is indexed once."""
+    from docskein.operators import tickets as tk
+
+    rows = [(f"T{n % 5}", f"word{n} common", None, None) for n in range(40)]
+    t = spark.createDataFrame(rows, "ticket_id string, subject string, description string, resolution string")
+    q = spark.createDataFrame([(n, f"common word{n}") for n in range(40)], "query_id long, text string")
+    found = tk.search(t, q, 3)
+    assert sorted((r.query_id, r.ticket_id) for r in found.collect()) == [(n, f"T{n % 5}") for n in range(40)]
+    assert tk.index_tickets(t, q).index.n_chunks == 40
+
+
+def test_similar_tickets_of_one_id_and_several_texts(spark):
+    from docskein.operators import tickets as tk
+
+    said = ["alpha beta gamma", "alpha beta gamma", "alpha beta delta", "alpha beta", "epsilon zeta", "zeta epsilon eta"]
+    t = spark.createDataFrame([("T1", x, None, None) for x in said], "ticket_id string, subject string, description string, resolution string")
+    assert sorted(r.similar_count for r in tk.similar_counts(t).collect()) == [1, 1, 3, 3, 3, 3]

@@ -142,6 +142,9 @@ def test_empty_and_null(spark, small_pieces):
     got = ranked(lexical.search(index, q, 5, positive=False))
     assert got == brute(index, q, 5, positive=False) and {x[0] for x in got} == {2, 3}
     assert lexical.search(lexical.index_chunks(c.limit(0)), q).count() == 0
+    nobody = q.unionByName(spark.createDataFrame([(None, "alpha beta")], q.schema))
+    assert all(ranked(lexical.search(index, nobody, 5, **how)) == ranked(lexical.search(index, q, 5, **how)) for how in (
+        {}, {"positive": False, "all_terms": True}))
     gone = termstore.change_index(index, gone=c.select("chunk_id"))
     assert gone.n_chunks == 0 and gone.segments == [] and gone.rows.count() == 0
 
